@@ -9,23 +9,43 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 
-def write_tsv(df: DataFrame, path: str, null_token: str = "NA", mode: str = "errorifexists") -> None:
-    """Tab text with header and ``NA`` for a missing value; blank stays blank."""
-    (
+NO_COMMENT = "\u0002"  # else values starting with "#" would be quoted
+
+
+def _save(writer: DataFrameWriter, path: str, by: str | None, compression: str | None) -> None:
+    if by is not None:
+        writer = writer.partitionBy(by)
+    if compression is not None:
+        writer = writer.option("compression", compression)
+    writer.csv(path)
+
+
+def write_tsv(
+    df: DataFrame, path: str, null_token: str = "NA", by: str | None = None,
+    compression: str | None = None, mode: str = "errorifexists",
+) -> None:
+    """Tab text with header and ``NA`` for a missing value; blank stays blank.
+    With ``by`` there is a directory per value, ``by=value``."""
+    writer = (
         df.write.mode(mode).option("sep", "\t").option("header", "true").option("escape", '"')
-        .option("nullValue", null_token).option("emptyValue", "").csv(path)
+        .option("nullValue", null_token).option("emptyValue", "").option("comment", NO_COMMENT)
     )
+    _save(writer, path, by, compression)
 
 
-def write_plain_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_plain_tsv(
+    df: DataFrame, path: str, by: str | None = None,
+    compression: str | None = None, mode: str = "errorifexists",
+) -> None:
     """Tab text with header, unquoted, blank for a missing value."""
-    (
+    writer = (
         df.write.mode(mode).option("sep", "\t").option("header", "true").option("quote", "")
-        .option("nullValue", "").option("emptyValue", "").csv(path)
+        .option("nullValue", "").option("emptyValue", "").option("comment", NO_COMMENT)
     )
+    _save(writer, path, by, compression)
 
 
 def write_id_list(df: DataFrame, column: str, path: str, mode: str = "errorifexists") -> None:
