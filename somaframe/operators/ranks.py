@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.nulls import col
+from ..sources.writers import staged
 
 SAMPLED = 64  # one value in so many is a candidate splitter
 
@@ -106,9 +107,10 @@ def row_positions(
 ) -> DataFrame:
     """Add the place (from 1) of each row in a total order over the table.
 
-    ``order`` is compared column by column and must end in something unique,
-    ``id_col`` if nothing else.
+    ``order`` is compared column by column, ``id_col`` decides what is left. The
+    table is staged first, as it is read for the splitters and for the totals.
     """
+    df = staged(df, "positions")
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate([*order, F.col(id_col)])])
     keyed = df.select("*", key.alias("_key"), F.lit(1).cast("long").alias("_one"))
     placed = running_totals(keyed, [], "_key", "_one", "_before", buckets)
@@ -176,8 +178,8 @@ def spearman_pairs(
     rho, the statistic ``s`` = (n^3 - n)(1 - rho)/6 and the two-sided p of the
     t approximation. rho is NULL for a constant column.
 
-    Rows are reduced to counts per (pair, x, y) map-side; ranks are worked out on
-    distinct values and joined back to those counts.
+    Rows are reduced to counts per (pair, x, y), which are staged; ranks are
+    worked out on distinct values and joined back to those counts.
     """
     pairs = list(pairs)
     stacked = F.inline(
@@ -189,27 +191,29 @@ def spearman_pairs(
         ])
     )
     present = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
-    joint = df.select(stacked).filter(present).groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    counted = df.select(stacked).filter(present).groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    joint = staged(counted, "rank-counts")
 
     def ranked(axis: str) -> DataFrame:
         marginal = joint.groupBy("pair", axis).agg(F.sum("n").alias("n"))
         return average_ranks(marginal, ["pair"], axis, "n", buckets).withColumnRenamed("rank", f"r{axis}")
 
-    size = joint.groupBy("pair").agg(F.sum("n").alias("size"))
-    centre = (F.col("size") + 1) / F.lit(2.0)
-    dx, dy, n = F.col("rx") - centre, F.col("ry") - centre, F.col("n").cast("double")
+    rx, ry, n = F.col("rx"), F.col("ry"), F.col("n").cast("double")
     sums = (
         joint.join(ranked("x"), ["pair", "x"]).join(ranked("y"), ["pair", "y"])
-        .join(F.broadcast(size), "pair")
         .groupBy("pair")
         .agg(
-            F.max("size").alias("n"),
-            F.sum(n * dx * dy).alias("sxy"),
-            F.sum(n * dx * dx).alias("sxx"),
-            F.sum(n * dy * dy).alias("syy"),
+            F.sum("n").alias("n"),
+            F.sum(n * rx * ry).alias("sxy"),
+            F.sum(n * rx * rx).alias("sxx"),
+            F.sum(n * ry * ry).alias("syy"),
+            ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("varies"),
         )
     )
-    rho = F.try_divide("sxy", F.nullif(F.sqrt(F.col("sxx") * F.col("syy")), F.lit(0.0)))
+    # ranks add up to n(n+1)/2 whatever the ties, so their mean is known
+    centre = F.col("n") * F.pow((F.col("n") + 1) / 2, F.lit(2))
+    sums = sums.select("pair", "n", "varies", *[(F.col(c) - centre).alias(c) for c in ("sxy", "sxx", "syy")])
+    rho = F.when(F.col("varies"), F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))
     cube = F.pow(F.col("n").cast("double"), 3) - F.col("n")
     x_names = F.array(*[F.lit(x) for x, _ in pairs])
     y_names = F.array(*[F.lit(y) for _, y in pairs])

@@ -70,3 +70,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="somaframe-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The table, written once below the shared folder and read back.
+
+    For results that several branches of a plan use: the work before is done a
+    single time, whatever the planner makes of the branches, and losing an
+    executor later costs a re-read only. Runs a job when called.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
