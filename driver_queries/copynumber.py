@@ -25,7 +25,7 @@ def min_cn_with_ties(spark, sf):
     li = table(spark, sf, "lineitem").select(
         "l_suppkey", "l_partkey", F.nullif("l_quantity", F.lit(50.0)).alias("cn"), "l_extendedprice"
     )
-    return min_rows(li.distinct(), ["l_suppkey", "l_partkey"], "cn")
+    return min_rows(li, ["l_suppkey", "l_partkey"], "cn").distinct()
 
 
 QUERIES["min_cn_with_ties"] = min_cn_with_ties

@@ -29,8 +29,7 @@ def sum_of_matches(c: Column | str, pattern: str, group: int = 1) -> Column:
 def remove_first(c: Column | str, pattern: str, ignore_case: bool = False) -> Column:
     """Delete the first match only; text without a match is unchanged."""
     flags = "(?is)" if ignore_case else "(?s)"
-    whole = f"{flags}^(?<head>.*?)(?:{pattern})(?<tail>.*)$"
-    return F.regexp_replace(col(c), whole, "${head}${tail}")
+    return F.regexp_replace(col(c), f"{flags}^(?<head>.*?)(?:{pattern})", "${head}")
 
 
 def remove_trailing(c: Column | str, pattern: str) -> Column:

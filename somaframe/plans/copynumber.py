@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import classes as k
 from ..functions.nulls import at_least, at_most, col, if_else, to_number
 from ..functions.text import all_matches, kept_tokens
-from ..operators.groups import median_value, min_rows, min_text_rows
+from ..operators.groups import median_value, min_rows
 from ..operators.joins import full_join, natural_join
 from ..operators.ranks import spearman_pairs
 from ..operators.reshape import explode_tokens, split_columns, unpivot_values
@@ -24,8 +24,9 @@ def gene_tokens(
     strip: str = r"ref\|",
     drop: str = "N[A-Z]_",
 ) -> DataFrame:
-    """Distinct rows per gene symbol of a token list; accessions are left out."""
-    return explode_tokens(segments, gene, kept_tokens(gene, sep, keep, strip, drop)).distinct()
+    """A row per gene symbol of a token list; accessions are left out. A symbol
+    listed twice gives two equal rows."""
+    return explode_tokens(segments, gene, kept_tokens(gene, sep, keep, strip, drop))
 
 
 def gene_cn_from_segments(
@@ -35,8 +36,13 @@ def gene_cn_from_segments(
     sample: str = "sample",
 ) -> DataFrame:
     """Copy number per gene: where segments disagree within a gene, those with
-    the lowest copy number, ties kept. Grouping is within a file."""
-    lowest = min_rows(gene_tokens(segments), group, values[0])
+    the lowest copy number, ties kept. Grouping is within a file.
+
+    Equal rows are removed after the minimum is known. That is the same as doing
+    it before, as equal rows share their group and value, but only the rows of
+    the minimum are shuffled for it.
+    """
+    lowest = min_rows(gene_tokens(segments), group, values[0]).distinct()
     shown = [sample] + [c for c in group if c != "file"]
     return lowest.select(*dict.fromkeys(shown), *values)
 
@@ -54,14 +60,15 @@ def gene_cn_from_intervals(
     genes = F.when(col("gene").isNull(), F.array(F.lit(None).cast("string"))).otherwise(
         all_matches("gene", gene_pattern)
     )
-    exploded = explode_tokens(intervals, "gene", genes).distinct()
+    exploded = explode_tokens(intervals, "gene", genes)
+    copies = F.substring_index("other", "|", 1)
+    lowest = min_rows(exploded, group, to_number(copies) if numeric else copies).distinct()
     # Parts of the record.
     parts = ["cn", "status", "genotype", "uncertainty", "wilcoxon_p", "ks_p"]
-    split = split_columns(exploded, "other", r"\|", parts).drop("status", "genotype")
-    lowest = min_text_rows(split, group, "cn", numeric)
+    split = split_columns(lowest, "other", r"\|", parts)
     shown = [sample] + [c for c in group if c != "file"]
     numbers = [to_number(c).alias(c) for c in ("cn", "wilcoxon_p", "ks_p", "uncertainty")]
-    return lowest.select(*dict.fromkeys(shown), *numbers)
+    return split.select(*dict.fromkeys(shown), *numbers)
 
 
 def merge_cn_callers(

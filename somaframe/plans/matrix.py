@@ -110,8 +110,9 @@ def alteration_matrix(
     dense = dense_cells(events, panel, samples, gene, sample, value)
     if all_genes:
         return dense
-    # at most one row per panel gene
-    return dense.join(F.broadcast(events.select(gene).distinct()), gene, "left_semi")
+    # broadcast of at most one row per panel gene
+    seen = events.filter(in_set(gene, distinct_list(panel))).select(gene).distinct()
+    return dense.join(F.broadcast(seen), gene, "left_semi")
 
 
 def wide_matrix(
