@@ -8,7 +8,7 @@ from somaframe.functions import classes as k
 from somaframe.operators import groups as g
 from somaframe.operators import reshape as rs
 from somaframe.operators.joins import anti_join, full_join, semi_join
-from somaframe.operators.ordering import gene_order, order_samples
+from somaframe.operators.ordering import gene_order, layer_columns, order_samples
 from somaframe.plans import matrix as m
 from somaframe.plans import tracks as t
 
@@ -288,6 +288,26 @@ SELECT sample, row_number() OVER (ORDER BY layer_key, sample) AS position FROM k
 
 SQL["order_samples_by_appearance"] = f"WITH {_SQL_MATRIX}, {_SQL_GENE_ORDER}, {_sql_appearance()}"
 
+QUERIES["layer_columns"] = lambda spark, sf: layer_columns(dense_matrix(spark, sf), PANEL)
+
+
+def _sql_layer_columns():
+    columns = []
+    for i, layer in enumerate(k.TWO_LAYERS, 1):
+        first = f"list_filter(string_split(alterations, ';'), lambda x: x IN ({sql_list(layer)}))[1]"
+        columns += [f"max({first}) FILTER (gene = '{g_}') AS layer{i}_{g_}" for g_ in PANEL]
+    return f"WITH {_SQL_MATRIX} SELECT sample, {', '.join(columns)} FROM matrix GROUP BY sample"
+
+
+SQL["layer_columns"] = _sql_layer_columns()
+
+QUERIES["genes_without_events"] = lambda spark, sf: m.genes_without_events(
+    snv_calls(table(spark, sf, "lineitem")), [*PANEL, "no such gene"]
+)
+SQL["genes_without_events"] = f"""
+WITH {SQL_CALLS} SELECT gene FROM (SELECT CAST(unnest(range(50)) AS VARCHAR) AS gene UNION ALL SELECT 'no such gene')
+WHERE gene NOT IN (SELECT gene FROM snv)"""
+
 QUERIES["matrix_without_amplification"] = lambda spark, sf: m.without_class(dense_matrix(spark, sf), "Amplification")
 SQL["matrix_without_amplification"] = f"""
 WITH {_SQL_MATRIX} SELECT gene, sample, regexp_replace(alterations, 'Amplification;?', '') AS alterations FROM matrix"""

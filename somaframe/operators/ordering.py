@@ -91,6 +91,26 @@ def order_samples(
     return placed.select(sample, "position", "layer_key")
 
 
+def layer_columns(
+    matrix: DataFrame,
+    genes: Sequence[str],
+    layers: Sequence[Sequence[str]] = TWO_LAYERS,
+    gene: str = "gene",
+    sample: str = "sample",
+    value: str = "alterations",
+) -> DataFrame:
+    """Per sample the class of each layer and gene, columns ``layer1_<gene>`` and
+    so on. ``order_samples`` does not need this wide form."""
+    classed = matrix.select(sample, gene, *[
+        first_in_layer(value, layer).alias(f"layer{i}") for i, layer in enumerate(layers, 1)
+    ])
+    names = [f"layer{i}" for i in range(1, len(layers) + 1)]
+    wide = classed.groupBy(sample).pivot(gene, list(genes)).agg(*[F.max(n).alias(n) for n in names])
+    if len(names) == 1:
+        return wide.withColumnsRenamed({g: f"layer1_{g}" for g in genes})
+    return wide.withColumnsRenamed({f"{g}_{n}": f"{n}_{g}" for g in genes for n in names})
+
+
 def order_by_list(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
     """Rows sorted by a stated list; values outside the list come last."""
     place = F.array_position(F.array(*[F.lit(x) for x in order]), col(column))

@@ -12,7 +12,7 @@ from ..functions.text import join_non_null, remove_first, remove_trailing
 from ..operators.groups import top_class
 from ..operators.joins import anti_join, semi_join
 from ..operators.reshape import dense_cells, pivot_unique, unpivot_values
-from ..sources.dimensions import COMPLEX_LABEL, DRIVER_LABEL, distinct_list
+from ..sources.dimensions import COMPLEX_LABEL, DRIVER_LABEL, dimension, distinct_list
 
 
 def top_priority_mutation(
@@ -115,6 +115,12 @@ def alteration_matrix(
     return dense.join(F.broadcast(seen), gene, "left_semi")
 
 
+def genes_without_events(events: DataFrame, panel: Sequence[str], gene: str = "gene") -> DataFrame:
+    """Panel genes no event row names."""
+    genes = dimension(events.sparkSession, panel, gene).select(gene)
+    return anti_join(genes, events, [gene])
+
+
 def wide_matrix(
     matrix: DataFrame, samples: Sequence[str],
     gene: str = "gene", sample: str = "sample", value: str = "alterations",
@@ -232,5 +238,5 @@ def discrete_cn_events(
         long = unpivot_values(kept.drop(*drop), [gene], sample, value, samples)
     elif panel is not None:
         long = long.filter(in_set(gene, panel))
-    state = k.lookup(col(value).cast("int"), k.DISCRETE_TO_CN)
+    state = k.lookup(col(value).try_cast("int"), k.DISCRETE_TO_CN)
     return long.withColumn(value, state).filter(col(value).isNotNull())

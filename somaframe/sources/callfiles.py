@@ -123,6 +123,11 @@ def read_clinical(spark: SparkSession, path, **options) -> DataFrame:
     ).withColumnsRenamed({"PATIENT_ID": "sample", "PRIMARY_SITE_PATIENT": "site"})
 
 
+def header_names(spark: SparkSession, path, sep: str = "\t") -> list[str]:
+    """Column names of a delimited file, from its first line."""
+    return spark.read.option("sep", sep).option("header", "true").option("maxColumns", r.WIDE_MAX_COLUMNS).csv(path).columns
+
+
 def read_wide(
     spark: SparkSession,
     path,
