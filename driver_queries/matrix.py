@@ -312,29 +312,54 @@ QUERIES["matrix_without_amplification"] = lambda spark, sf: m.without_class(dens
 SQL["matrix_without_amplification"] = f"""
 WITH {_SQL_MATRIX} SELECT gene, sample, regexp_replace(alterations, 'Amplification;?', '') AS alterations FROM matrix"""
 
-_COLUMNS = [str(i) for i in range(1, 9)] + ["no such sample"]
-QUERIES["wide_matrix"] = lambda spark, sf: m.wide_matrix(dense_matrix(spark, sf), _COLUMNS)
+# nations as samples: a stated list of columns that covers the whole table
+
+_COLUMNS = [str(i) for i in range(25)] + ["no such sample"]
+
+
+def _nation_lines(spark, sf):
+    nations = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    lines = table(spark, sf, "lineitem").join(nations, "l_suppkey")
+    return lines.drop("l_suppkey").withColumnRenamed("s_nationkey", "l_suppkey")
+
+
+_SQL_NATION_EVENTS = (
+    "nation_lines AS (SELECT * REPLACE (s_nationkey AS l_suppkey) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),"
+    + _SQL_EVENTS.replace("FROM lineitem", "FROM nation_lines")
+)
+
+
+def wide_matrix(spark, sf):
+    li = _nation_lines(spark, sf)
+    events = m.alteration_events(cn_calls(li), snv_calls(li), PANEL)
+    matrix = m.alteration_matrix(events, PANEL, m.complete_samples(sample_gene(li), cn_calls(li)))
+    return m.wide_matrix(matrix, _COLUMNS)
+
+
+QUERIES["wide_matrix"] = wide_matrix
 SQL["wide_matrix"] = f"""
-WITH {_SQL_MATRIX} SELECT gene, {', '.join(f"coalesce(max(alterations) FILTER (sample = '{c}'), '') AS " + f'"{c}"' for c in _COLUMNS)}
-FROM matrix GROUP BY gene"""
+WITH {_SQL_NATION_EVENTS}, g AS (SELECT CAST(unnest(range(50)) AS VARCHAR) AS gene)
+SELECT g.gene, {', '.join(f"coalesce(max(alterations) FILTER (sample = '{c}'), '') AS " + f'"{c}"' for c in _COLUMNS)}
+FROM g LEFT JOIN events_ e ON e.gene = g.gene GROUP BY g.gene"""
 
 for _shallow in (False, True):
     _key = "panel_matrix_without_shallow" if _shallow else "panel_matrix"
     _text = "regexp_replace(alterations, 'Shallow Deletion;?', '')" if _shallow else "alterations"
 
     def _panel_matrix(spark, sf, drop=_shallow):
-        events = _events(spark, sf).withColumn(
+        li = _nation_lines(spark, sf)
+        events = m.alteration_events(cn_calls(li), snv_calls(li), PANEL).withColumn(
             "alterations", F.regexp_replace("alterations", "Deep Deletion", "Shallow Deletion")
         )
-        return t.panel_matrix(events, ["3", "7", "no such gene"], _COLUMNS, drop_shallow=drop)
+        return t.panel_matrix(events, [*PANEL, "no such gene"], _COLUMNS, drop_shallow=drop)
 
     QUERIES[_key] = _panel_matrix
     _cells = ", ".join(
         f"coalesce(max({_text}) FILTER (sample = '{c}'), '') AS " + f'"{c}"' for c in _COLUMNS
     )
     SQL[_key] = f"""
-WITH {_SQL_EVENTS}, e AS (SELECT gene, sample, replace(alterations, 'Deep Deletion', 'Shallow Deletion') AS alterations FROM events_),
-g AS (SELECT unnest(['3', '7', 'no such gene']) AS gene)
+WITH {_SQL_NATION_EVENTS}, e AS (SELECT gene, sample, replace(alterations, 'Deep Deletion', 'Shallow Deletion') AS alterations FROM events_),
+g AS (SELECT CAST(unnest(range(50)) AS VARCHAR) AS gene UNION ALL SELECT 'no such gene')
 SELECT g.gene, {_cells} FROM g LEFT JOIN e ON e.gene = g.gene GROUP BY g.gene"""
 
 
@@ -369,7 +394,7 @@ def segment_filter(spark, sf):
 QUERIES["segment_filter"] = segment_filter
 SQL["segment_filter"] = """
 SELECT CAST(l_suppkey AS VARCHAR) AS sample, CAST(l_partkey % 50 AS VARCHAR) AS gene, l_quantity AS "BF",
-  NULL AS "Conrad_hg19", CASE WHEN l_linestatus = 'F' THEN 'deletion' ELSE 'duplication' END AS type,
+  CAST(NULL AS VARCHAR) AS "Conrad_hg19", CASE WHEN l_linestatus = 'F' THEN 'deletion' ELSE 'duplication' END AS type,
   l_discount * 20 AS reads_ratio, l_linenumber AS reads_observed, nullif(l_quantity, 41) AS reads_expected,
   l_linenumber - 4 AS "standardizedValue",
   CASE WHEN l_linenumber < 2 AND nullif(l_quantity, 41) IS NULL THEN NULL
@@ -513,16 +538,17 @@ SELECT CAST(l_partkey % 50 AS VARCHAR) AS gene, """ + ", ".join(
 
 
 def outer_with_missing_columns(spark, sf):
-    """Nations with customers and with suppliers, rows of either kind kept."""
-    customers = table(spark, sf, "customer").filter(F.col("c_acctbal") > 9000).select(
-        F.col("c_nationkey").alias("nation"), "c_custkey")
-    suppliers = table(spark, sf, "supplier").filter(F.col("s_acctbal") > 5000).select(
-        F.col("s_nationkey").alias("nation"), "s_suppkey")
-    return full_join(customers, suppliers, ["nation"])
+    """Customers and the order counts per customer id, rows of either side kept
+    and one id missing on both."""
+    customers = table(spark, sf, "customer").filter(F.col("c_mktsegment") != "BUILDING").select(
+        F.nullif("c_custkey", F.lit(2)).alias("id"), "c_name")
+    orders = table(spark, sf, "orders").select(F.nullif("o_custkey", F.lit(2)).alias("id"))
+    return full_join(customers, g.group_count(orders, ["id"], "n_orders"), ["id"])
 
 
 QUERIES["outer_with_missing_columns"] = outer_with_missing_columns
 SQL["outer_with_missing_columns"] = """
-SELECT coalesce(c_nationkey, s_nationkey) AS nation, c_custkey, s_suppkey
-FROM (SELECT * FROM customer WHERE c_acctbal > 9000) FULL JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000)
-  ON c_nationkey = s_nationkey"""
+SELECT coalesce(c.id, o.id) AS id, c_name, n_orders
+FROM (SELECT nullif(c_custkey, 2) AS id, c_name FROM customer WHERE c_mktsegment <> 'BUILDING') c
+FULL JOIN (SELECT nullif(o_custkey, 2) AS id, count(*) AS n_orders FROM orders GROUP BY 1) o
+  ON c.id IS NOT DISTINCT FROM o.id"""

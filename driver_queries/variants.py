@@ -134,27 +134,26 @@ FROM j WHERE recurrence < 5 AND l_discount < 0.06
 # -- approximate position match
 
 def catalogue_bucket_match(spark, sf):
-    li = table(spark, sf, "lineitem")
-    found = li.select(
-        F.col("l_orderkey").alias("gene"), F.floor(F.col("l_orderkey") / 10).alias("sample"),
-        F.dayofyear("l_shipdate").alias("start"), "l_linenumber", "l_partkey",
+    """Days of shipping against the day of the order, for orders not pending."""
+    found = table(spark, sf, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 10).alias("gene"), F.col("l_orderkey").alias("sample"),
+        F.dayofyear("l_shipdate").cast("bigint").alias("start"), "l_linenumber", "l_partkey",
     )
-    orders = table(spark, sf, "orders")
-    catalogue = orders.filter(F.col("o_orderpriority") == "1-URGENT").filter(F.col("o_orderstatus") != "P").select(
-        F.col("o_orderkey").alias("gene"), F.floor(F.col("o_orderkey") / 10).alias("sample"),
-        F.dayofyear("o_orderdate").alias("position_start"), "o_custkey",
+    catalogue = table(spark, sf, "orders").filter(F.col("o_orderstatus") != "P").select(
+        F.floor(F.col("o_orderkey") / 10).alias("gene"), F.col("o_orderkey").alias("sample"),
+        F.dayofyear("o_orderdate").cast("bigint").alias("position_start"), "o_custkey",
     )
     return v.match_catalogue(found, catalogue)
 
 
 QUERIES["catalogue_bucket_match"] = catalogue_bucket_match
 SQL["catalogue_bucket_match"] = """
-WITH c AS (SELECT o_orderkey AS gene, CAST(floor(o_orderkey / 10) AS BIGINT) AS sample,
+WITH c AS (SELECT CAST(floor(o_orderkey / 10) AS BIGINT) AS gene, o_orderkey AS sample,
     dayofyear(o_orderdate) AS position_start, o_custkey, round_even(dayofyear(o_orderdate) / 10, 0) * 10 AS approx_start
-  FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'P'),
-l AS (SELECT l_orderkey AS gene, CAST(floor(l_orderkey / 10) AS BIGINT) AS sample, dayofyear(l_shipdate) AS start,
+  FROM orders WHERE o_orderstatus <> 'P'),
+l AS (SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS gene, l_orderkey AS sample, dayofyear(l_shipdate) AS start,
     l_linenumber, l_partkey, round_even(dayofyear(l_shipdate) / 10, 0) * 10 AS approx_start
-  FROM lineitem WHERE floor(l_orderkey / 10) IN (SELECT sample FROM c))
+  FROM lineitem WHERE l_orderkey IN (SELECT sample FROM c))
 SELECT * FROM c FULL JOIN l USING (gene, sample, approx_start)"""
 
 

@@ -42,14 +42,20 @@ def pad_before_last(c: Column | str, sep: str, padding: str) -> Column:
     return F.regexp_replace(col(c), f"{sep}(?=[^{sep}]+$)", padding)
 
 
-def kept_tokens(
-    c: Column | str, sep: str, keep: str, strip: str, drop: str
-) -> Column:
-    """Split, keep tokens matching ``keep``, strip the first ``strip`` from each,
-    then leave out those matching ``drop``. A NULL text gives one NULL token."""
+def remove_first_text(c: Column | str, text: str) -> Column:
+    """Delete the first occurrence of a literal text."""
     c = col(c)
-    kept = F.filter(F.split(c, sep), lambda t: t.rlike(keep))
-    stripped = F.transform(kept, lambda t: remove_first(t, strip))
+    cut = F.overlay(c, F.lit(""), F.instr(c, text), F.lit(len(text)))
+    return F.when(F.contains(c, F.lit(text)), cut).otherwise(c)
+
+
+def kept_tokens(c: Column | str, sep: str, keep: str, strip: str, drop: str) -> Column:
+    """Split, keep tokens containing the text ``keep``, strip the first ``strip``
+    from each, then leave out those matching the pattern ``drop``. A NULL text
+    gives one NULL token."""
+    c = col(c)
+    kept = F.filter(F.split(c, sep), lambda t: F.contains(t, F.lit(keep)))
+    stripped = F.transform(kept, lambda t: remove_first_text(t, strip))
     tokens = F.filter(stripped, lambda t: ~t.rlike(drop))
     return F.when(c.isNull(), F.array(F.lit(None).cast("string"))).otherwise(tokens)
 

@@ -19,6 +19,7 @@ from ..functions.nulls import col
 from ..sources.writers import staged
 
 SAMPLED = 64  # one value in so many is a candidate splitter
+MAX_BROADCAST_ENTRIES = 1_000_000
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -45,16 +46,20 @@ def running_totals(
     weight: str,
     name: str = "before",
     buckets: int | None = None,
+    groups: int | None = None,
 ) -> DataFrame:
     """Add the total weight of all smaller values within ``by``.
 
-    ``hist`` must hold one row per (by, value), and ``by`` must have few distinct
-    combinations: each costs at most ``buckets`` splitters and as many offsets,
-    which are broadcast. ``value`` may have any orderable type. Where the
-    splitters fall changes the work per task, never the result.
+    ``hist`` must hold one row per (by, value). ``value`` may have any orderable
+    type. Where the splitters fall changes the work per task, never the result.
+    Splitters and offsets take ``buckets`` entries per group; they are broadcast
+    where the caller states a number of ``groups`` that keeps them small, else
+    the planner decides by their size.
     """
     by = list(by)
     buckets = buckets or bucket_count(hist)
+    known = 1 if not by else groups
+    small = F.broadcast if known is not None and known * buckets <= MAX_BROADCAST_ENTRIES else (lambda df: df)
     step = max(1, math.isqrt(buckets))
     v = F.col(value)
     candidates = hist.filter(F.pmod(F.xxhash64(F.lit(3), v), F.lit(SAMPLED)) == 0)
@@ -65,7 +70,7 @@ def running_totals(
     splitters = picks.groupBy(*by).agg(F.sort_array(F.collect_list("_pick.v")).alias("_fine"))
     coarse = F.filter("_fine", lambda s, i: i % step == 0).alias("_coarse")
     if by:
-        searched = hist.join(F.broadcast(splitters.select(*by, "_fine", coarse)), by, "left")
+        searched = hist.join(small(splitters.select(*by, "_fine", coarse)), by, "left")
     else:
         found = splitters.select(F.struct("_fine", coarse)).scalar()
         searched = hist.withColumn("_splitters", found).select("*", "_splitters.*").drop("_splitters")
@@ -88,16 +93,17 @@ def running_totals(
     within = F.coalesce(F.sum(weight).over(inside), F.lit(0))
     return (
         placed.withColumn("_within", within)
-        .join(F.broadcast(offsets), [*by, "_bucket"])
+        .join(small(offsets), [*by, "_bucket"])
         .select(*hist.columns, (F.col("_offset") + F.col("_within")).alias(name))
     )
 
 
 def average_ranks(
-    hist: DataFrame, by: Sequence[str], value: str, weight: str, buckets: int | None = None
+    hist: DataFrame, by: Sequence[str], value: str, weight: str,
+    buckets: int | None = None, groups: int | None = None,
 ) -> DataFrame:
     """Rank of each distinct value, ties sharing the mean of their places."""
-    ranked = running_totals(hist, by, value, weight, "_before", buckets)
+    ranked = running_totals(hist, by, value, weight, "_before", buckets, groups)
     rank = F.col("_before") + (F.col(weight) + 1) / F.lit(2.0)
     return ranked.select(*by, value, rank.alias("rank"))
 
@@ -196,7 +202,7 @@ def spearman_pairs(
 
     def ranked(axis: str) -> DataFrame:
         marginal = joint.groupBy("pair", axis).agg(F.sum("n").alias("n"))
-        return average_ranks(marginal, ["pair"], axis, "n", buckets).withColumnRenamed("rank", f"r{axis}")
+        return average_ranks(marginal, ["pair"], axis, "n", buckets, len(pairs)).withColumnRenamed("rank", f"r{axis}")
 
     rx, ry, n = F.col("rx"), F.col("ry"), F.col("n").cast("double")
     sums = (

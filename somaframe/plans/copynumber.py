@@ -20,8 +20,8 @@ def gene_tokens(
     segments: DataFrame,
     gene: str = "gene",
     sep: str = ",",
-    keep: str = r"ref\|",
-    strip: str = r"ref\|",
+    keep: str = "ref|",
+    strip: str = "ref|",
     drop: str = "N[A-Z]_",
 ) -> DataFrame:
     """A row per gene symbol of a token list; accessions are left out. A symbol

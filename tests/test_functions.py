@@ -73,6 +73,11 @@ def test_remove_first_only(spark):
     assert values(spark, [("a(b)(c)",)], "x string", tx.remove_first("x", "(b)")) == ["a()(c)"]
 
 
+def test_remove_first_text(spark):
+    data = [("a|b|c",), ("|x",), ("é|é|",), ("none",), (None,)]
+    assert values(spark, data, "x string", tx.remove_first_text("x", "|")) == ["ab|c", "x", "éé|", "none", None]
+
+
 def test_remove_trailing(spark):
     assert values(spark, [("AB-01A",), ("AB-01",), ("A",)], "x string", tx.remove_trailing("x", "[A-Z]")) == ["AB-01", "AB-01", ""]
 
@@ -84,7 +89,7 @@ def test_pad_before_last_widens_a_record(spark):
 
 def test_kept_tokens(spark):
     data = [("ref|TP53,ref|NM_1,other,ref|TP53",), ("ref|NM_1",), ("",), (None,), ("xref|A_ref|",)]
-    got = values(spark, data, "x string", tx.kept_tokens("x", ",", r"ref\|", r"ref\|", "N[A-Z]_"))
+    got = values(spark, data, "x string", tx.kept_tokens("x", ",", "ref|", "ref|", "N[A-Z]_"))
     assert got == [["TP53", "TP53"], [], [], [None], ["xA_ref|"]]
 
 
