@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.codegen.wholeStage", "false")  # the tables are tiny, compiling takes longer
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

