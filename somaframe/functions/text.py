@@ -19,9 +19,9 @@ def all_matches(c: Column | str, pattern: str, group: int = 1) -> Column:
 
 def sum_of_matches(c: Column | str, pattern: str, group: int = 1) -> Column:
     """Sum of the numbers a pattern captures; 0 for no match and for NULL."""
-    numbers = F.transform(all_matches(c, pattern, group), to_number)
     total = F.aggregate(
-        numbers, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0))
+        all_matches(c, pattern, group), F.lit(0.0),
+        lambda acc, x: acc + F.coalesce(to_number(x), F.lit(0.0)),
     )
     return F.coalesce(total, F.lit(0.0))
 
