@@ -380,6 +380,18 @@ j AS (SELECT gene, sample, string_agg(c, ';' ORDER BY {sql_ordinal('c', list(dic
 SELECT gene, sample, CASE WHEN contains(snv, ';') THEN snv || '_2' ELSE snv END AS snv FROM j"""
 
 
+def class_runs(spark, sf):
+    classes = sample_gene(table(spark, sf, "lineitem"), line_class().alias("snv"))
+    return g.class_runs(classes, ["gene", "sample"], "snv", k.SNV_PRIORITY)
+
+
+QUERIES["class_runs"] = class_runs
+SQL["class_runs"] = f"""
+WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS sample, CAST(l_partkey % 50 AS VARCHAR) AS gene,
+  CASE l_linenumber {' '.join(f"WHEN {i} THEN '{c}'" for i, c in LINE_CLASSES.items())} END AS snv FROM lineitem)
+SELECT gene, sample, snv, count(*) AS n, coalesce({sql_ordinal('snv', k.SNV_PRIORITY)}, 7) AS place FROM c GROUP BY ALL"""
+
+
 def segment_filter(spark, sf):
     li = table(spark, sf, "lineitem")
     return t.filter_segments(sample_gene(

@@ -82,6 +82,15 @@ def class_lists(
     )
 
 
+def class_runs(
+    df: DataFrame, keys: Sequence[str], class_col: str, levels: Sequence[str]
+) -> DataFrame:
+    """Rows per (group, class) with the place of the class in ``levels``; unlisted
+    classes stand behind the listed ones."""
+    place = F.coalesce(ordinal(class_col, levels), F.lit(len(levels)))
+    return group_count(df, [*keys, class_col]).withColumn("place", place)
+
+
 def joined_classes(
     df: DataFrame,
     keys: Sequence[str],
@@ -93,17 +102,16 @@ def joined_classes(
     """All classes of a group, repeats included, joined in the order of
     ``levels`` (unlisted ones last, by name).
 
-    Rows are counted per (group, class) first, so a group contributes one row
-    per class to the collected list whatever its size.
+    Built from ``class_runs``, so a group contributes one row per class to the
+    collected list whatever its size. The text itself has every repeat; where it
+    would be too long for a cell, the runs say the same.
     """
-    keys = list(keys)
-    counted = group_count(df, [*keys, class_col], "_n")
-    place = F.coalesce(ordinal(class_col, levels), F.lit(len(levels)))
-    entry = F.struct(place.alias("place"), col(class_col).alias("value"), F.col("_n").alias("n"))
+    entry = F.struct("place", col(class_col).alias("value"), "n")
     runs = F.transform(
         F.array_sort(F.collect_list(entry)),
         lambda e: F.array_repeat(F.coalesce(e["value"], F.lit("NA")), e["n"].cast("int")),
     )
+    counted = class_runs(df, keys, class_col, levels)
     return counted.groupBy(*keys).agg(F.array_join(F.flatten(runs), sep).alias(name))
 
 
