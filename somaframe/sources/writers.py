@@ -6,12 +6,12 @@ sink writes a directory of part files, one per partition, with a header in each.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 
+_PATHS: list[str] = []
 NO_COMMENT = "\u0002"  # else values starting with "#" would be quoted
 
 
@@ -60,16 +60,15 @@ def write_stage(df: DataFrame, path: str, by: str | None = None, mode: str = "er
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of this machine.
+    """A new path below the shared folder named by ``spark.checkpoint.dir``, or
+    below the session's warehouse, which its executors share, if that is unset.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="somaframe-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stages"
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -82,3 +81,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Remove what this process has staged so far; for the owner of a job, once
+    its results are written. Returns the number of folders removed."""
+    removed = 0
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
