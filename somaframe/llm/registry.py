@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, language_id, packing, quality_crf, token_counts
 
-_MODULES = (exact_dedup, decontaminate)
+_MODULES = (quality_crf, token_counts, exact_dedup, language_id, decontaminate, packing)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

@@ -56,12 +56,13 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[at[0]: at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of whole documents of about ``size`` bytes; a longer one stands alone."""
+def slices(offsets: np.ndarray, size: int = SLICE_BYTES, most: int = 1 << 14) -> Iterator[tuple[int, int]]:
+    """Ranges of whole documents of about ``size`` bytes, ``most`` at once; a
+    longer document stands alone."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), lo + most, n)
         yield lo, hi
         lo = hi
 
