@@ -1,3 +1,53 @@
-"""Stages of the corpus job."""
-QUERIES = {}
-SQL = {}
+"""From raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns what the next one reads: the
+documents it keeps, with their columns, and pieces of sequences at the end.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from somaframe.llm.common import table
+from somaframe.llm.decontaminate import drop_contaminated
+from somaframe.llm.exact_dedup import drop_exact_copies
+from somaframe.llm.language_id import drop_unidentified
+from somaframe.llm.near_dedup import drop_near_copies
+from somaframe.llm.packing import packed_digests
+from somaframe.sources.writers import staged
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_unidentified(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_exact_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_copies(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packed_digests(docs)
+
+
+STAGES = [("language", language), ("exact", exact), ("near", near), ("benchmark", benchmark), ("packing", packing)]
+ORACLE_SQL = None  # language identification and packing are not SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, each written and reread."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
+SQL: dict[str, str] = {}

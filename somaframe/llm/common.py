@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-BROADCAST_ROWS = 2_000_000  # largest side sent to every executor, in rows of a few numbers
+BROADCAST_ROWS = 1_000_000  # largest side sent to every executor, in rows of a few numbers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, packing, quality_crf, token_counts
+from . import (
+    decontaminate, exact_dedup, language_id, lm_score, near_dedup, packing, quality_crf, substring_dedup, suffix_dedup,
+    token_counts,
+)
 
-_MODULES = (quality_crf, token_counts, exact_dedup, language_id, decontaminate, packing)
+_MODULES = (
+    quality_crf, near_dedup, token_counts, lm_score, exact_dedup, substring_dedup, language_id, decontaminate, packing,
+    suffix_dedup,
+)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
