@@ -10,10 +10,13 @@ totals of the partitions before it, one number per partition.
 
 from __future__ import annotations
 
+import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -25,39 +28,68 @@ SEQUENCE = 4096
 DIMENSIONS = 4
 BITS = 12  # of the curve, per dimension
 END = 2  # id after each document
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+
+
+# The tokenizer's own split of lower-case text, and its characters for bytes: printable
+# ones stand for themselves, the others for code points from 256 on.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+PLAIN = regex.compile("[!-~\u00a1-\u00ac\u00ae-\u024f]+")
 
 
 class WordEncoder:
     """Token ids of texts for a tokenizer that drops white space and lower-cases:
     a text's ids are those of its words, which are remembered.
 
-    Only ASCII letters are lowered before the look-up; the tokenizer does the
-    rest. A text with the marks of special tokens is encoded as a whole.
+    Only ASCII letters are lowered before the look-up. Words of Latin letters and
+    marks go straight to the tokenizer's merges, all others through the whole
+    tokenizer, as do texts with the marks of special tokens.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARS)
+        ids = self.pieces[piece] = array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
+        return ids
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not PLAIN.fullmatch(text):
+            return self._whole(text)
+        found = self.pieces
+        return b"".join([found.get(p) or self._piece(p) for p in PIECE.findall(text.lower())])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if "<|" in t else t.encode().lower().split() for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = list(set().union(*[w for w in split if w]).difference(self.known))
-        for i in range(0, len(new), 5000):
-            words = new[i: i + 5000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found))
-        known = self.known
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            if words is None else b"".join([known[w] for w in words])
-            for t, words in zip(texts, split)
-        ]
+            self.pieces.clear()
+        known, out = self.known, []
+        for text in texts:
+            if "<|" in text:
+                out.append(self._whole(text))
+                continue
+            words = text.encode().lower().split()
+            try:
+                out.append(b"".join([known[w] for w in words]))
+            except KeyError:
+                for w in set(words).difference(known):
+                    known[w] = self._word(w)
+                out.append(b"".join([known[w] for w in words]))
+        return out
 
 
 @lru_cache(maxsize=2)
