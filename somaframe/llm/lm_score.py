@@ -27,7 +27,7 @@ from .words import hashed_documents, mix
 
 BACKOFF = 0.4
 UNSEEN = 0.5  # count of a word that no other document has
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 GROUP_PAIRS = 3_000_000
 BEGIN = np.uint64(1)  # stands before the first word
 _PLACE = np.uint64(0xD1342543DE82EF95)

@@ -29,7 +29,7 @@ from .suffix_merge import front_code, front_decode, merge_runs, prefix_lengths
 from .words import mix, powers, running, slices, text_buffer
 
 WINDOW = 100
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 GROUP_POINTS = 400_000  # sync points in one group, about
 LAST_ID = (1 << 63) - 1  # stands for a missing id
 _KEY = "doc_id long, text_key long"
