@@ -8,9 +8,10 @@ in no table with a probability below 5e-4. Halves that only one text has can be
 no shared table and are dropped first.
 
 Texts with equal sets are one. In each table group all texts are compared with its
-smallest and its largest id; groups that are not one component then are searched
-in bounded blocks, in which only pairs of alike signatures across components are
-passed on. Every link is confirmed on the full sets.
+smallest and its largest id. Texts of groups that are not one component then meet
+again by their half key, in blocks of bounded size that hold the full sets: there
+pairs of alike signatures across components are compared, and links that join
+components returned. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ SHINGLE = 5
 PERCENT = 80
 DEPTH = 3  # min-hashes in a half key
 MISSED = 5e-4
-BLOCK = 512
+BLOCK = 4096  # texts in one block, at most about twice as many between two
 
 
 def halves_for(percent: int) -> int:
@@ -121,10 +122,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(take, "sid long, shingles array<long>").dropDuplicates(["sid"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, sid_a, b, sid_b) whose full sets are alike enough."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = staged(_sets(docs, staged(nodes, "involved"), width), "sets")
     left = sets.select(F.col("sid").alias("sid_a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("sid").alias("sid_b"), F.col("shingles").alias("set_b"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
@@ -136,7 +135,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> D
 
 
 def _tables(texts: DataFrame, n_halves: int) -> DataFrame:
-    """key and text (node, sid, n, brief) for each table of shared halves."""
+    """node, first half and key of each table in which both halves are shared."""
     halves = texts.select("node", F.posexplode("halves").alias("k", "half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("half")
     left = halves.join(shared, "half", "left_semi").groupBy("node").agg(  # at most 2 x n_halves entries
@@ -144,24 +143,38 @@ def _tables(texts: DataFrame, n_halves: int) -> DataFrame:
         F.collect_list(F.when(F.col("k") >= n_halves, F.col("half"))).alias("second"),
     )
     return left.select("node", F.explode("first").alias("f"), "second").select(
-        "node", "f", F.explode("second").alias("s")).select("node", F.xxhash64("f", "s").alias("key"))
+        "node", "f", F.explode("second").alias("s")).select("node", "f", F.xxhash64("f", "s").alias("key"))
 
 
-def _alike(block: pd.DataFrame, percent: int, least: int) -> pd.DataFrame:
-    """Pairs across components with ``least`` equal min-hashes, from one block or
-    between two."""
+def _joined(block: pd.DataFrame, percent: int, least: int) -> pd.DataFrame:
+    """Links that join components of one block, or of two: pairs with ``least``
+    equal min-hashes are compared unless they are joined already."""
     block = block.sort_values("node")
     sign = np.stack([np.frombuffer(b, np.uint16) for b in block["brief"]])
+    sets = [np.sort(x) for x in block["shingles"]]
     node, part, n, own = (block[c].to_numpy() for c in ("node", "component", "n", "own"))
     alone = block["low"].iloc[0] == block["high"].iloc[0]
-    a, b = [], []
+    above = {int(p): int(p) for p in np.unique(part)}
+
+    def root(p: int) -> int:
+        while above[p] != p:
+            above[p] = p = above[above[p]]
+        return p
+
+    links = []
     for i in range(len(block) - 1):
         j = np.flatnonzero((part[i + 1:] != part[i]) & (alone | (own[i + 1:] != own[i]))) + i + 1
         j = j[(100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-        j = j[(sign[j] == sign[i]).sum(1) >= least]
-        a += [node[i]] * len(j)
-        b += node[j].tolist()
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        for k in j[(sign[j] == sign[i]).sum(1) >= least].tolist():
+            a, b = root(int(part[i])), root(int(part[k]))
+            if a == b:
+                continue
+            at = np.minimum(np.searchsorted(sets[i], sets[k]), len(sets[i]) - 1)
+            shared = int((sets[i][at] == sets[k]).sum())
+            if 100 * shared >= percent * (len(sets[i]) + len(sets[k]) - shared):
+                above[max(a, b)] = min(a, b)
+                links.append((int(node[i]), int(node[k])))
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
 def similar_groups(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE,
@@ -171,8 +184,9 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE
     Documents are linked if their sets of ``width`` words have a Jaccard similarity
     of at least ``percent``; a text of fewer words is one shingle, a missing or
     empty one has none and is alone. ``component_id`` is the smallest id reachable.
-    Rows of one id are one document. Rows without an id are not linked and get no
-    component. Further columns are ignored; an empty table gives no rows.
+    Repeated rows get the same result; rows of one id with different texts are
+    linked by each text under that id. Rows without an id are not linked and get
+    no component. Further columns are ignored; an empty table gives no rows.
     """
     pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n_halves = halves_for(percent)
@@ -186,15 +200,14 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE
     ends = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
     led = members.join(ends, "key").select("node", F.explode(F.array("lo", "hi")).alias("b")).filter("node <> b")
     tried = staged(led.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "led")
-    links = staged(_confirmed(staged(_sized(tried, known, percent), "pairs"), pair, percent, width), "confirmed")
-    # ids of one row each for several texts: one document
-    same = texts.groupBy("sid", "sid2").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("a", "b")
-    found = staged(components(links.unionByName(same)), "components")
-    more = staged(_across(members, texts, found, tried, percent, 2 * n_halves * DEPTH), "across")
+    involved = staged(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
+    sets = staged(_sets(pair, involved, width), "sets")
+    links = staged(_confirmed(staged(_sized(tried, known, percent), "pairs"), sets, percent), "confirmed")
+    found = staged(components(links), "components")
+    more = staged(_across(members, texts, sets, found, percent, 2 * n_halves * DEPTH), "across")
     if more.limit(1).count():
-        extra = staged(_confirmed(staged(_sized(more, known, percent), "pairs"), pair, percent, width), "confirmed")
-        found = staged(components(extra.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-                                  ), "components")
+        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = staged(components(more.unionByName(stars)), "components")
     of_text = signed.join(texts.select("sid", "sid2", F.col("node").alias("_node")), ["sid", "sid2"], "left")
     joined = of_text.join(small_side(found), F.col("_node") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "_node", "doc_id"))
@@ -211,24 +224,25 @@ def _sized(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return sized.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "sid_a", "b", "sid_b")
 
 
-def _across(members: DataFrame, texts: DataFrame, found: DataFrame, tried: DataFrame, percent: int, hashes: int) -> DataFrame:
-    """Pairs still to be confirmed, from table groups of several components."""
+def _across(members: DataFrame, texts: DataFrame, sets: DataFrame, found: DataFrame, percent: int, hashes: int) -> DataFrame:
+    """Links between components in table groups of several components."""
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     groups = placed.groupBy("key").agg(
-        F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("size"),
-        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"),
-    ).filter("c1 < c2 AND size > 2")  # of two, both have been compared
-    open_ = staged(groups.groupBy("who", "size").agg(F.min("key").alias("key")).select("key", "size"), "open")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n"),
+    ).filter("c1 < c2 AND n > 2").select("key")  # of two, both have been compared
+    open_ = staged(placed.join(groups, "key", "left_semi").select("f", "node", "component").distinct(), "open")
+    # halves with the same texts need one search
+    sizes = open_.groupBy("f").agg(
+        F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")
+    ).groupBy("who", "size").agg(F.min("f").alias("f")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = placed.join(small_side(open_), "key").withColumn("blocks", blocks).withColumn("own", own)
-    rows = rows.join(texts.select("node", "n", "brief"), "node")
-    spread = rows.select("key", "node", "component", "n", "brief", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = open_.join(sizes, "f").withColumn("own", own).join(texts.select("node", "sid", "n", "brief"), "node").join(sets, "sid")
+    spread = rows.select(
+        "f", "node", "component", "n", "brief", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
     share = percent / 100
     least = int(hashes * share - 4 * (hashes * share * (1 - share)) ** 0.5)  # four standard deviations below
-    pairs = spread.groupBy("key", "low", "high").applyInPandas(lambda g: _alike(g, percent, least), "a long, b long").distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    return spread.groupBy("f", "low", "high").applyInPandas(lambda g: _joined(g, percent, least), "a long, b long").distinct()
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
