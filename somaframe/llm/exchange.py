@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import zstandard
 
+from .words import mix
+
 
 def squeeze(values: np.ndarray) -> bytes:
     """Any numbers; equal-weight bytes are compressed together."""
@@ -59,3 +61,33 @@ def chunks(batches: Iterator[pa.RecordBatch], text_at: int, size: int) -> Iterat
 def run_starts(ordered: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins."""
     return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+
+
+BUNDLE = "bucket long, keys binary, sizes binary, data binary"
+
+
+def bundles(found: list[tuple], buckets: int, width: int) -> list[tuple]:
+    """One row per bucket for answers (keys..., bytes) with ``width`` integer keys:
+    documents of a bucket, bytes of each, and the bytes."""
+    keys = np.array([f[:width] for f in found], np.int64).reshape(-1, width)
+    bucket = (mix(np.ascontiguousarray(keys[:, 0]).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = run_starts(bucket[order])
+    rows = []
+    for a, b in zip(cut, np.append(cut[1:], len(order))):
+        own = order[a:b]
+        data = [found[i][width] for i in own]
+        rows.append((int(bucket[own[0]]), squeeze(keys[own].ravel()), squeeze(np.array([len(x) for x in data], np.int64)),
+                     zstandard.ZstdCompressor(level=1).compress(b"".join(data))))
+    return rows
+
+
+def opened(group, width: int) -> list[tuple]:
+    """All answers of a bucket: keys and joined bytes, one row per document."""
+    joined: dict[tuple, list[bytes]] = {}
+    for keys, sizes, data in zip(group["keys"], group["sizes"], group["data"]):
+        raw, at = zstandard.ZstdDecompressor().decompress(data), 0
+        for key, size in zip(unsqueeze(keys, np.int64).reshape(-1, width).tolist(), unsqueeze(sizes, np.int64).tolist()):
+            joined.setdefault(tuple(key), []).append(raw[at: at + size])
+            at += size
+    return [(*key, b"".join(parts)) for key, parts in joined.items()]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table, text_key
-from .exchange import chunks, pack_sorted, run_starts, squeeze, unpack_sorted, unsqueeze
+from .exchange import BUNDLE, bundles, chunks, opened, pack_sorted, run_starts, squeeze, unpack_sorted, unsqueeze
 from .suffix_merge import front_code, front_decode, merge_runs, prefix_lengths
 from .words import mix, powers, running, slices, text_buffer
 
@@ -107,6 +107,13 @@ def _unbrief(data: bytes) -> np.ndarray:
     return np.hstack([rows, np.zeros((len(rows), 2), np.uint8)]).view("<u8").ravel()
 
 
+def _spans(starts: np.ndarray) -> bytes:
+    """Window starts as runs of neighbours: first and number of each."""
+    starts = np.sort(starts)
+    begin = np.flatnonzero(np.append(True, np.diff(starts) != 1)[: len(starts)])
+    return np.stack([starts[begin], np.diff(np.append(begin, len(starts)))], 1).astype("<i8").tobytes()
+
+
 def _by_document(doc: np.ndarray, values: np.ndarray):
     order = np.argsort(doc, kind="stable")
     doc, values = doc[order], values[order]
@@ -121,6 +128,20 @@ def _send(rows: list[tuple], kinds: list, names: list[str]):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
 
+def _bundled(found: list[tuple], buckets: int) -> pd.DataFrame:
+    return pd.DataFrame(bundles(found, buckets, 2), columns=["bucket", "keys", "sizes", "data"]).astype({"bucket": "int64"})
+
+
+def _answers(found: DataFrame, name: str) -> DataFrame:
+    """One row per text from the rows of all groups, by bucket of texts; there are
+    as many buckets as groups."""
+    def open_(group: pd.DataFrame) -> pd.DataFrame:
+        columns = ["doc_id", "text_key", name]
+        return pd.DataFrame(opened(group, 2), columns=columns).astype({"doc_id": "int64", "text_key": "int64"})
+
+    return found.groupBy("bucket").applyInPandas(open_, f"{_KEY}, {name} binary")
+
+
 def repeated_points(docs: DataFrame, width: int, groups: int) -> DataFrame:
     """doc_id, text_key and the hashes of its sync points that occur elsewhere too."""
     def own(batches):
@@ -167,11 +188,10 @@ def repeated_points(docs: DataFrame, width: int, groups: int) -> DataFrame:
             hit = hit[asks[hit]]
             both, place = np.unique(np.stack([ids[hit], keys[hit]], 1), axis=0, return_inverse=True)
             found += [(*both[d].tolist(), _brief(p)) for d, p in _by_document(place.ravel(), hashes[hit])]
-        return pd.DataFrame(found, columns=["doc_id", "text_key", "hashes"]).astype({"doc_id": "int64", "text_key": "int64"})
+        return _bundled(found, groups)
 
     sent = docs.mapInArrow(own, "grp long, kind int, ids binary, keys binary, at binary, hashes binary")
-    found = sent.groupBy("grp").applyInPandas(meet, f"{_KEY}, hashes binary")
-    return found.groupBy("doc_id", "text_key").agg(F.collect_list("hashes").alias("hashes"))  # points of one text
+    return _answers(sent.groupBy("grp").applyInPandas(meet, BUNDLE), "hashes")
 
 
 class Suffixes:
@@ -229,7 +249,7 @@ def _runs(docs: DataFrame, width: int, groups: int) -> DataFrame:
                 for a, b in zip(cut, np.append(cut[1:], len(doc))):
                     d = int(doc[a])
                     if d not in wanted:
-                        wanted[d] = _unbrief(b"".join(lists[d].as_py()))
+                        wanted[d] = _unbrief(lists[d].as_py())
                     keep[a:b] = np.isin(hashes[a:b] >> np.uint64(16), wanted[d])
                 doc, place, first, last, at, hashes = (x[keep] for x in (doc, place, first, last, at, hashes))
                 padded = np.concatenate([np.zeros(half, np.uint8), data, np.zeros(width, np.uint8)])
@@ -250,7 +270,7 @@ def _runs(docs: DataFrame, width: int, groups: int) -> DataFrame:
             s = Suffixes(rank[doc], doc, place, mask, before, rows).take(sort)
             hashes = hashes[sort]
             at, o = later_windows(s, prefix_lengths(s.rows), width)
-            out = [(d % groups, 1, None, np.array([ids[d], keys[d]]).tobytes(), (np.sort(p)).astype("<i8").tobytes(), None, None, None, None)
+            out = [(d % groups, 1, None, np.array([ids[d], keys[d]]).tobytes(), _spans(p), None, None, None, None)
                    for d, p in _by_document(s.doc[at], s.place[at] - o)]
             gone = np.zeros(len(s.mask), np.int64)
             np.bitwise_or.at(gone, at, np.int64(1) << o)
@@ -274,7 +294,7 @@ def _runs(docs: DataFrame, width: int, groups: int) -> DataFrame:
     return docs.mapInArrow(build, "grp long, kind int, docs binary, of binary, at binary, place binary, mask binary, common binary, bytes binary")
 
 
-def _merged(group: pd.DataFrame, width: int) -> pd.DataFrame:
+def _merged(group: pd.DataFrame, width: int, groups: int) -> pd.DataFrame:
     half = width // 2
     known = group[group["kind"] == 1]
     found = [(*np.frombuffer(a, np.int64).tolist(), p) for a, p in zip(known["of"], known["at"])]
@@ -305,8 +325,8 @@ def _merged(group: pd.DataFrame, width: int) -> pd.DataFrame:
         s = Suffixes(rank, None, np.concatenate(place), np.concatenate(mask), np.concatenate(before), None).take(at)
         hit, o = later_windows(s, np.array(lengths), width)
         both, doc = np.unique(np.stack([ids[at[hit]], keys[at[hit]]], 1), axis=0, return_inverse=True)
-        found += [(*both[d].tolist(), np.sort(p).astype("<i8").tobytes()) for d, p in _by_document(doc.ravel(), s.place[hit] - o)]
-    return pd.DataFrame(found, columns=["doc_id", "text_key", "starts"]).astype({"doc_id": "int64", "text_key": "int64"})
+        found += [(*both[d].tolist(), _spans(p)) for d, p in _by_document(doc.ravel(), s.place[hit] - o)]
+    return _bundled(found, groups)
 
 
 def cut_repeated_bytes(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,9 +353,8 @@ def cut_repeated_bytes(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_
     key = ["doc_id", "text_key"]
     points = repeated_points(keyed, width, groups)
     ahead = keyed.join(points, key).select(*key, "text", "hashes")
-    removed = _runs(ahead, width, groups).groupBy("grp").applyInPandas(lambda g: _merged(g, width), f"{_KEY}, starts binary")
-    starts = removed.groupBy(*key).agg(F.collect_list("starts").alias("starts"))  # windows of one text
-    joined = keyed.join(starts, key, "left").select("doc_id", "text", "starts")
+    removed = _runs(ahead, width, groups).groupBy("grp").applyInPandas(lambda g: _merged(g, width, groups), BUNDLE)
+    joined = keyed.join(_answers(removed, "starts"), key, "left").select("doc_id", "text", "starts")
 
     def cut(batches):
         for batch in batches:
@@ -344,8 +363,8 @@ def cut_repeated_bytes(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_
                 data = np.frombuffer(text.as_buffer(), np.uint8) if text.as_py() else np.zeros(0, np.uint8)
                 found = found.as_py()
                 if found:
-                    at = np.frombuffer(b"".join(found), "<i8")
-                    depth = np.bincount(at, minlength=len(data) + 1) - np.bincount(at + width, minlength=len(data) + 1)
+                    at, n = np.frombuffer(found, "<i8").reshape(-1, 2).T
+                    depth = np.bincount(at, minlength=len(data) + 1) - np.bincount(at + n - 1 + width, minlength=len(data) + 1)
                     goes = np.cumsum(depth)[: len(data)] > 0
                     spans = int((goes & ~np.append(False, goes[:-1])).sum())
                     values = len(data), int(goes.sum()), spans, data[~goes].tobytes()
