@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
-from .exchange import chunks, pack_sorted, run_starts, squeeze, unpack_sorted, unsqueeze
+from .exchange import BUNDLE, bundles, chunks, opened, pack_sorted, run_starts, squeeze, unpack_sorted, unsqueeze
 from .words import hashed_documents, mix, window_hashes
 
 WINDOW = 13
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 GROUP_NODES = 1_500_000  # path ends in one group, about
 LEVELS = 3  # longest prefix in words
 LAST_ID = (1 << 63) - 1  # stands for a missing id
@@ -124,8 +124,9 @@ def _own_trees(docs: DataFrame, width: int, groups: int, heavy: np.ndarray) -> D
     return docs.mapInArrow(build, _ROWS)
 
 
-def _merged_tree(group: pd.DataFrame) -> pd.DataFrame:
-    """Documents and paths of a group whose node has a smaller document."""
+def _merged_tree(group: pd.DataFrame, groups: int) -> pd.DataFrame:
+    """Documents and paths of a group whose node has a smaller document, one row for
+    each bucket of documents."""
     known = group[group["kind"] == 1]
     found = [(int(np.frombuffer(a, np.int64)[0]), p) for a, p in zip(known["at"], known["paths"])]
     nodes = group[group["kind"] == 0]
@@ -139,7 +140,11 @@ def _merged_tree(group: pd.DataFrame) -> pd.DataFrame:
         later = doc > least
         values, place = np.unique(doc[later], return_inverse=True)
         found += list(_by_document(place, paths[later], values))
-    return pd.DataFrame(found, columns=["doc_id", "paths"]).astype({"doc_id": "int64"})
+    return pd.DataFrame(bundles(found, groups, 1), columns=["bucket", "keys", "sizes", "data"]).astype({"bucket": "int64"})
+
+
+def _answers(group: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame(opened(group, 1), columns=["doc_id", "paths"]).astype({"doc_id": "int64"})
 
 
 def repeated_paths(docs: DataFrame, width: int) -> DataFrame:
@@ -154,8 +159,8 @@ def repeated_paths(docs: DataFrame, width: int) -> DataFrame:
     heavy = weights.filter((F.col("prefix") != 0) & (F.col("n") >= total / groups / 2)).select("prefix").collect()
     frequent = np.array([r["prefix"] for r in heavy], np.int64).view(np.uint64)
     trees = _own_trees(docs, width, groups, frequent)
-    found = trees.groupBy("grp").applyInPandas(_merged_tree, _FOUND)
-    return found.groupBy("doc_id").agg(F.collect_list("paths").alias("paths"))  # windows of one document
+    found = trees.groupBy("grp").applyInPandas(lambda g: _merged_tree(g, groups), BUNDLE)
+    return found.groupBy("bucket").applyInPandas(_answers, _FOUND)  # as many buckets as groups
 
 
 def cut_repeats(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,7 +188,7 @@ def cut_repeats(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", te
                     goes = np.zeros(b - a, bool)
                     found = lists[lo + d].as_py()
                     if found and b - a >= width:
-                        wanted = np.frombuffer(b"".join(found), np.uint8).reshape(-1, 6)
+                        wanted = np.frombuffer(found, np.uint8).reshape(-1, 6)
                         wanted = np.hstack([wanted, np.zeros((len(wanted), 2), np.uint8)]).view("<u8").ravel()
                         hit = np.isin(window_hashes(words[a:b], width) >> np.uint64(16), wanted)
                         depth = np.zeros(b - a + 1, np.int64)
