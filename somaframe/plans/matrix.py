@@ -155,15 +155,16 @@ def frequency_from_events(
 ) -> DataFrame:
     """``alteration_frequency`` of the dense matrix, without building it: altered
     samples are counted on the sparse events, the number of samples once."""
+    genes = distinct_list(panel)
+    events = events.filter(in_set(gene, genes))  # as in the dense matrix, whose samples have panel events
     if restrict_to_complete:
         events = semi_join(events, samples, [sample], null_safe)
         universe = samples.select(sample).distinct()
     else:
         universe = samples.select(sample).union(events.select(sample)).distinct()
     size = universe.agg(F.count(F.lit(1))).scalar()
-    genes = distinct_list(panel)
     altered = (
-        events.filter(in_set(gene, genes)).groupBy(gene)
+        events.groupBy(gene)
         .agg(F.count_if(col(value) != "").alias("n_altered"))
     )
     counts = altered.agg(F.map_from_entries(F.collect_list(F.struct(gene, "n_altered")))).scalar()
