@@ -243,7 +243,7 @@ SQL["gene_order"] = f"WITH {_SQL_MATRIX}, {_SQL_GENE_ORDER} SELECT * FROM gene_o
 def _sql_first(layer, column="alterations"):
     """Place in the layer of a cell's first class that belongs to it."""
     first = f"list_filter(string_split({column}, ';'), lambda x: x IN ({sql_list(layer)}))[1]"
-    return f"coalesce({sql_ordinal(first, layer)}, 99)"
+    return f"coalesce({sql_ordinal(first, layer)}, {len(layer)})"
 
 
 def _sql_order(layers, matrix="matrix"):
@@ -275,7 +275,7 @@ def _sql_appearance():
 f{i} AS (SELECT sample, gene, {first} AS c FROM matrix),
 o{i} AS (SELECT c, row_number() OVER (ORDER BY s, g) - 1 AS place FROM (
   SELECT c, min((sample, gene))[1] AS s, min((sample, gene))[2] AS g FROM f{i} WHERE c IS NOT NULL GROUP BY c))""")
-        places.append(f"coalesce(o{i}.place, 99)")
+        places.append(f"coalesce(o{i}.place, {len(layer)})")
     joins = " ".join(
         f"JOIN f{i} ON f{i}.sample = m.sample AND f{i}.gene = m.gene LEFT JOIN o{i} ON o{i}.c = f{i}.c" for i in range(2)
     )

@@ -10,8 +10,6 @@ from ..functions.classes import TWO_LAYERS, first_in_layer, ordinal
 from ..functions.nulls import col
 from .ranks import row_positions
 
-ABSENT = 99  # sorts after every class of a layer
-
 
 def gene_order(matrix: DataFrame, gene: str = "gene", value: str = "alterations") -> DataFrame:
     """Genes with their count of blank cells and place: fewest blanks first, ties
@@ -76,7 +74,7 @@ def order_samples(
             at = F.array_position(order, found).cast("int") - 1
         else:
             at = ordinal(found, layer)
-        return F.coalesce(at, F.lit(ABSENT))
+        return F.coalesce(at, F.lit(len(layer)))
 
     cell = F.struct(
         F.array_position(genes, col(gene)).alias("gene_rank"),

@@ -146,6 +146,13 @@ def read_tagged(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _one_header(count: str) -> Column:
+    """True where a file's number of header lines is 1, an error elsewhere."""
+    n = F.coalesce(F.col(count), F.lit(0))
+    text = F.concat(n.cast("string"), F.lit(" header lines instead of one in "), F.col("_file"))
+    return F.when(n == 1, True).otherwise(F.raise_error(text).cast("boolean"))
+
+
 def read_preambled(
     spark: SparkSession,
     path: str | list[str],
@@ -164,9 +171,10 @@ def read_preambled(
 
     Preamble and blank lines are left out. With ``layout="shared"`` all files
     must have the header of the first one (a differing header is an error) and
-    fields are taken by place in a single scan. With ``layout="per_file"`` each
-    file's own header is joined to its lines and fields are taken by name;
-    ``types`` must then say which.
+    fields are taken by place; a second scan counts the headers of each file. With
+    ``layout="per_file"`` each file's own header is joined to its lines and fields
+    are taken by name; ``types`` must then say which. In both, a file with lines
+    but no header, or with several, is an error.
     """
     lines = _files(spark, glob, recursive).text(path).select(
         "value", F.col("_metadata.file_path").alias("_file")
@@ -183,14 +191,20 @@ def read_preambled(
         body = lines.filter(
             ~F.when(is_header & (F.col("value") != header), F.raise_error(other).cast("boolean"))
             .otherwise(is_header)
-        ).withColumn("_parts", parts)
+        )
+        per_file = lines.groupBy("_file").agg(F.count_if(is_header).alias("_headers"))
+        wrong = per_file.filter(~_one_header("_headers"))  # raises, so it adds no row
+        body = body.unionByName(wrong.select(F.lit("").alias("value"), "_file")).withColumn("_parts", parts)
         cells = {n: F.get("_parts", i) for i, n in enumerate(names)}
         wanted = dict.fromkeys(names, "string") if types is None else types
     elif layout == "per_file":
         if types is None:
             raise ValueError("layout='per_file' needs the wanted columns in types")
-        headers = lines.filter(is_header).select("_file", parts.alias("_names"))
-        body = lines.filter(~is_header).join(headers, "_file").withColumn("_parts", parts)
+        headers = lines.filter(is_header).groupBy("_file").agg(
+            F.count(F.lit(1)).alias("_headers"), F.split(F.min("value"), sep, -1).alias("_names")
+        )
+        body = lines.filter(~is_header).join(headers, "_file", "left").filter(_one_header("_headers"))
+        body = body.withColumn("_parts", parts)
         checked = F.transform("_names", lambda n: F.regexp_replace(
             F.regexp_replace(n, "^(?![A-Za-z.])", "X"), "[^0-9A-Za-z_]", "_"))
         body = body.withColumn("_names", checked)

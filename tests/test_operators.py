@@ -266,7 +266,7 @@ def _expected_order(layers, place):
         out = []
         for g_, layer in itertools.product(genes, layers):
             found = [c for c in CELLS.get((g_, s), "").split(";") if c in layer]
-            out.append(layer.index(found[0]) if found else 99)
+            out.append(layer.index(found[0]) if found else len(layer))
         return out, place(s), s
     return sorted(SAMPLES, key=key)
 
@@ -284,6 +284,16 @@ def test_order_samples(matrix, layers):
     assert [r["sample"] for r in kept] == _expected_order(layers, lambda s: -int(s[1]))
 
 
+def test_blank_cells_come_after_every_class_of_a_long_layer(spark):
+    layer = [f"c{i}" for i in range(150)]
+    data = [("A", "s1", ""), ("A", "s2", "c149"), ("A", "s3", "c99"), ("A", "s4", "c100"), ("A", "s5", "other")]
+    df = spark.createDataFrame(data, "gene string, sample string, alterations string")
+    got = order_samples(df, [layer]).orderBy("position").collect()
+    assert [r["sample"] for r in got] == ["s3", "s4", "s2", "s1", "s5"]
+    got = order_samples(df, [layer], levels="appearance").orderBy("position").collect()
+    assert [r["sample"] for r in got] == ["s2", "s3", "s4", "s1", "s5"]
+
+
 def test_order_by_first_appearance(spark):
     data = [("A", "s1", "Gain"), ("A", "s2", "Deep Deletion"), ("A", "s3", "Gain"), ("A", "s4", "")]
     df = spark.createDataFrame(data, "gene string, sample string, alterations string")

@@ -102,6 +102,20 @@ def test_preambled_text(spark, tmp_path, rows):
     assert rows(r.read_preambled(spark, str(tmp_path), layout="per_file", **options)) == expected + [("S3", "v4", "KRT5", 0.3)]
 
 
+@pytest.mark.parametrize("layout", ["shared", "per_file"])
+@pytest.mark.parametrize("n", [0, 2])
+def test_a_file_without_one_header_is_an_error(spark, tmp_path, layout, n):
+    header = "#id\tx\n"
+    _put(tmp_path / "a.tab", "##p\n" + header + "v1\t1\n")
+    _put(tmp_path / "b.tab", "##p\n" + header * n + "v2\t2\n")
+    _put(tmp_path / "c.tab", "##p\n")
+    df = r.read_preambled(spark, str(tmp_path), types={"X_id": "string", "x": "int"}, layout=layout)
+    with pytest.raises(Exception, match=f"{n} header lines"):
+        df.collect()
+    with pytest.raises(Exception, match=f"{n} header lines"):
+        df.count()
+
+
 def test_vep_columns(spark, tmp_path):
     names = [{"X_Uploaded_variation": "#Uploaded_variation", "GERP___RS_rankscore": "GERP++_RS_rankscore"}.get(c, c)
              for c in ["X_Uploaded_variation", *[c for c in cf.VEP_TYPES if c != "X_Uploaded_variation"]]]
