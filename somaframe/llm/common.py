@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+BATCH_ROWS = 2_000  # whole texts passed to Python at once
 BROADCAST_ROWS = 1_000_000  # largest side sent to every executor, in rows of a few numbers
 
 
@@ -11,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """At most ``rows`` rows in an Arrow batch for what is written meanwhile: whole
+    texts in batches of the default size fill the memory outside of Spark's heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table marked for broadcast if its counted rows are at most ``rows``;
     else as it is, so that the join shuffles. For staged tables, as it counts."""

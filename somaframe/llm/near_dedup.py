@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.writers import staged
-from .common import keep_rows, small_side, table
+from .common import keep_rows, small_side, table, text_batches
 from .components import components
 from .words import hashed_documents, mix, window_hashes
 
@@ -190,7 +190,8 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE
     """
     pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n_halves = halves_for(percent)
-    signed = staged(_signed(pair, width, n_halves), "signed")
+    with text_batches(docs.sparkSession):
+        signed = staged(_signed(pair, width, n_halves), "signed")
     texts = staged(
         signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sid", "sid2").agg(
             F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.first("brief").alias("brief")),
@@ -201,7 +202,8 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE
     led = members.join(ends, "key").select("node", F.explode(F.array("lo", "hi")).alias("b")).filter("node <> b")
     tried = staged(led.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "led")
     involved = staged(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
-    sets = staged(_sets(pair, involved, width), "sets")
+    with text_batches(docs.sparkSession):
+        sets = staged(_sets(pair, involved, width), "sets")
     links = staged(_confirmed(staged(_sized(tried, known, percent), "pairs"), sets, percent), "confirmed")
     found = staged(components(links), "components")
     more = staged(_across(members, texts, sets, found, percent, 2 * n_halves * DEPTH), "across")

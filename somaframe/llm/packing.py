@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..sources.writers import staged
-from .common import small_side, table
+from .common import small_side, table, text_batches
 from .words import hashed_documents
 
 SEQUENCE = 4096
@@ -201,7 +201,8 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int
     machine; its tokens must not depend on white space.
     """
     pair = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    encoded = staged(_encoded(pair, tokenizer, end_id), "encoded")
+    with text_batches(docs.sparkSession):
+        encoded = staged(_encoded(pair, tokenizer, end_id), "encoded")
     placed = encoded.select("uid", "doc_id", "n", "ids").join(small_side(_places(encoded)), "uid")
 
     def cut(batches):
