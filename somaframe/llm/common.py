@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BATCH_ROWS = 2_000  # whole texts passed to Python at once
@@ -28,6 +30,18 @@ def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each, what Arrow and the C library hold without need goes
+    back to the system. Workers outlive their tasks and share a machine's memory."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if trim is not None:
+            trim(0)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table marked for broadcast if its counted rows are at most ``rows``;
     else as it is, so that the join shuffles. For staged tables, as it counts."""

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..sources.writers import staged
-from .common import small_side, table
+from .common import released, small_side, table
 from .words import slices, text_buffer
 
 DIMENSIONS = 1 << 12
@@ -66,7 +66,7 @@ def held_out(id_col: Column, parts: int, part: int) -> Column:
 def _document_frequencies(learning: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches):
         seen, n = np.zeros(DIMENSIONS, np.int64), 0
-        for batch in batches:
+        for batch in released(batches):
             for lo, hi, counts in gram_counts(batch.column(0)):
                 seen += (counts > 0).sum(0)
                 n += hi - lo
@@ -122,7 +122,7 @@ def fit_languages(
     sample = rows.join(small_side(ids.distinct()), "doc_id").select("lang", "order", "text")
 
     def vectorise(batches):
-        for batch in batches:
+        for batch in released(batches):
             out = [v.tobytes() for _, _, c in gram_counts(batch.column(2)) for v in vectors(c, weights)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["lang", "order", "vector"])
@@ -147,7 +147,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
     names = np.array([*model.languages, "und"], dtype=object)
 
     def predict(batches):
-        for batch in batches:
+        for batch in released(batches):
             texts = batch.column(batch.schema.get_field_index(text_col))
             n = batch.num_rows
             pick, score = np.full(n, len(names) - 1), np.zeros(n)

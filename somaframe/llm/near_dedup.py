@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.writers import staged
-from .common import keep_rows, small_side, table, text_batches
+from .common import keep_rows, released, small_side, table, text_batches
 from .components import components
 from .words import hashed_documents, mix, window_hashes
 
@@ -77,7 +77,7 @@ def _signed(docs: DataFrame, width: int, n_halves: int) -> DataFrame:
     multipliers = seeds(n_halves)
 
     def sign(batches):
-        for batch in batches:
+        for batch in released(batches):
             for lo, hi, shingles, begin in shingle_sets(batch.column(1), width):
                 n = np.diff(begin)
                 filled = n > 0
@@ -109,7 +109,7 @@ def _signed(docs: DataFrame, width: int, n_halves: int) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """sid and shingle set of the documents whose id is in ``wanted`` (column node)."""
     def take(batches):
-        for batch in batches:
+        for batch in released(batches):
             for lo, hi, shingles, begin in shingle_sets(batch.column(1), width):
                 filled = np.flatnonzero(np.diff(begin) > 0)
                 if len(filled):

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..sources.writers import staged
-from .common import small_side, table, text_batches
+from .common import released, small_side, table, text_batches
 from .words import hashed_documents
 
 SEQUENCE = 4096
@@ -144,7 +144,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def encode(batches):
         task, row = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in released(batches):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = part.column(1).fill_null("")
@@ -170,7 +170,7 @@ def _places(encoded: DataFrame) -> DataFrame:
     """uid and place in the stream of each document's first token."""
     def run(batches):
         task, total = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in released(batches):
             n = batch.column(1).to_numpy()
             ends = total + np.cumsum(n)
             total = int(ends[-1]) if len(ends) else total
@@ -206,7 +206,7 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int
     placed = encoded.select("uid", "doc_id", "n", "ids").join(small_side(_places(encoded)), "uid")
 
     def cut(batches):
-        for batch in batches:
+        for batch in released(batches):
             for at in range(0, batch.num_rows, 1000):
                 rows = batch.slice(at, 1000)
                 out = {k: [] for k in ("row", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")}
