@@ -9,7 +9,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-BATCH_ROWS = 2_000  # whole texts passed to Python at once
+BATCH_ROWS = 1_000  # whole texts passed to Python at once
 BROADCAST_ROWS = 1_000_000  # largest side sent to every executor, in rows of a few numbers
 
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..sources.writers import staged
-from .common import released, small_side, table
+from .common import released, small_side, table, text_batches
 from .words import slices, text_buffer
 
 DIMENSIONS = 1 << 12
@@ -112,7 +112,8 @@ def fit_languages(
     language are there. Without such rows it knows no language."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    seen, n = _document_frequencies(rows)
+    with text_batches(docs.sparkSession):
+        seen, n = _document_frequencies(rows)
     weights = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
     order = F.xxhash64("doc_id", F.lit(7)).alias("order")
     first = Window.partitionBy("lang").orderBy("order")  # limited before the shuffle
@@ -127,11 +128,12 @@ def fit_languages(
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["lang", "order", "vector"])
 
-    fitted = (
+    clusters = (
         sample.mapInArrow(vectorise, "lang string, order long, vector binary")
         .groupBy("lang").applyInPandas(lambda g: _cluster(g, centroids), "lang string, vector binary, least double")
-        .orderBy("lang", "vector").collect()  # languages times centroids
     )
+    with text_batches(docs.sparkSession):
+        fitted = clusters.orderBy("lang", "vector").collect()  # languages times centroids
     centres = np.stack([np.frombuffer(r["vector"], np.float32) for r in fitted]) if fitted else np.zeros((0, DIMENSIONS), np.float32)
     return LanguageModel(weights, [r["lang"] for r in fitted], centres, np.array([r["least"] for r in fitted]))
 
@@ -175,7 +177,9 @@ def drop_unidentified(docs: DataFrame) -> DataFrame:
     """The documents whose language is not rejected, model learnt from their own
     ``lang`` where it is there."""
     model = fit_languages(docs, ~held_out(F.col("doc_id"), 5, 0))
-    return identify(docs, model).filter(~F.col("_language.rejected")).drop("_language")
+    known = identify(docs, model).filter(~F.col("_language.rejected")).drop("_language")
+    with text_batches(docs.sparkSession):
+        return staged(known, "identified")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

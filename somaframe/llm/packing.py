@@ -28,7 +28,7 @@ SEQUENCE = 4096
 DIMENSIONS = 4
 BITS = 12  # of the curve, per dimension
 END = 2  # id after each document
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 
 
 # The tokenizer's own split of lower-case text, and its characters for bytes: printable
