@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.classes import level_of, ordinal
 from ..functions.nulls import col, null_safe_all
@@ -52,6 +52,15 @@ def min_rows(
     return valued.alias("l").join(lowest.alias("r"), cond, "left_semi").drop("_value")
 
 
+def min_rows_within(df: DataFrame, keys: Sequence[str], value: Column | str) -> DataFrame:
+    """The distinct rows of ``min_rows`` in one scan and one shuffle, for groups
+    known to be small, such as those within one file: a task holds whole groups."""
+    group = Window.partitionBy(*keys)
+    valued = df.withColumn("_value", col(value)).withColumn("_lowest", F.min("_value").over(group))
+    lowest = valued.filter(F.col("_value").eqNullSafe(F.col("_lowest")))
+    return lowest.drop("_value", "_lowest").distinct()
+
+
 def min_text_rows(
     df: DataFrame, keys: Sequence[str], value: str, numeric: bool = True, null_safe: bool = True
 ) -> DataFrame:

@@ -60,14 +60,29 @@ def anti_join(df: DataFrame, other: DataFrame, keys: Sequence[str], null_safe: b
 
 
 def full_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool = True
+    left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool = True, grouped: bool = False
 ) -> DataFrame:
     """Full outer join with one coalesced set of key columns.
 
     Built from an inner join and two anti joins against distinct keys. Adaptive
     execution can split a hot key on either side of these, which it cannot do for
     a full outer join; the shuffles of the inputs are shared between the parts.
+    With ``grouped=True``, for sides that come out of a grouping by the keys and so
+    have no hot one, it is a single join. The rows are the same.
     """
+    if grouped:
+        left_keys = {k: _side("l", k) for k in keys}
+        pairs = [(c, _side("r", k)) for k, c in left_keys.items()]
+        cond = null_safe_all(pairs) if null_safe else [x == y for x, y in pairs]
+        extra = [c for c in right.columns if c not in left_keys]
+        clash = set(extra) & set(left.columns)
+        if clash:
+            raise ValueError(f"rename columns present on both sides: {sorted(clash)}")
+        joined = left.alias("l").join(right.alias("r"), cond, "full")
+        return joined.select(
+            *[F.coalesce(left_keys[c], _side("r", c)).alias(c) if c in left_keys else _side("l", c) for c in left.columns],
+            *[_side("r", c) for c in extra],
+        )
     matched = natural_join(left, right, keys, "inner", null_safe)
     only_left = anti_join(left, right, keys, null_safe)
     only_right = anti_join(right, left, keys, null_safe)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import classes as k
 from ..functions.nulls import at_least, at_most, col, if_else, to_number
 from ..functions.text import all_matches, kept_tokens
-from ..operators.groups import median_value, min_rows
+from ..operators.groups import median_value, min_rows_within
 from ..operators.joins import full_join, natural_join
 from ..operators.ranks import spearman_pairs
 from ..operators.reshape import explode_tokens, split_columns, unpivot_values
@@ -38,11 +38,10 @@ def gene_cn_from_segments(
     """Copy number per gene: where segments disagree within a gene, those with
     the lowest copy number, ties kept. Grouping is within a file.
 
-    Equal rows are removed after the minimum is known. That is the same as doing
-    it before, as equal rows share their group and value, but only the rows of
-    the minimum are shuffled for it.
+    No group exceeds a file, so one shuffle by the group serves the minimum and
+    the removal of equal rows, which share their group and value.
     """
-    lowest = min_rows(gene_tokens(segments), group, values[0]).distinct()
+    lowest = min_rows_within(gene_tokens(segments), group, values[0])
     shown = [sample] + [c for c in group if c != "file"]
     return lowest.select(*dict.fromkeys(shown), *values)
 
@@ -62,7 +61,7 @@ def gene_cn_from_intervals(
     )
     exploded = explode_tokens(intervals, "gene", genes)
     copies = F.substring_index("other", "|", 1)
-    lowest = min_rows(exploded, group, to_number(copies) if numeric else copies).distinct()
+    lowest = min_rows_within(exploded, group, to_number(copies) if numeric else copies)
     # Parts of the record.
     parts = ["cn", "status", "genotype", "uncertainty", "wilcoxon_p", "ks_p"]
     split = split_columns(lowest, "other", r"\|", parts)
@@ -82,10 +81,11 @@ def merge_cn_callers(
     null_safe: bool = True,
 ) -> DataFrame:
     """Both callers' genes side by side (``_a`` and ``_b`` columns). Copy numbers
-    are capped; a gene one caller does not report counts as neutral."""
+    are capped; a gene one caller does not report counts as neutral. Each side has
+    few rows of a key, the ties of its minimum, so one full join will do."""
     a = a.withColumnsRenamed({c: f"{c}_a" for c in a.columns if c not in keys})
     b = b.withColumnsRenamed({c: f"{c}_b" for c in b.columns if c not in keys})
-    merged = full_join(a, b, keys, null_safe)
+    merged = full_join(a, b, keys, null_safe, grouped=True)
     return merged.withColumns({
         f"{cn}_a": F.coalesce(at_most(f"{cn}_a", cap_a), F.lit(neutral)),
         f"{cn}_b": F.coalesce(at_most(f"{cn}_b", cap_b), F.lit(neutral)),

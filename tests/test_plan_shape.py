@@ -41,6 +41,17 @@ def test_events_need_one_shuffle_and_the_grid_moves_sparse_cells_only(spark):
     assert "Exchange" not in grid
 
 
+def test_genes_of_a_file_need_one_scan_and_one_shuffle(spark):
+    for name in ("gene_cn_segments", "gene_cn_intervals"):
+        text = plan(QUERIES[name](spark, SF))
+        assert text.count("Exchange hashpartitioning") == 1 and text.count("FileScan") == 1
+
+
+def test_two_callers_are_merged_by_one_join(spark):
+    text = plan(QUERIES["merge_two_callers"](spark, SF))
+    assert text.count("FileScan") == 2 and text.count("FullOuter") == 1 and text.count("Exchange hashpartitioning") <= 4
+
+
 def test_silent_classes_are_filtered_before_the_distinct(spark):
     text = plan(QUERIES["dedupe_maf"](spark, SF))
     assert text.index("HashAggregate") < text.index("Filter") < text.index("FileScan")
