@@ -52,7 +52,7 @@ def order_samples(
     value: str = "alterations",
     input_position: str | None = None,
     levels: str = "listed",
-    buckets: int | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Samples with their place in the layered order.
 
@@ -85,7 +85,7 @@ def order_samples(
         F.flatten(F.transform(F.array_sort(F.collect_list("_cell")), lambda c: c["places"])).alias("layer_key"),
         F.min("_input").alias("_input"),
     )
-    placed = row_positions(per_sample, [F.col("layer_key"), F.col("_input")], sample, buckets=buckets)
+    placed = row_positions(per_sample, [F.col("layer_key"), F.col("_input")], sample, parts=parts)
     return placed.select(sample, "position", "layer_key")
 
 

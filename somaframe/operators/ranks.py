@@ -1,10 +1,10 @@
 """Ranks and positions over whole tables without a single-task window.
 
 The building block is a running total in two levels. Rows are first reduced to
-one row per distinct value. A spread of splitter values, chosen from the data by
-hash, cuts the value range into buckets; totals per bucket give each bucket its
-offset, and a window inside the bucket does the rest. No task sees more than one
-bucket, and a value held by a third of all rows is one row by then.
+one row per distinct value and dealt by ranges of the values, with the number of
+the partition stored next to them. Totals per partition give each partition its
+offset, and a window inside the partition does the rest. No task sees more than
+one range, and a value held by a third of all rows is one row by then.
 """
 
 from __future__ import annotations
@@ -18,108 +18,62 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions.nulls import col
 from ..sources.writers import staged
 
-SAMPLED = 64  # one value in so many is a candidate splitter
-MAX_BROADCAST_ENTRIES = 1_000_000
-
-
-def bucket_count(df: DataFrame) -> int:
-    """Buckets per group: as many as the session has shuffle partitions."""
-    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def _with_bucket(df: DataFrame, value: str, step: int) -> DataFrame:
-    """Number of splitters not above the value: first among every ``step``-th
-    splitter, then among the ``step`` that follow the one found."""
-    coarse = F.size(F.filter("_coarse", lambda s: s <= F.col(value)))
-    df = df.withColumn("_start", F.greatest(F.coalesce(coarse, F.lit(0)) - 1, F.lit(0)) * step)
-    near = F.slice("_fine", F.col("_start") + 1, step)
-    fine = F.size(F.filter(near, lambda s: s <= F.col(value)))
-    return df.withColumn("_bucket", F.col("_start") + F.coalesce(fine, F.lit(0))).drop(
-        "_coarse", "_fine", "_start"
-    )
-
 
 def running_totals(
     hist: DataFrame,
     by: Sequence[str],
-    value: str,
+    value: str | Sequence[str],
     weight: str,
     name: str = "before",
-    buckets: int | None = None,
-    groups: int | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add the total weight of all smaller values within ``by``.
 
-    ``hist`` must hold one row per (by, value). ``value`` may have any orderable
-    type. Where the splitters fall changes the work per task, never the result.
-    Splitters and offsets take ``buckets`` entries per group; they are broadcast
-    where the caller states a number of ``groups`` that keeps them small, else
-    the planner decides by their size.
+    ``hist`` must hold one row per (by, value); ``value`` is one column or several,
+    compared in turn, of any orderable type. Columns of ``by`` hold no NULL.
+
+    The table is staged in ``parts`` ranges, by default as many as the session
+    shuffles into; where they begin changes the work per task, never the result. A
+    range holds neighbours only, so there are at most as many offsets as ranges and
+    groups together, and these are broadcast.
     """
-    by = list(by)
-    buckets = buckets or bucket_count(hist)
-    known = 1 if not by else groups
-    small = F.broadcast if known is not None and known * buckets <= MAX_BROADCAST_ENTRIES else (lambda df: df)
-    step = max(1, math.isqrt(buckets))
-    v = F.col(value)
-    candidates = hist.filter(F.pmod(F.xxhash64(F.lit(3), v), F.lit(SAMPLED)) == 0)
-    pick = F.min(F.struct(F.xxhash64(F.lit(11), v).alias("h"), v.alias("v")))
-    picks = candidates.groupBy(*by, F.pmod(F.xxhash64(F.lit(7), v), F.lit(buckets)).alias("_slot")).agg(
-        pick.alias("_pick")
-    )
-    splitters = picks.groupBy(*by).agg(F.sort_array(F.collect_list("_pick.v")).alias("_fine"))
-    coarse = F.filter("_fine", lambda s, i: i % step == 0).alias("_coarse")
-    if by:
-        searched = hist.join(small(splitters.select(*by, "_fine", coarse)), by, "left")
-    else:
-        found = splitters.select(F.struct("_fine", coarse)).scalar()
-        searched = hist.withColumn("_splitters", found).select("*", "_splitters.*").drop("_splitters")
-    placed = _with_bucket(searched, value, step)
-
-    per_bucket = placed.groupBy(*by, "_bucket").agg(F.sum(weight).alias("_total"))
-    totals = F.sort_array(F.collect_list(F.struct("_bucket", "_total")))
-    offsets = (
-        per_bucket.groupBy(*by).agg(totals.alias("_totals"))
-        .select(*by, "_totals", F.explode("_totals._bucket").alias("_bucket"))
-        .select(*by, "_bucket", F.aggregate(
-            F.filter("_totals", lambda t: t["_bucket"] < F.col("_bucket")),
-            F.lit(0).cast("long"), lambda acc, t: acc + t["_total"],
-        ).alias("_offset"))
+    values = [value] if isinstance(value, str) else list(value)
+    # without a group the constant is staged too, so that it stays a column
+    keys, table = (list(by), hist) if by else (["_all"], hist.withColumn("_all", F.lit(0)))
+    count = () if parts is None else (parts,)
+    ranged = table.repartitionByRange(*count, *keys, *values)
+    placed = staged(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
+
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(*keys, "_part").agg(F.sum(weight).alias("_total")).select(
+        *keys, "_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")
     )
-    inside = (
-        Window.partitionBy(*by, "_bucket").orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    within = F.coalesce(F.sum(weight).over(inside), F.lit(0))
-    return (
-        placed.withColumn("_within", within)
-        .join(small(offsets), [*by, "_bucket"])
-        .select(*hist.columns, (F.col("_offset") + F.col("_within")).alias(name))
+    smaller = Window.partitionBy(*keys, "_part").orderBy(*values).rowsBetween(Window.unboundedPreceding, -1)
+    within = placed.withColumn("_within", F.coalesce(F.sum(weight).over(smaller), F.lit(0)))
+    return within.join(F.broadcast(offsets), [*keys, "_part"]).select(
+        *hist.columns, (F.col("_offset") + F.col("_within")).alias(name)
     )
 
 
 def average_ranks(
-    hist: DataFrame, by: Sequence[str], value: str, weight: str,
-    buckets: int | None = None, groups: int | None = None,
+    hist: DataFrame, by: Sequence[str], value: str, weight: str, parts: int | None = None
 ) -> DataFrame:
     """Rank of each distinct value, ties sharing the mean of their places."""
-    ranked = running_totals(hist, by, value, weight, "_before", buckets, groups)
+    ranked = running_totals(hist, by, value, weight, "_before", parts)
     rank = F.col("_before") + (F.col(weight) + 1) / F.lit(2.0)
     return ranked.select(*by, value, rank.alias("rank"))
 
 
 def row_positions(
-    df: DataFrame, order: Sequence[Column], id_col: str, name: str = "position", buckets: int | None = None
+    df: DataFrame, order: Sequence[Column], id_col: str, name: str = "position", parts: int | None = None
 ) -> DataFrame:
     """Add the place (from 1) of each row in a total order over the table.
 
-    ``order`` is compared column by column, ``id_col`` decides what is left. The
-    table is staged first, as it is read for the splitters and for the totals.
+    ``order`` is compared column by column, ``id_col`` decides what is left.
     """
-    df = staged(df, "positions")
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate([*order, F.col(id_col)])])
-    keyed = df.select("*", key.alias("_key"), F.lit(1).cast("long").alias("_one"))
-    placed = running_totals(keyed, [], "_key", "_one", "_before", buckets)
+    keys = {f"_k{i}": c for i, c in enumerate([*order, F.col(id_col)])}
+    keyed = df.withColumns({**keys, "_one": F.lit(1).cast("long")})
+    placed = running_totals(keyed, [], list(keys), "_one", "_before", parts)
     return placed.select(*df.columns, (F.col("_before") + 1).alias(name))
 
 
@@ -130,19 +84,17 @@ def rank_test_p(rho: Column, n: Column) -> Column:
     Meant for result rows, of which there is one per compared pair. The helpers
     are local so that executors need nothing but this function's closure.
     """
-    def beta_tail(a: float, b: float, x: float) -> float:
-        # regularised incomplete beta function by its continued fraction
-        if x <= 0.0 or x >= 1.0:
-            return 0.0 if x <= 0.0 else 1.0
-        if x > (a + 1.0) / (a + b + 2.0):
-            return 1.0 - beta_tail(b, a, 1.0 - x)
-        log_front = (
-            math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-            + a * math.log(x) + b * math.log1p(-x) - math.log(a)
-        )
+    def gamma_step(a: float) -> float:
+        # log of gamma(a + 1/2) / gamma(a); by its series where logs of gammas would cancel out
+        if a < 50.0:
+            return math.lgamma(a + 0.5) - math.lgamma(a)
+        return 0.5 * math.log(a) - 1 / (8 * a) + 1 / (192 * a**3) - 1 / (640 * a**5)
+
+    def fraction(a: float, b: float, x: float) -> float:
+        # continued fraction of the incomplete beta function
         tiny = 1e-300
         c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1.0), tiny)
-        fraction = d
+        out = d
         for m in range(1, 10_000):
             even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
             odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
@@ -151,10 +103,10 @@ def rank_test_p(rho: Column, n: Column) -> Column:
                 d = 1.0 / ((1.0 + term * d) or tiny)
                 c = (1.0 + term / c) or tiny
                 change *= d * c
-            fraction *= change
+            out *= change
             if abs(change - 1.0) < 1e-15:
-                break
-        return math.exp(log_front) * fraction
+                return out
+        raise ArithmeticError(f"the tail probability does not converge at {a}, {b}, {x}")
 
     def one(r: float, size: float) -> float:
         if math.isnan(r) or size < 3:
@@ -165,9 +117,20 @@ def rank_test_p(rho: Column, n: Column) -> Column:
                 return 1.0
         if abs(r) >= 1.0:
             return 0.0
-        free = size - 2.0
-        t = r * math.sqrt(free / (1.0 - r * r))
-        return beta_tail(free / 2.0, 0.5, free / (free + t * t))
+        if r == 0.0:
+            return 1.0
+        half, square = (size - 2.0) / 2.0, r * r
+        if size > 1e6:
+            # the fraction would cancel out; the normal deviate of t is exact up to 1/size^2 here
+            deviate = (16 * half + 1) / (16 * half + 3) * math.sqrt(-2 * half * math.log1p(-square))
+            return math.erfc(deviate / math.sqrt(2))
+        # regularised incomplete beta function of free/2 and 1/2 at 1 - r^2
+        front = math.exp(
+            gamma_step(half) - math.lgamma(0.5) + half * math.log1p(-square) + 0.5 * math.log(square)
+        )
+        if 1.0 - square > (half + 1.0) / (half + 2.5):
+            return 1.0 - front / 0.5 * fraction(0.5, half, square)
+        return front / half * fraction(half, 0.5, 1.0 - square)
 
     def batch(rs: pd.Series, sizes: pd.Series) -> pd.Series:
         return pd.Series([one(float(r), float(size)) for r, size in zip(rs, sizes)], dtype="float64")
@@ -175,57 +138,72 @@ def rank_test_p(rho: Column, n: Column) -> Column:
     return F.nanvl(F.pandas_udf(batch, T.DoubleType())(rho, n), F.lit(None).cast("double"))
 
 
-def spearman_pairs(
-    df: DataFrame, pairs: Sequence[tuple[str, str]], buckets: int | None = None
-) -> DataFrame:
+def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], parts: int | None = None) -> DataFrame:
     """Spearman's rank correlation for several column pairs in one job.
 
     Each pair uses the rows where both values are present. Result per pair: n,
     rho, the statistic ``s`` = (n^3 - n)(1 - rho)/6 and the two-sided p of the
-    t approximation. rho is NULL for a constant column.
+    t approximation. rho is NULL for a constant column; a pair without rows has
+    no result.
 
-    Rows are reduced to counts per (pair, x, y), which are staged; ranks are
-    worked out on distinct values and joined back to those counts.
+    A column is ranked once for all pairs that take all its values, as counted
+    beforehand, and once for each other column that leaves some out. Ranks are
+    worked out on distinct values and joined to the counts per (pair, x, y).
     """
-    pairs = list(pairs)
-    stacked = F.inline(
-        F.array(*[
-            F.struct(
-                F.lit(i).alias("pair"), col(x).cast("double").alias("x"), col(y).cast("double").alias("y")
-            )
-            for i, (x, y) in enumerate(pairs)
-        ])
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    places = [(names.index(x), names.index(y)) for x, y in pairs]
+    absent = F.lit(None).cast("double")
+    rows = staged(
+        df.select(*[F.nanvl(col(c).cast("double"), absent).alias(f"v{i}") for i, c in enumerate(names)]), "rank-values"
     )
-    present = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
-    counted = df.select(stacked).filter(present).groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    joint = staged(counted, "rank-counts")
-
-    def ranked(axis: str) -> DataFrame:
-        marginal = joint.groupBy("pair", axis).agg(F.sum("n").alias("n"))
-        return average_ranks(marginal, ["pair"], axis, "n", buckets, len(pairs)).withColumnRenamed("rank", f"r{axis}")
-
-    rx, ry, n = F.col("rx"), F.col("ry"), F.col("n").cast("double")
-    sums = (
-        joint.join(ranked("x"), ["pair", "x"]).join(ranked("y"), ["pair", "y"])
-        .groupBy("pair")
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum(n * rx * ry).alias("sxy"),
-            F.sum(n * rx * rx).alias("sxx"),
-            F.sum(n * ry * ry).alias("syy"),
-            ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("varies"),
-        )
+
+    def where_present(i: int, other: int) -> Column:
+        return F.when(F.col(f"v{other}").isNotNull(), F.col(f"v{i}"))
+
+    sizes = rows.agg(
+        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))],
+        *[F.count(where_present(x, y)).alias(f"pair{i}") for i, (x, y) in enumerate(places)],
+    ).first()
+    rankings: dict[tuple[int, int], int] = {}
+
+    def ranking(pair: int, i: int, other: int) -> int:
+        whole = sizes[f"pair{pair}"] == sizes[f"n{i}"]
+        return rankings.setdefault((i, i if whole else other), len(rankings))
+
+    used = [(ranking(p, x, y), ranking(p, y, x)) for p, (x, y) in enumerate(places)]
+    stacked = F.inline(F.array(*[
+        F.struct(F.lit(r).alias("ranking"), where_present(i, other).alias("value")) for (i, other), r in rankings.items()
+    ]))
+    hist = rows.select(stacked).filter("value IS NOT NULL").groupBy("ranking", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = staged(average_ranks(hist, ["ranking"], "value", "n", parts), "ranks")
+
+    paired = F.inline(F.array(*[
+        F.struct(F.lit(p).alias("pair"), F.col(f"v{x}").alias("x"), F.col(f"v{y}").alias("y"))
+        for p, (x, y) in enumerate(places)
+    ]))
+    joint = (
+        rows.select(paired).filter("x IS NOT NULL AND y IS NOT NULL")
+        .groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     )
+
+    def of_pair(values: Sequence) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), "pair")
+
+    for axis, numbers in zip("xy", zip(*used)):
+        found = ranks.select(F.col("ranking").alias("_ranking"), F.col("value").alias(axis), F.col("rank").alias(f"r{axis}"))
+        joint = joint.withColumn("_ranking", of_pair(numbers)).join(found, ["_ranking", axis]).drop("_ranking")
+
     # ranks add up to n(n+1)/2 whatever the ties, so their mean is known
-    centre = F.col("n") * F.pow((F.col("n") + 1) / 2, F.lit(2))
-    sums = sums.select("pair", "n", "varies", *[(F.col(c) - centre).alias(c) for c in ("sxy", "sxx", "syy")])
-    rho = F.when(F.col("varies"), F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))
+    centre = of_pair([(sizes[f"pair{p}"] + 1) / 2 for p in range(len(places))])
+    dx, dy, n = F.col("rx") - centre, F.col("ry") - centre, F.col("n").cast("double")
+    sums = joint.groupBy("pair").agg(
+        F.sum("n").alias("n"), F.sum(n * dx * dy).alias("sxy"), F.sum(n * dx * dx).alias("sxx"), F.sum(n * dy * dy).alias("syy")
+    )
+    rho = F.when((F.col("sxx") > 0) & (F.col("syy") > 0), F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))
     cube = F.pow(F.col("n").cast("double"), 3) - F.col("n")
-    x_names = F.array(*[F.lit(x) for x, _ in pairs])
-    y_names = F.array(*[F.lit(y) for _, y in pairs])
     return (
         sums.select(
-            F.get(x_names, "pair").alias("x_name"), F.get(y_names, "pair").alias("y_name"), "n", rho.alias("rho")
+            of_pair([x for x, _ in pairs]).alias("x_name"), of_pair([y for _, y in pairs]).alias("y_name"), "n", rho.alias("rho")
         )
         .withColumn("s", cube * (1 - F.col("rho")) / 6)
         .withColumn("p", rank_test_p(F.col("rho"), F.col("n").cast("double")))

@@ -179,12 +179,12 @@ def _pearson(x, y):
     return sxy / (sxx * syy) ** 0.5 if sxx and syy else None
 
 
-@pytest.mark.parametrize("buckets", [1, 5, 64, 400])
-def test_running_totals_do_not_depend_on_the_buckets(spark, buckets):
-    rng = random.Random(buckets)
+@pytest.mark.parametrize("parts", [None, 1, 5, 64, 2000])
+def test_running_totals_do_not_depend_on_the_parts(spark, parts):
+    rng = random.Random(parts)
     data = [(by, v, rng.randint(1, 9)) for by in ("p", "q") for v in rng.sample(range(10_000), 900)]
     df = spark.createDataFrame(data, "by string, v int, w int")
-    got = {(r["by"], r["v"]): r["before"] for r in rk.running_totals(df, ["by"], "v", "w", buckets=buckets).collect()}
+    got = {(r["by"], r["v"]): r["before"] for r in rk.running_totals(df, ["by"], "v", "w", parts=parts).collect()}
     for by in ("p", "q"):
         total = 0
         for _, v, w in sorted(d for d in data if d[0] == by):
@@ -198,7 +198,7 @@ def test_spearman_matches_rank_then_pearson(spark):
     data = [(float(rng.randint(0, 4)), rng.random(), None if rng.random() < 0.2 else rng.random(), 1.0) for _ in range(400)]
     df = spark.createDataFrame(data, "a double, b double, c double, d double")
     pairs = [("a", "b"), ("a", "c"), ("b", "c"), ("a", "d"), ("b", "b")]
-    got = {(r["x_name"], r["y_name"]): r for r in rk.spearman_pairs(df, pairs, buckets=9).collect()}
+    got = {(r["x_name"], r["y_name"]): r for r in rk.spearman_pairs(df, pairs, parts=9).collect()}
     names = "abcd"
     for x, y in pairs:
         kept = [(r[names.index(x)], r[names.index(y)]) for r in data if r[names.index(y)] is not None]
@@ -229,6 +229,14 @@ def test_rank_test_p(spark):
     df = spark.createDataFrame(data, "rho double, n double, p double")
     for r in df.withColumn("q", rk.rank_test_p(F.col("rho"), F.col("n"))).collect():
         assert r["q"] == pytest.approx(r["p"], rel=1e-6)
+    # many rows: t has the normal distribution by then
+    many = [(t / math.sqrt(n - 2 + t * t), n, math.erfc(t / math.sqrt(2))) for t in (0.5, 2.0, 6.0) for n in (1e10, 1e12, 1e15)]
+    df = spark.createDataFrame(many, "rho double, n double, p double")
+    for r in df.withColumn("q", rk.rank_test_p(F.col("rho"), F.col("n"))).collect():
+        assert r["q"] == pytest.approx(r["p"], rel=1e-7)
+    near = spark.createDataFrame([(t / math.sqrt(n + t * t), n) for t in (0.5, 2.0, 6.0) for n in (1e6, 1e6 + 1)], "rho double, n double")
+    q = [r[0] for r in near.select(rk.rank_test_p(F.col("rho"), F.col("n"))).collect()]
+    assert q[::2] == pytest.approx(q[1::2], rel=1e-8)
     edge = spark.createDataFrame([(1.0, 5.0), (None, 5.0), (0.5, 2.0), (-1e-9, 5.0)], "rho double, n double")
     assert [r[0] for r in edge.select(rk.rank_test_p(F.col("rho"), F.col("n"))).collect()] == [0.0, None, None, 1.0]
 
@@ -237,7 +245,7 @@ def test_row_positions_is_a_total_order(spark):
     rng = random.Random(1)
     data = [(f"s{i}", rng.randint(0, 3)) for i in range(700)]
     df = spark.createDataFrame(data, "id string, x int")
-    got = rk.row_positions(df, [F.col("x")], "id", buckets=16).collect()
+    got = rk.row_positions(df, [F.col("x")], "id", parts=16).collect()
     assert [r["id"] for r in sorted(got, key=lambda r: r["position"])] == [i for i, _ in sorted(data, key=lambda d: (d[1], d[0]))]
     assert sorted(r["position"] for r in got) == list(range(1, 701))
 
