@@ -33,18 +33,22 @@ def line_class():
     return F.get(F.array(*[F.lit(LINE_CLASSES[i]) for i in range(1, 8)]), F.col("l_linenumber") - 1)
 
 
+def _mutated():
+    return (F.col("l_linestatus") == "F") & (F.col("l_quantity") >= 47)
+
+
 def snv_calls(li: DataFrame) -> DataFrame:
-    """Mutations: delivered lines of large quantity."""
-    kept = li.filter((F.col("l_linestatus") == "F") & (F.col("l_quantity") >= 47))
-    return sample_gene(kept, line_class().alias("snv"))
+    """Mutations: delivered lines of large quantity. All others are copy numbers."""
+    return sample_gene(li.filter(_mutated()), line_class().alias("snv"))
 
 
 def cn_calls(li: DataFrame) -> DataFrame:
-    """Copy-number status of open lines, mostly Normal."""
-    gain = F.col("l_discount") >= 0.1
-    loss = (F.col("l_tax") == 0) & (F.col("l_quantity") <= 5)
+    """Copy-number status of all lines that are no mutations, mostly Normal."""
+    is_open = F.col("l_linestatus") == "O"
+    gain = is_open & (F.col("l_discount") >= 0.1)
+    loss = is_open & (F.col("l_tax") == 0) & (F.col("l_quantity") <= 5)
     status = F.when(gain, "Amplification").when(loss, "Deep Deletion").otherwise("Normal")
-    return sample_gene(li.filter(F.col("l_linestatus") == "O"), status.alias("cna"))
+    return sample_gene(li.filter(~_mutated()), status.alias("cna"))
 
 
 SQL_LINE_CLASS = (
@@ -53,16 +57,18 @@ SQL_LINE_CLASS = (
     + " END"
 )
 
+SQL_MUTATED = "(l_linestatus = 'F' AND l_quantity >= 47)"
+
 SQL_CALLS = f"""
 snv AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS sample, CAST(l_partkey % 50 AS VARCHAR) AS gene,
          {SQL_LINE_CLASS} AS snv
-  FROM lineitem WHERE l_linestatus = 'F' AND l_quantity >= 47),
+  FROM lineitem WHERE {SQL_MUTATED}),
 cn AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS sample, CAST(l_partkey % 50 AS VARCHAR) AS gene,
-         CASE WHEN l_discount >= 0.1 THEN 'Amplification'
+         CASE WHEN l_linestatus <> 'O' THEN 'Normal' WHEN l_discount >= 0.1 THEN 'Amplification'
               WHEN l_tax = 0 AND l_quantity <= 5 THEN 'Deep Deletion' ELSE 'Normal' END AS cna
-  FROM lineitem WHERE l_linestatus = 'O')"""
+  FROM lineitem WHERE NOT {SQL_MUTATED})"""
 
 
 def sql_ordinal(column: str, levels: list[str]) -> str:

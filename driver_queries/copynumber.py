@@ -136,22 +136,22 @@ SQL["gene_cn_intervals"] = f"WITH {_SQL_INTERVALS} SELECT * FROM genes_b"
 def _merged(spark, sf):
     li = table(spark, sf, "lineitem")
 
-    def caller(flag):
-        kept = li.filter(F.col("l_returnflag") == flag)
+    def caller(kept):
+        kept = li.filter(kept)
         keyed = kept.select(F.col("l_suppkey").alias("sample"), F.nullif(F.col("l_partkey"), F.lit(1)).alias("gene"),
                             F.col("l_quantity"), F.col("l_discount"))
         return keyed.groupBy("sample", "gene").agg(
             F.min("l_quantity").alias("cn"), F.max("l_discount").alias("log2")
         )
 
-    return cn.merge_cn_callers(caller("A"), caller("R"), ["sample", "gene"])
+    return cn.merge_cn_callers(caller("l_returnflag = 'A'"), caller("l_returnflag <> 'A'"), ["sample", "gene"])
 
 
 _SQL_MERGED = """
 a AS (SELECT l_suppkey AS sample, nullif(l_partkey, 1) AS gene, min(l_quantity) AS cn, max(l_discount) AS log2
       FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL),
 b AS (SELECT l_suppkey AS sample, nullif(l_partkey, 1) AS gene, min(l_quantity) AS cn, max(l_discount) AS log2
-      FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
+      FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL),
 merged AS (
   SELECT coalesce(a.sample, b.sample) AS sample, coalesce(a.gene, b.gene) AS gene,
          coalesce(CASE WHEN a.cn >= 10 THEN 10 ELSE a.cn END, 2) AS cn_a, a.log2 AS log2_a,
@@ -235,16 +235,26 @@ def _sql_spearman(source: str, pairs) -> str:
     parts = []
     for x, y in pairs:
         parts.append(f"""
-SELECT '{x}' AS x_name, '{y}' AS y_name, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM (
+SELECT '{x}' AS x_name, '{y}' AS y_name, count(*) AS n, round(corr(rx, ry), 6) AS rho,
+  round((1 - corr(rx, ry)) / 6, 6) AS s_share FROM (
   SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx,
          rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry
   FROM (SELECT {x} AS x, {y} AS y FROM {source}) WHERE x IS NOT NULL AND y IS NOT NULL)""")
     return " UNION ALL ".join(parts)
 
 
+def _rounded(tested):
+    """rho and the statistic as a share of n^3 - n; p is left to the tests, as the
+    SQL engine has no tail probability of t."""
+    n = F.col("n").cast("double")
+    return tested.select(
+        "x_name", "y_name", "n", F.round("rho", 6).alias("rho"),
+        F.round(F.col("s") / (n * n * n - n), 6).alias("s_share"),
+    )
+
+
 def cn_correlations(spark, sf):
-    tested = cn.cn_correlations(_compared(spark, sf))
-    return tested.select("x_name", "y_name", "n", F.round("rho", 6).alias("rho"))
+    return _rounded(cn.cn_correlations(_compared(spark, sf)))
 
 
 QUERIES["cn_correlations"] = cn_correlations
@@ -258,8 +268,7 @@ _PAIRS = [
 
 def spearman(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("some_discount", F.nullif("l_discount", F.lit(0.0)))
-    tested = spearman_pairs(li, _PAIRS)
-    return tested.select("x_name", "y_name", "n", F.round("rho", 6).alias("rho"))
+    return _rounded(spearman_pairs(li, _PAIRS))
 
 
 QUERIES["spearman_pairs"] = spearman

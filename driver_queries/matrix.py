@@ -13,8 +13,8 @@ from somaframe.plans import matrix as m
 from somaframe.plans import tracks as t
 
 from .common import (
-    LINE_CLASSES, PANEL, SQL_CALLS, cn_calls, line_class, sample_gene, snv_calls, sql_level, sql_list,
-    sql_ordinal, sql_recode, table,
+    LINE_CLASSES, PANEL, SQL_CALLS, SQL_LINE_CLASS, SQL_MUTATED, cn_calls, line_class, sample_gene, snv_calls, sql_level,
+    sql_list, sql_ordinal, sql_recode, table,
 )
 
 QUERIES, SQL = {}, {}
@@ -38,15 +38,18 @@ SELECT sample, gene, {sql_level('best', k.SNV_PRIORITY)} AS snv FROM b"""
 
 
 def class_lists(spark, sf):
-    return g.class_lists(snv_calls(table(spark, sf, "lineitem")), ["sample", "gene"], "snv", k.SNV_PRIORITY).withColumn(
+    classes = sample_gene(table(spark, sf, "lineitem"), line_class().alias("snv"))
+    return g.class_lists(classes, ["sample", "gene"], "snv", k.SNV_PRIORITY).withColumn(
         "classes", F.array_join("classes", ",")
     )
 
 
 QUERIES["class_lists"] = class_lists
 SQL["class_lists"] = f"""
-WITH {SQL_CALLS}, b AS (SELECT sample, gene, string_agg(DISTINCT snv, ',' ORDER BY snv) AS classes, count(*) AS n,
-  min({sql_ordinal('snv', k.SNV_PRIORITY)}) AS best FROM snv GROUP BY ALL)
+WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS sample, CAST(l_partkey % 50 AS VARCHAR) AS gene,
+  {SQL_LINE_CLASS} AS snv FROM lineitem),
+b AS (SELECT sample, gene, string_agg(DISTINCT snv, ',' ORDER BY snv) AS classes, count(*) AS n,
+  min({sql_ordinal('snv', k.SNV_PRIORITY)}) AS best FROM c GROUP BY ALL)
 SELECT sample, gene, classes, n, {sql_level('best', k.SNV_PRIORITY)} AS best FROM b"""
 
 
@@ -58,24 +61,25 @@ def _complete(spark, sf):
     return m.complete_samples(sample_gene(delivered), cn_calls(li))
 
 
-_SQL_COMPLETE = """
+_SQL_COMPLETE = f"""
 complete AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS sample FROM lineitem WHERE l_linestatus = 'F'
-  INTERSECT SELECT DISTINCT CAST(l_suppkey AS VARCHAR) FROM lineitem WHERE l_linestatus = 'O')"""
+  INTERSECT SELECT DISTINCT CAST(l_suppkey AS VARCHAR) FROM lineitem WHERE NOT {SQL_MUTATED})"""
 
 QUERIES["complete_samples"] = _complete
 SQL["complete_samples"] = f"WITH {_SQL_COMPLETE} SELECT * FROM complete"
 
 
 def semi_complete(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    customers = table(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING")
+    """Customers against shifted keys of the orders, so that some have no partner."""
+    orders = table(spark, sf, "orders").select((F.col("o_custkey") * 2).alias("c_custkey"))
+    customers = table(spark, sf, "customer")
     return semi_join(customers.select("c_custkey", "c_name", "c_mktsegment"), orders, ["c_custkey"])
 
 
 QUERIES["semi_complete"] = semi_complete
 SQL["semi_complete"] = """
 SELECT c_custkey, c_name, c_mktsegment FROM customer
-WHERE c_mktsegment = 'BUILDING' AND c_custkey IN (SELECT o_custkey FROM orders)"""
+WHERE c_custkey IN (SELECT o_custkey * 2 FROM orders)"""
 
 
 def anti_excluded(spark, sf):
@@ -301,12 +305,18 @@ def _sql_layer_columns():
 
 SQL["layer_columns"] = _sql_layer_columns()
 
-QUERIES["genes_without_events"] = lambda spark, sf: m.genes_without_events(
-    snv_calls(table(spark, sf, "lineitem")), [*PANEL, "no such gene"]
-)
-SQL["genes_without_events"] = f"""
-WITH {SQL_CALLS} SELECT gene FROM (SELECT CAST(unnest(range(50)) AS VARCHAR) AS gene UNION ALL SELECT 'no such gene')
-WHERE gene NOT IN (SELECT gene FROM snv)"""
+
+
+def genes_without_events(spark, sf):
+    """Lines name genes of even numbers only."""
+    named = table(spark, sf, "lineitem").select((F.col("l_partkey") % 50 * 2).cast("string").alias("gene"))
+    return m.genes_without_events(named, [*PANEL, "no such gene"])
+
+
+QUERIES["genes_without_events"] = genes_without_events
+SQL["genes_without_events"] = """
+SELECT gene FROM (SELECT CAST(unnest(range(50)) AS VARCHAR) AS gene UNION ALL SELECT 'no such gene')
+WHERE gene NOT IN (SELECT CAST(l_partkey % 50 * 2 AS VARCHAR) FROM lineitem)"""
 
 QUERIES["matrix_without_amplification"] = lambda spark, sf: m.without_class(dense_matrix(spark, sf), "Amplification")
 SQL["matrix_without_amplification"] = f"""
@@ -439,8 +449,8 @@ coded AS (SELECT track_name, sample, {sql_recode("nullif(c, '')", k.TRACK_TO_CN)
 
 def tracks_to_events(spark, sf):
     sites = table(spark, sf, "supplier").select(
-        F.col("s_suppkey").cast("string").alias("sample"), F.col("s_nationkey").alias("site")
-    ).filter("site < 20")
+        (F.col("s_suppkey") * 2).cast("string").alias("sample"), F.col("s_nationkey").alias("site")
+    )
     return t.unpivot_tracks(long=_tracks(spark, sf), sites=sites, complex_panel=_COMPLEX)
 
 
@@ -451,7 +461,7 @@ s AS (SELECT *, regexp_replace(regexp_replace(snv, '\s\(.*\)', ''), '\s?mutation
 SELECT track_name, s.sample, cna, snv, snv_simple, concat_ws(';', cna, snv_simple) AS alterations,
   CASE WHEN track_name IN ({sql_list(_COMPLEX)}) THEN 'NuRD Complex' ELSE 'Recurrent mutations in OSCC' END AS "group",
   s_nationkey AS site
-FROM s LEFT JOIN (SELECT * FROM supplier WHERE s_nationkey < 20) ON s.sample = CAST(s_suppkey AS VARCHAR)"""
+FROM s LEFT JOIN supplier ON s.sample = CAST(s_suppkey * 2 AS VARCHAR)"""
 
 
 def driver_tracks(spark, sf):
@@ -550,10 +560,9 @@ SELECT CAST(l_partkey % 50 AS VARCHAR) AS gene, """ + ", ".join(
 
 
 def outer_with_missing_columns(spark, sf):
-    """Customers and the order counts per customer id, rows of either side kept
-    and one id missing on both."""
-    customers = table(spark, sf, "customer").filter(F.col("c_mktsegment") != "BUILDING").select(
-        F.nullif("c_custkey", F.lit(2)).alias("id"), "c_name")
+    """Customers under shifted ids and the order counts per customer id, rows of
+    either side kept and one id missing on both."""
+    customers = table(spark, sf, "customer").select(F.nullif(F.col("c_custkey") * 2, F.lit(4)).alias("id"), "c_name")
     orders = table(spark, sf, "orders").select(F.nullif("o_custkey", F.lit(2)).alias("id"))
     return full_join(customers, g.group_count(orders, ["id"], "n_orders"), ["id"])
 
@@ -561,6 +570,6 @@ def outer_with_missing_columns(spark, sf):
 QUERIES["outer_with_missing_columns"] = outer_with_missing_columns
 SQL["outer_with_missing_columns"] = """
 SELECT coalesce(c.id, o.id) AS id, c_name, n_orders
-FROM (SELECT nullif(c_custkey, 2) AS id, c_name FROM customer WHERE c_mktsegment <> 'BUILDING') c
+FROM (SELECT nullif(c_custkey * 2, 4) AS id, c_name FROM customer) c
 FULL JOIN (SELECT nullif(o_custkey, 2) AS id, count(*) AS n_orders FROM orders GROUP BY 1) o
   ON c.id IS NOT DISTINCT FROM o.id"""

@@ -134,13 +134,16 @@ FROM j WHERE recurrence < 5 AND l_discount < 0.06
 # -- approximate position match
 
 def catalogue_bucket_match(spark, sf):
-    """Days of shipping against the day of the order, for orders not pending."""
+    """Days of shipping against the day of the order; pending orders have ids that
+    no line names."""
     found = table(spark, sf, "lineitem").select(
         F.floor(F.col("l_orderkey") / 10).alias("gene"), F.col("l_orderkey").alias("sample"),
         F.dayofyear("l_shipdate").cast("bigint").alias("start"), "l_linenumber", "l_partkey",
     )
-    catalogue = table(spark, sf, "orders").filter(F.col("o_orderstatus") != "P").select(
-        F.floor(F.col("o_orderkey") / 10).alias("gene"), F.col("o_orderkey").alias("sample"),
+    pending = F.col("o_orderstatus") == "P"
+    catalogue = table(spark, sf, "orders").select(
+        F.floor(F.col("o_orderkey") / 10).alias("gene"),
+        F.when(pending, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("sample"),
         F.dayofyear("o_orderdate").cast("bigint").alias("position_start"), "o_custkey",
     )
     return v.match_catalogue(found, catalogue)
@@ -148,9 +151,9 @@ def catalogue_bucket_match(spark, sf):
 
 QUERIES["catalogue_bucket_match"] = catalogue_bucket_match
 SQL["catalogue_bucket_match"] = """
-WITH c AS (SELECT CAST(floor(o_orderkey / 10) AS BIGINT) AS gene, o_orderkey AS sample,
-    dayofyear(o_orderdate) AS position_start, o_custkey, round_even(dayofyear(o_orderdate) / 10, 0) * 10 AS approx_start
-  FROM orders WHERE o_orderstatus <> 'P'),
+WITH c AS (SELECT CAST(floor(o_orderkey / 10) AS BIGINT) AS gene,
+    CASE WHEN o_orderstatus = 'P' THEN -o_orderkey ELSE o_orderkey END AS sample, dayofyear(o_orderdate) AS position_start, o_custkey, round_even(dayofyear(o_orderdate) / 10, 0) * 10 AS approx_start
+  FROM orders),
 l AS (SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS gene, l_orderkey AS sample, dayofyear(l_shipdate) AS start,
     l_linenumber, l_partkey, round_even(dayofyear(l_shipdate) / 10, 0) * 10 AS approx_start
   FROM lineitem WHERE l_orderkey IN (SELECT sample FROM c))
@@ -224,10 +227,11 @@ FROM e LEFT JOIN labels ON id = CAST(doc_id AS VARCHAR) GROUP BY url"""
 
 
 def catalogue_left_join(spark, sf):
-    """Row-wise look-up of orders in the customers' catalogue, all orders kept."""
+    """Row-wise look-up of orders in a catalogue of customers under shifted ids, all
+    orders kept."""
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("id"))
-    customers = table(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING").select(
-        F.col("c_custkey").alias("id"), "c_mktsegment", "c_nationkey"
+    customers = table(spark, sf, "customer").select(
+        (F.col("c_custkey") * 2).alias("id"), "c_mktsegment", "c_nationkey"
     )
     return natural_join(orders, customers, ["id"], "left")
 
@@ -235,7 +239,7 @@ def catalogue_left_join(spark, sf):
 QUERIES["catalogue_left_join"] = catalogue_left_join
 SQL["catalogue_left_join"] = """
 SELECT o_orderkey, o_custkey AS id, c_mktsegment, c_nationkey FROM orders
-LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey"""
+LEFT JOIN customer ON o_custkey = c_custkey * 2"""
 
 
 def sum_of_matches(spark, sf):
