@@ -10,6 +10,7 @@ from somaframe.operators.groups import min_rows, min_text_rows
 from somaframe.operators.ranks import spearman_pairs
 from somaframe.plans import copynumber as cn
 
+from . import fixed
 from .common import sample_gene, table
 
 QUERIES, SQL = {}, {}
@@ -258,7 +259,7 @@ def cn_correlations(spark, sf):
 
 
 QUERIES["cn_correlations"] = cn_correlations
-SQL["cn_correlations"] = f"WITH {_SQL_COMPARED} {_sql_spearman('compared', cn.COMPARED_PAIRS)}"
+SQL["cn_correlations"] = f"WITH {_SQL_COMPARED} {_sql_spearman('compared', fixed.COMPARED_PAIRS)}"
 
 _PAIRS = [
     ("l_quantity", "l_extendedprice"), ("l_discount", "l_tax"),

@@ -12,6 +12,7 @@ from somaframe.operators.ordering import gene_order, layer_columns, order_sample
 from somaframe.plans import matrix as m
 from somaframe.plans import tracks as t
 
+from . import fixed
 from .common import (
     LINE_CLASSES, PANEL, SQL_CALLS, SQL_LINE_CLASS, SQL_MUTATED, cn_calls, line_class, sample_gene, snv_calls, sql_level,
     sql_list, sql_ordinal, sql_recode, table,
@@ -33,8 +34,8 @@ QUERIES["top_priority_class"] = top_priority_class
 SQL["top_priority_class"] = f"""
 WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS sample, CAST(l_partkey % 50 AS VARCHAR) AS gene,
   CASE l_linenumber {' '.join(f"WHEN {i} THEN '{c}'" for i, c in LINE_CLASSES.items())} END AS snv FROM lineitem),
-b AS (SELECT sample, gene, min({sql_ordinal('snv', k.SNV_PRIORITY)}) AS best FROM c GROUP BY ALL)
-SELECT sample, gene, {sql_level('best', k.SNV_PRIORITY)} AS snv FROM b"""
+b AS (SELECT sample, gene, min({sql_ordinal('snv', fixed.SNV_PRIORITY)}) AS best FROM c GROUP BY ALL)
+SELECT sample, gene, {sql_level('best', fixed.SNV_PRIORITY)} AS snv FROM b"""
 
 
 def class_lists(spark, sf):
@@ -49,8 +50,8 @@ SQL["class_lists"] = f"""
 WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS sample, CAST(l_partkey % 50 AS VARCHAR) AS gene,
   {SQL_LINE_CLASS} AS snv FROM lineitem),
 b AS (SELECT sample, gene, string_agg(DISTINCT snv, ',' ORDER BY snv) AS classes, count(*) AS n,
-  min({sql_ordinal('snv', k.SNV_PRIORITY)}) AS best FROM c GROUP BY ALL)
-SELECT sample, gene, classes, n, {sql_level('best', k.SNV_PRIORITY)} AS best FROM b"""
+  min({sql_ordinal('snv', fixed.SNV_PRIORITY)}) AS best FROM c GROUP BY ALL)
+SELECT sample, gene, classes, n, {sql_level('best', fixed.SNV_PRIORITY)} AS best FROM b"""
 
 
 # -- sample sets
@@ -174,10 +175,10 @@ def _events(spark, sf, **options):
 
 
 _SQL_EVENTS = f"""{SQL_CALLS},
-s AS (SELECT sample, gene, min({sql_ordinal('snv', k.SNV_PRIORITY)}) AS best FROM snv GROUP BY ALL),
+s AS (SELECT sample, gene, min({sql_ordinal('snv', fixed.SNV_PRIORITY)}) AS best FROM snv GROUP BY ALL),
 c AS (SELECT sample, gene, string_agg(DISTINCT cna, ';' ORDER BY cna) AS cna FROM cn WHERE cna <> 'Normal' GROUP BY ALL),
 events_ AS (SELECT coalesce(c.gene, s.gene) AS gene, coalesce(c.sample, s.sample) AS sample,
-  concat_ws(';', cna, {sql_level('best', k.SNV_PRIORITY)}) AS alterations
+  concat_ws(';', cna, {sql_level('best', fixed.SNV_PRIORITY)}) AS alterations
   FROM c FULL JOIN s ON c.gene = s.gene AND c.sample = s.sample)"""
 
 QUERIES["alteration_events"] = lambda spark, sf: _events(spark, sf, complex_panel=_COMPLEX)
@@ -186,6 +187,11 @@ WITH {_SQL_EVENTS} SELECT *, CASE WHEN gene IN ({sql_list(_COMPLEX)}) THEN 'NuRD
   ELSE 'Recurrent mutations in OSCC' END AS "group" FROM events_"""
 
 
+def _few_samples(spark, sf):
+    """Nations in the role of the complete samples, so that events add some."""
+    return table(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("sample")).distinct()
+
+
 def dense_matrix(spark, sf):
     return m.alteration_matrix(_events(spark, sf), PANEL, _complete(spark, sf))
 
@@ -229,6 +235,25 @@ WITH {_SQL_MATRIX} SELECT gene, count(*) FILTER (alterations <> '') AS n_altered
   count(*) FILTER (alterations = '') AS n_blank, count(*) AS n_samples,
   round(count(*) FILTER (alterations <> '') * 100 / count(*), 1) AS pct_altered FROM matrix GROUP BY gene"""
 
+# events of all genes, a panel of half of them: samples without panel events do not count
+
+_HALF = PANEL[:25]
+QUERIES["altered_fraction_half_panel"] = lambda spark, sf: m.alteration_frequency(
+    m.alteration_matrix(_events(spark, sf), _HALF, _few_samples(spark, sf))
+)
+QUERIES["altered_fraction_half_panel_sparse"] = lambda spark, sf: m.frequency_from_events(
+    _events(spark, sf), _HALF, _few_samples(spark, sf)
+)
+SQL["altered_fraction_half_panel"] = SQL["altered_fraction_half_panel_sparse"] = f"""
+WITH {_SQL_EVENTS}, genes AS (SELECT CAST(unnest(range(25)) AS VARCHAR) AS gene),
+e AS (SELECT * FROM events_ WHERE gene IN (SELECT gene FROM genes)),
+samples AS (SELECT CAST(s_nationkey AS VARCHAR) AS sample FROM supplier UNION SELECT sample FROM e),
+matrix AS (SELECT genes.gene, samples.sample, coalesce(alterations, '') AS alterations
+  FROM genes CROSS JOIN samples LEFT JOIN e ON e.gene = genes.gene AND e.sample = samples.sample)
+SELECT gene, count(*) FILTER (alterations <> '') AS n_altered,
+  count(*) FILTER (alterations = '') AS n_blank, count(*) AS n_samples,
+  round(count(*) FILTER (alterations <> '') * 100 / count(*), 1) AS pct_altered FROM matrix GROUP BY gene"""
+
 for _by in ("gene", "sample"):
     QUERIES[f"class_counts_by_{_by}"] = lambda spark, sf, by=_by: m.class_counts(dense_matrix(spark, sf), by)
     SQL[f"class_counts_by_{_by}"] = f"""
@@ -262,9 +287,9 @@ def _ordered(layers, **options):
     return lambda spark, sf: order_samples(dense_matrix(spark, sf), layers, **options).select("sample", "position")
 
 
-_OTHER_LAYERS = [["Deep Deletion"], k.TWO_LAYERS[1][:4], ["Amplification"]]
+_OTHER_LAYERS = [["Deep Deletion"], fixed.TWO_LAYERS[1][:4], ["Amplification"]]
 QUERIES["order_samples"] = _ordered(k.TWO_LAYERS)
-SQL["order_samples"] = f"WITH {_SQL_MATRIX}, {_SQL_GENE_ORDER}, {_sql_order(k.TWO_LAYERS)}"
+SQL["order_samples"] = f"WITH {_SQL_MATRIX}, {_SQL_GENE_ORDER}, {_sql_order(fixed.TWO_LAYERS)}"
 QUERIES["order_samples_3"] = _ordered(_OTHER_LAYERS)
 SQL["order_samples_3"] = f"WITH {_SQL_MATRIX}, {_SQL_GENE_ORDER}, {_sql_order(_OTHER_LAYERS)}"
 
@@ -273,7 +298,7 @@ QUERIES["order_samples_by_appearance"] = _ordered(k.TWO_LAYERS, levels="appearan
 
 def _sql_appearance():
     parts, places = [], []
-    for i, layer in enumerate(k.TWO_LAYERS):
+    for i, layer in enumerate(fixed.TWO_LAYERS):
         first = f"list_filter(string_split(alterations, ';'), lambda x: x IN ({sql_list(layer)}))[1]"
         parts.append(f"""
 f{i} AS (SELECT sample, gene, {first} AS c FROM matrix),
@@ -297,7 +322,7 @@ QUERIES["layer_columns"] = lambda spark, sf: layer_columns(dense_matrix(spark, s
 
 def _sql_layer_columns():
     columns = []
-    for i, layer in enumerate(k.TWO_LAYERS, 1):
+    for i, layer in enumerate(fixed.TWO_LAYERS, 1):
         first = f"list_filter(string_split(alterations, ';'), lambda x: x IN ({sql_list(layer)}))[1]"
         columns += [f"max({first}) FILTER (gene = '{g_}') AS layer{i}_{g_}" for g_ in PANEL]
     return f"WITH {_SQL_MATRIX} SELECT sample, {', '.join(columns)} FROM matrix GROUP BY sample"
@@ -377,15 +402,15 @@ SELECT g.gene, {_cells} FROM g LEFT JOIN e ON e.gene = g.gene GROUP BY g.gene"""
 
 def multi_hit(spark, sf):
     li = table(spark, sf, "lineitem")
-    func = F.get(F.array(*[F.lit(x) for x in k.FUNC_TO_SNV]), F.col("l_linenumber") - 1)
+    func = F.get(F.array(*[F.lit(x) for x in fixed.FUNC_TO_SNV]), F.col("l_linenumber") - 1)
     return t.multi_hit_classes(sample_gene(li, func.alias("func")))
 
 
 QUERIES["multi_hit"] = multi_hit
 SQL["multi_hit"] = f"""
 WITH f AS (SELECT CAST(l_suppkey AS VARCHAR) AS sample, CAST(l_partkey % 50 AS VARCHAR) AS gene,
-  CASE l_linenumber {' '.join(f"WHEN {i + 1} THEN '{s}'" for i, s in enumerate(k.FUNC_TO_SNV.values()))} END AS c FROM lineitem),
-j AS (SELECT gene, sample, string_agg(c, ';' ORDER BY {sql_ordinal('c', list(dict.fromkeys(k.FUNC_TO_SNV.values())))}) AS snv
+  CASE l_linenumber {' '.join(f"WHEN {i + 1} THEN '{s}'" for i, s in enumerate(fixed.FUNC_TO_SNV.values()))} END AS c FROM lineitem),
+j AS (SELECT gene, sample, string_agg(c, ';' ORDER BY {sql_ordinal('c', list(dict.fromkeys(fixed.FUNC_TO_SNV.values())))}) AS snv
   FROM f GROUP BY ALL)
 SELECT gene, sample, CASE WHEN contains(snv, ';') THEN snv || '_2' ELSE snv END AS snv FROM j"""
 
@@ -399,7 +424,7 @@ QUERIES["class_runs"] = class_runs
 SQL["class_runs"] = f"""
 WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS sample, CAST(l_partkey % 50 AS VARCHAR) AS gene,
   CASE l_linenumber {' '.join(f"WHEN {i} THEN '{c}'" for i, c in LINE_CLASSES.items())} END AS snv FROM lineitem)
-SELECT gene, sample, snv, count(*) AS n, coalesce({sql_ordinal('snv', k.SNV_PRIORITY)}, 7) AS place FROM c GROUP BY ALL"""
+SELECT gene, sample, snv, count(*) AS n, coalesce({sql_ordinal('snv', fixed.SNV_PRIORITY)}, 7) AS place FROM c GROUP BY ALL"""
 
 
 def segment_filter(spark, sf):
@@ -426,7 +451,7 @@ FROM lineitem WHERE l_quantity > 20 AND l_returnflag = 'A'
   AND NOT (l_linestatus = 'F' AND l_discount * 20 >= 1) AND abs(l_linenumber - 4) >= 1"""
 
 _CNA_CODES = ["", "amp_rec", "homdel_rec", "hetloss_rec", "Amplification", "Shallow Deletion"]
-_SNV_CODES = ["", "splice_rec", "splice", *k.DRIVER_PRIORITY[:2], "Missense Mutation (putative passenger)", "fusion"]
+_SNV_CODES = ["", "splice_rec", "splice", *fixed.DRIVER_PRIORITY[:2], "Missense Mutation (putative passenger)", "fusion"]
 
 
 def _tracks(spark, sf):
@@ -444,7 +469,7 @@ tracks AS (SELECT CAST(l_partkey % 50 AS VARCHAR) AS track_name, CAST(l_suppkey
   CASE max(CAST(trunc(l_discount * 50) AS INTEGER)) {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CNA_CODES))} END AS c,
   CASE max(l_linenumber) {' '.join(f"WHEN {i + 1} THEN '{c}'" for i, c in enumerate(_SNV_CODES))} END AS m
   FROM lineitem GROUP BY ALL),
-coded AS (SELECT track_name, sample, {sql_recode("nullif(c, '')", k.TRACK_TO_CN)} AS cna, nullif(m, '') AS m FROM tracks)"""
+coded AS (SELECT track_name, sample, {sql_recode("nullif(c, '')", fixed.TRACK_TO_CN)} AS cna, nullif(m, '') AS m FROM tracks)"""
 
 
 def tracks_to_events(spark, sf):
@@ -456,7 +481,7 @@ def tracks_to_events(spark, sf):
 
 QUERIES["tracks_to_events"] = tracks_to_events
 SQL["tracks_to_events"] = rf"""
-WITH {_SQL_TRACKS}, e AS (SELECT track_name, sample, cna, {sql_recode('m', k.TRACK_TO_SNV)} AS snv FROM coded),
+WITH {_SQL_TRACKS}, e AS (SELECT track_name, sample, cna, {sql_recode('m', fixed.TRACK_TO_SNV)} AS snv FROM coded),
 s AS (SELECT *, regexp_replace(regexp_replace(snv, '\s\(.*\)', ''), '\s?mutation\s?', '', 'i') AS snv_simple FROM e)
 SELECT track_name, s.sample, cna, snv, snv_simple, concat_ws(';', cna, snv_simple) AS alterations,
   CASE WHEN track_name IN ({sql_list(_COMPLEX)}) THEN 'NuRD Complex' ELSE 'Recurrent mutations in OSCC' END AS "group",
@@ -471,11 +496,11 @@ def driver_tracks(spark, sf):
 QUERIES["driver_tracks"] = driver_tracks
 SQL["driver_tracks"] = rf"""
 WITH {_SQL_TRACKS},
-r AS (SELECT track_name, sample, cna, {sql_recode('m', k.TRACK_TO_SNV_RANKED)} AS snv FROM coded),
-e AS (SELECT track_name, sample, cna, CASE WHEN snv IN ({sql_list(k.DRIVER_PRIORITY)}) THEN snv END AS snv FROM r)
+r AS (SELECT track_name, sample, cna, {sql_recode('m', fixed.TRACK_TO_SNV_RANKED)} AS snv FROM coded),
+e AS (SELECT track_name, sample, cna, CASE WHEN snv IN ({sql_list(fixed.DRIVER_PRIORITY)}) THEN snv END AS snv FROM r)
 SELECT *, regexp_replace(snv, '\s\(.*\)', '') AS snv_simple,
   concat_ws(';', cna, regexp_replace(snv, '\s\(.*\)', '')) AS alterations,
-  {sql_ordinal('snv', k.DRIVER_PRIORITY)} AS priority FROM e"""
+  {sql_ordinal('snv', fixed.DRIVER_PRIORITY)} AS priority FROM e"""
 
 
 def merge_events(spark, sf):
@@ -488,8 +513,8 @@ def merge_events(spark, sf):
 QUERIES["merge_events"] = merge_events
 SQL["merge_events"] = f"""
 WITH {SQL_CALLS},
-s AS (SELECT sample, gene, min({sql_ordinal('snv', k.SNV_PRIORITY)}) AS best FROM snv GROUP BY ALL),
-l AS (SELECT sample, gene, {sql_level('best', k.SNV_PRIORITY)} AS snv FROM s),
+s AS (SELECT sample, gene, min({sql_ordinal('snv', fixed.SNV_PRIORITY)}) AS best FROM snv GROUP BY ALL),
+l AS (SELECT sample, gene, {sql_level('best', fixed.SNV_PRIORITY)} AS snv FROM s),
 c AS (SELECT DISTINCT * FROM cn WHERE cna <> 'Normal')
 SELECT coalesce(c.sample, l.sample) AS sample, coalesce(c.gene, l.gene) AS gene, cna, snv, concat_ws(';', cna, snv) AS alterations
 FROM c FULL JOIN l ON c.sample = l.sample AND c.gene = l.gene"""

@@ -12,6 +12,7 @@ from somaframe.operators.joins import natural_join
 from somaframe.operators.reshape import explode_tokens, split_columns
 from somaframe.plans import variants as v
 
+from . import fixed
 from .common import sql_list, sql_recode, table
 
 QUERIES, SQL = {}, {}
@@ -19,7 +20,7 @@ QUERIES, SQL = {}, {}
 _KEY = ["l_partkey", "l_linenumber", "l_returnflag"]
 
 # Exonic classes in the order of the codes used below.
-_EFFECTS = list(k.EXONIC_TO_SNV)[:9] + ["synonymous SNV"]
+_EFFECTS = list(fixed.EXONIC_TO_SNV)[:9] + ["synonymous SNV"]
 
 
 # -- recurrence
@@ -125,9 +126,9 @@ r AS (SELECT l_partkey, l_linenumber, count(*) AS recurrence FROM (SELECT DISTIN
 j AS (SELECT coded.* EXCLUDE (effect), CASE WHEN func IS NULL THEN NULL WHEN func = 'splicing' THEN 'splicing'
              ELSE effect END AS effect, recurrence FROM coded JOIN r USING (l_partkey, l_linenumber))
 SELECT l_suppkey, l_partkey, l_linenumber, l_discount, func AS "Func_refGene", effect AS "ExonicFunc_refGene",
-       rmsk, recurrence, {sql_recode('effect', k.EXONIC_TO_SNV)} AS "ExonicFunc_simplified"
+       rmsk, recurrence, {sql_recode('effect', fixed.EXONIC_TO_SNV)} AS "ExonicFunc_simplified"
 FROM j WHERE recurrence < 5 AND l_discount < 0.06
-  AND func IN ('exonic', 'exonic;splicing', 'splicing') AND effect IN ({sql_list(k.EXONIC_TO_SNV)})
+  AND func IN ('exonic', 'exonic;splicing', 'splicing') AND effect IN ({sql_list(fixed.EXONIC_TO_SNV)})
   AND NOT (effect IN ('nonframeshift insertion', 'nonframeshift substitution') AND rmsk IS NOT NULL)"""
 
 
@@ -390,22 +391,25 @@ SQL["conflicting_variants"] = f"""SELECT * FROM ({_SQL_RATED}) WHERE n_mutated >
 
 # -- cohort mutations
 
+_MAF_CLASSES = [*fixed.MAF_TO_SNV, "Silent", "RNA", "Intron"]  # the code after the last one is a missing class
+
+
 def dedupe_maf(spark, sf):
     li = table(spark, sf, "lineitem")
-    classes = F.array(*[F.lit(x) for x in ["Missense_Mutation", "Silent", "RNA", "Nonsense_Mutation", "Intron", "Splice_Site"]])
+    classes = F.array(*[F.lit(x) for x in _MAF_CLASSES])
     maf = li.select(
         F.col("l_partkey").alias("Hugo_Symbol"), F.col("l_suppkey").alias("Tumor_Sample_Barcode"),
-        F.get(classes, F.col("l_linenumber") - 1).alias("Variant_Classification"),
+        F.get(classes, ((F.col("l_partkey") + F.col("l_linenumber")) % 13).cast("int")).alias("Variant_Classification"),
     )
     return v.dedupe_maf(maf, maf.columns).withColumn("snv", k.recode("Variant_Classification", k.MAF_TO_SNV))
 
 
 QUERIES["dedupe_maf"] = dedupe_maf
 SQL["dedupe_maf"] = f"""
-SELECT *, {sql_recode('"Variant_Classification"', k.MAF_TO_SNV)} AS snv FROM (
+SELECT *, {sql_recode('"Variant_Classification"', fixed.MAF_TO_SNV)} AS snv FROM (
   SELECT DISTINCT l_partkey AS "Hugo_Symbol", l_suppkey AS "Tumor_Sample_Barcode",
-    CASE l_linenumber WHEN 1 THEN 'Missense_Mutation' WHEN 2 THEN 'Silent' WHEN 3 THEN 'RNA'
-      WHEN 4 THEN 'Nonsense_Mutation' WHEN 5 THEN 'Intron' WHEN 6 THEN 'Splice_Site' END AS "Variant_Classification"
+    CASE (l_partkey + l_linenumber) % 13 {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_MAF_CLASSES))} END
+      AS "Variant_Classification"
   FROM lineitem)
 WHERE "Variant_Classification" NOT IN ('Silent', 'RNA', 'Intron') OR "Variant_Classification" IS NULL"""
 
