@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from somaframe.sources import readers as r
 from somaframe.sources import writers as w
+from somaframe.sources.callfiles import read_clinical, read_wide
 
 from .common import table
 
@@ -109,3 +110,40 @@ def tagged_union(spark, sf):
 QUERIES["tagged_union"] = tagged_union
 SQL["tagged_union"] = """
 SELECT s_suppkey, s_name, CASE WHEN s_acctbal < 0 THEN 'debt' ELSE 'credit' END AS sample FROM supplier"""
+
+
+# -- matrix files and sheets behind a preamble
+
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "NONE"]
+
+
+def wide_file_roundtrip(spark, sf):
+    """Nations as rows and segments as columns of a text file, read back long."""
+    customers = table(spark, sf, "customer")
+    wide = customers.groupBy("c_nationkey").pivot("c_mktsegment", _SEGMENTS).agg(F.count(F.lit(1)))
+    path = w.scratch_path(spark, "wide")
+    w.write_tsv(wide, path)
+    cells = read_wide(spark, path, ["c_nationkey"], "segment", "n", kind="bigint")
+    return cells.withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
+
+
+QUERIES["wide_file_roundtrip"] = wide_file_roundtrip
+SQL["wide_file_roundtrip"] = f"""
+SELECT c_nationkey, segment, nullif(count(*) FILTER (c_mktsegment = segment), 0) AS n
+FROM customer CROSS JOIN (SELECT unnest({_SEGMENTS}) AS segment) GROUP BY ALL"""
+
+
+def clinical_sheet(spark, sf):
+    """Customers as patients; those of one segment become metadata lines."""
+    key = F.concat(F.when(F.col("c_mktsegment") == "MACHINERY", "#meta").otherwise("P"), F.col("c_custkey"))
+    lines = table(spark, sf, "customer").select(
+        key.alias("PATIENT_ID"), F.col("c_mktsegment").alias("PRIMARY_SITE_PATIENT")
+    )
+    path = w.scratch_path(spark, "clinical")
+    w.write_plain_tsv(lines, path)
+    return read_clinical(spark, path, glob="*.csv").select("sample", "site")
+
+
+QUERIES["clinical_sheet"] = clinical_sheet
+SQL["clinical_sheet"] = """
+SELECT 'P' || c_custkey AS sample, c_mktsegment AS site FROM customer WHERE c_mktsegment <> 'MACHINERY'"""

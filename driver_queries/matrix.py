@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from somaframe.functions import classes as k
+from somaframe.functions.nulls import drop_nulls
 from somaframe.operators import groups as g
 from somaframe.operators import reshape as rs
 from somaframe.operators.joins import anti_join, full_join, semi_join
-from somaframe.operators.ordering import gene_order, layer_columns, order_samples
+from somaframe.operators.ordering import gene_order, layer_columns, order_by_list, order_samples
 from somaframe.plans import matrix as m
 from somaframe.plans import tracks as t
 
@@ -598,3 +599,42 @@ SELECT coalesce(c.id, o.id) AS id, c_name, n_orders
 FROM (SELECT nullif(c_custkey * 2, 4) AS id, c_name FROM customer) c
 FULL JOIN (SELECT nullif(o_custkey, 2) AS id, count(*) AS n_orders FROM orders GROUP BY 1) o
   ON c.id IS NOT DISTINCT FROM o.id"""
+
+
+# -- columns by name and place, a stated order, arrays without missing entries
+
+def chosen_columns(spark, sf):
+    """Without the status; the key goes last, so the first column left is the customer."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    moved = rs.move_last(rs.without_suffix(orders, "status"), "o_orderkey")
+    return moved.select(rs.columns_after(moved, 1))
+
+
+QUERIES["chosen_columns"] = chosen_columns
+SQL["chosen_columns"] = "SELECT o_totalprice, o_orderpriority, o_orderkey FROM orders"
+
+_STATED = ["MACHINERY", "BUILDING"]
+
+
+def stated_order(spark, sf):
+    """Segments with their place; the few rows are in one partition when they are numbered."""
+    counted = g.group_count(table(spark, sf, "customer"), ["c_mktsegment"], "n")
+    ordered = order_by_list(counted, "c_mktsegment", _STATED).coalesce(1)
+    return ordered.withColumn("place", F.monotonically_increasing_id())
+
+
+QUERIES["stated_order"] = stated_order
+SQL["stated_order"] = f"""
+SELECT *, row_number() OVER (ORDER BY coalesce(list_position({_STATED}, c_mktsegment), {len(_STATED) + 1}), c_mktsegment) - 1 AS place
+FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1)"""
+
+
+def present_flags(spark, sf):
+    flags = F.array(F.nullif("l_returnflag", F.lit("A")), F.nullif("l_linestatus", F.lit("F")))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.size(drop_nulls(flags)).alias("n_flags"))
+
+
+QUERIES["present_flags"] = present_flags
+SQL["present_flags"] = """
+SELECT l_orderkey, l_linenumber, CAST(l_returnflag <> 'A' AS INTEGER) + CAST(l_linestatus <> 'F' AS INTEGER) AS n_flags
+FROM lineitem"""
