@@ -53,8 +53,10 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def keep_rows(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose key is not in ``dropped`` (staged, one column); a
-    missing key stays unless ``dropped`` has a missing key too. Columns stay."""
-    gone = small_side(dropped.select(F.col(key).alias("_gone")).distinct())
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+def keep_rows(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that are not in ``dropped`` (staged, the key and text_key): a
+    row goes if both its id, missing ones being equal, and its text are there.
+    Columns stay."""
+    gone = small_side(dropped.select(F.col(key).alias("_gone"), F.col("text_key").alias("_gone_text")).distinct())
+    same = F.col(key).eqNullSafe(F.col("_gone")) & text_key(F.col(text_col)).eqNullSafe(F.col("_gone_text"))
+    return docs.join(gone, same, "left_anti")

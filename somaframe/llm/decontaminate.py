@@ -96,6 +96,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW,
     results; an item id that repeats counts once. Further columns are ignored. An
     empty benchmark leaves all documents clean.
     """
+    return _contamination(docs, benchmark, width, id_col, text_col).drop("text_key")
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW,
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``contamination`` with their text_key."""
     key = ["doc_id", "text_key"]
     hits = window_hits(docs, benchmark, width, id_col, text_col)
     begin, end = F.col("start"), F.col("start") + F.col("length")
@@ -112,14 +118,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW,
     counted = per_doc.select(
         "*", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1)))).alias("_copy"))
     return counted.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        *key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that hold a benchmark window."""
-    dropped = staged(contamination(docs, benchmark).filter("contaminated").select("doc_id"), "contaminated")
+    dropped = staged(_contamination(docs, benchmark).filter("contaminated").select("doc_id", "text_key"), "contaminated")
     return keep_rows(docs, dropped)
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.writers import staged
-from .common import keep_rows, table
+from .common import keep_rows, table, text_key
 
 WHITE = "[\\x20\\x09-\\x0D]+"
 
@@ -26,9 +26,16 @@ def exact_groups(docs: DataFrame, support: float = 0.002, id_col: str = "doc_id"
     is kept if its id is that one, so repeated rows of that id stay together.
     Further columns are ignored. An empty table gives no rows.
     """
+    return _grouped(docs, support, id_col, text_col).drop("text_key")
+
+
+def _grouped(docs: DataFrame, support: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``exact_groups`` with their text_key."""
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WHITE, " "), 256)
     digests = staged(
-        docs.select(F.col(id_col).alias("doc_id"), F.unhex(sha).alias("digest")).withColumn("k", F.xxhash64("digest")),
+        docs.select(
+            F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.unhex(sha).alias("digest"),
+        ).withColumn("k", F.xxhash64("digest")),
         "digests",
     )
     frequent = digests.stat.freqItems(["k"], support).select(F.explode("k_freqItems").alias("k"))
@@ -39,7 +46,7 @@ def exact_groups(docs: DataFrame, support: float = 0.002, id_col: str = "doc_id"
     rest = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
     light = rest.join(_winners(rest), "digest")
     return heavy.unionByName(light).select(
-        "doc_id", "keep_id", "group_size",
+        "doc_id", "text_key", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
@@ -51,7 +58,7 @@ def _winners(digests: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The documents without all copies but the one of the smallest id."""
-    dropped = staged(exact_groups(docs).filter(~F.col("kept")).select("doc_id"), "copies")
+    dropped = staged(_grouped(docs).filter(~F.col("kept")).select("doc_id", "text_key"), "copies")
     return keep_rows(docs, dropped)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.writers import staged
-from .common import keep_rows, released, small_side, table, text_batches
+from .common import keep_rows, released, small_side, table, text_batches, text_key
 from .components import components
 from .words import hashed_documents, mix, window_hashes
 
@@ -99,11 +99,11 @@ def _signed(docs: DataFrame, width: int, n_halves: int) -> DataFrame:
                 both = pa.ListArray.from_arrays(
                     pa.array(np.arange(hi - lo + 1, dtype=np.int32) * (2 * n_halves)), pa.array(halves.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
                      both, pa.array([row.tobytes() for row in brief], pa.binary())],
-                    ["doc_id", "n", "sid", "sid2", "halves", "brief"])
+                    ["doc_id", "text_key", "n", "sid", "sid2", "halves", "brief"])
 
-    return docs.mapInArrow(sign, "doc_id long, n long, sid long, sid2 long, halves array<long>, brief binary")
+    return docs.mapInArrow(sign, "doc_id long, text_key long, n long, sid long, sid2 long, halves array<long>, brief binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -185,10 +185,17 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE
     of at least ``percent``; a text of fewer words is one shingle, a missing or
     empty one has none and is alone. ``component_id`` is the smallest id reachable.
     Repeated rows get the same result; rows of one id with different texts are
-    linked by each text under that id. Rows without an id are not linked and get
-    no component. Further columns are ignored; an empty table gives no rows.
+    linked each by its own text. Rows without an id are not linked and get no
+    component. Further columns are ignored; an empty table gives no rows.
     """
-    pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _grouped(docs, percent, width, id_col, text_col).drop("text_key")
+
+
+def _grouped(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``similar_groups`` with their text_key."""
+    pair = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
     n_halves = halves_for(percent)
     with text_batches(docs.sparkSession):
         signed = staged(_signed(pair, width, n_halves), "signed")
@@ -196,25 +203,37 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE
         signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sid", "sid2").agg(
             F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("halves").alias("halves"), F.first("brief").alias("brief")),
         "texts")
+    # the smallest id of a text is its node, unless other texts have that one too
+    shared = staged(texts.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("node").alias("_shared")), "shared")
+    clash = shared.limit(1).count() > 0
+    texts = texts.withColumn("id", F.col("node"))
+    if clash:
+        own = F.when(F.col("_shared").isNotNull(), F.xxhash64("sid", "sid2")).otherwise(F.col("id"))
+        texts = texts.join(small_side(shared), F.col("id") == F.col("_shared"), "left").withColumn("node", own).drop("_shared")
+        texts = staged(texts, "texts")
     known = texts.select("node", "sid", "n")
     members = staged(_tables(texts, n_halves), "tables")
     ends = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
     led = members.join(ends, "key").select("node", F.explode(F.array("lo", "hi")).alias("b")).filter("node <> b")
     tried = staged(led.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "led")
     involved = staged(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
+    wanted = staged(involved.join(texts, "node").select(F.col("id").alias("node")).distinct(), "wanted") if clash else involved
     with text_batches(docs.sparkSession):
-        sets = staged(_sets(pair, involved, width), "sets")
+        sets = staged(_sets(pair, wanted, width), "sets")
     links = staged(_confirmed(staged(_sized(tried, known, percent), "pairs"), sets, percent), "confirmed")
     found = staged(components(links), "components")
     more = staged(_across(members, texts, sets, found, percent, 2 * n_halves * DEPTH), "across")
     if more.limit(1).count():
         stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = staged(components(more.unionByName(stars)), "components")
-    of_text = signed.join(texts.select("sid", "sid2", F.col("node").alias("_node")), ["sid", "sid2"], "left")
+    if clash:
+        least = found.join(texts.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("id"))
+        found = staged(found.join(least, "component").select("node", F.col("id").alias("component")), "components")
+    of_text = signed.join(texts.select("sid", "sid2", F.col("node").alias("_node"), F.col("id").alias("_id")), ["sid", "sid2"], "left")
     joined = of_text.join(small_side(found), F.col("_node") == F.col("node"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "_node", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "_id", "doc_id"))
     return joined.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
@@ -249,7 +268,7 @@ def _across(members: DataFrame, texts: DataFrame, sets: DataFrame, found: DataFr
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The documents without all of each group but the one of the smallest id."""
-    dropped = staged(similar_groups(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id"), "near")
+    dropped = staged(_grouped(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id", "text_key"), "near")
     return keep_rows(docs, dropped)
 
 
