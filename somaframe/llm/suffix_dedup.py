@@ -11,7 +11,9 @@ enough, the bytes before them the rest of a window.
 
 Within a task windows that began earlier in the task are found the same way first,
 and only suffixes with other windows are sent, so that a hot text costs one run
-entry a task.
+entry a task. A line of less than a window has other windows in each document: where
+a point's 50 bytes are that frequent, no suffix is sent but a 128-bit fingerprint of
+each of its windows, to the group of the fingerprint.
 """
 
 from __future__ import annotations
@@ -23,16 +25,23 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.writers import staged
 from .common import table, text_key
 from .exchange import BUNDLE, bundles, chunks, opened, pack_sorted, run_starts, squeeze, unpack_sorted, unsqueeze
 from .suffix_merge import front_code, front_decode, merge_runs, prefix_lengths
-from .words import mix, powers, running, slices, text_buffer
+from .words import BASE, STEP, mix, powers, powers_of, running, slices, text_buffer
 
 WINDOW = 100
 CHUNK_BYTES = 8 << 20
 GROUP_POINTS = 400_000  # sync points in one group, about
+SAMPLE_BYTES = 16 << 20  # of text in which frequent points are looked for, at least
+SAMPLE_PARTS = 32  # and one in so many documents
+HOT_SHARE = 8  # a point is frequent from this part of a group on; most points are not sent at all
+PRINT_ROWS = 1 << 13  # points whose windows are hashed together
+SORTED, KNOWN, PRINTS = 0, 1, 2  # kinds of rows that tasks send
 LAST_ID = (1 << 63) - 1  # stands for a missing id
 _KEY = "doc_id long, text_key long"
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -194,6 +203,28 @@ def repeated_points(docs: DataFrame, width: int, groups: int) -> DataFrame:
     return _answers(sent.groupBy("grp").applyInPandas(meet, BUNDLE), "hashes")
 
 
+def hot_points(docs: DataFrame, width: int, groups: int, parts: int) -> np.ndarray:
+    """Hashes of sync points as frequent as a HOT_SHARE-th of a group's points, by
+    one in ``parts`` documents; at most HOT_SHARE x ``groups``. Only the balance of the groups depends on this."""
+    share = 1 / (2 * HOT_SHARE * groups)
+
+    def count(batches):
+        for part in chunks(batches, 2, CHUNK_BYTES):
+            found = [hashes for _, _, hashes, *_ in _points(part.column(2), width)]
+            hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            value, n = np.unique(hashes, return_counts=True)
+            many = n >= share * len(hashes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(np.uint64(0), value[many]).view(np.int64)), pa.array(np.append(len(hashes), n[many]))], ["hash", "n"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(parts)) == 0)
+    counted = staged(sample.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "points")
+    total = counted.filter("hash = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = counted.filter((F.col("hash") != 0) & (F.col("n") >= max(2, total / groups / HOT_SHARE))).select("hash").collect()
+    return np.array([r["hash"] for r in hot], np.int64).view(np.uint64)
+
+
+
 class Suffixes:
     """Columns of suffixes: rank of the document and place, windows as a bit mask by
     their distance to the place, and up to half a window of bytes before it."""
@@ -232,9 +263,37 @@ def later_windows(s: Suffixes, common: np.ndarray, width: int) -> tuple[np.ndarr
     return np.concatenate(found), np.concatenate(distance)
 
 
-def _runs(docs: DataFrame, width: int, groups: int) -> DataFrame:
-    """Rows of each task: kind 0, a front-coded sorted run for a group; kind 1,
-    starts of windows of a document that began earlier in the task."""
+def window_prints(context: np.ndarray, mask: np.ndarray, width: int) -> list[np.ndarray]:
+    """Row, distance and two 64-bit fingerprints of each window in ``mask``; a row of
+    ``context`` has half a window of bytes before its point and a window behind."""
+    half = width // 2
+    found = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2]
+    for lo in range(0, len(mask), PRINT_ROWS):
+        part, bits = _BYTES[context[lo: lo + PRINT_ROWS]], mask[lo: lo + PRINT_ROWS]
+        row, o = np.nonzero((bits[:, None] >> np.arange(half + 1)) & 1)
+        prints = []
+        for base in (BASE, STEP):
+            up, down = powers_of(half + width, int(base)), powers_of(half + width, pow(int(base), -1, 1 << 64))
+            sums = np.zeros((len(part), half + width + 1), np.uint64)
+            np.cumsum(part * up, axis=1, out=sums[:, 1:])
+            prints.append(mix((sums[row, half - o + width] - sums[row, half - o]) * down[half - o]))
+        found.append([row + lo, o, *prints])
+    return [np.concatenate(x) for x in zip(*found)]
+
+
+def later_prints(ids: np.ndarray, starts: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Those windows whose two fingerprints also occur earlier, by id and then start."""
+    order = np.lexsort((starts, ids, second, first))
+    fresh = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+    begin = np.flatnonzero(np.append(True, fresh)[: len(order)])
+    least = np.repeat(order[begin], np.diff(np.append(begin, len(order))))
+    return order[(ids[order] > ids[least]) | (starts[order] > starts[least])]  # of one id they ascend
+
+
+def _runs(docs: DataFrame, width: int, groups: int, hot: np.ndarray) -> DataFrame:
+    """Rows of each task: a front-coded sorted run for a group; starts of windows of a
+    document that began earlier in the task; fingerprints of the other windows at
+    ``hot`` points for a group."""
     half = width // 2
 
     def build(batches):
@@ -270,12 +329,26 @@ def _runs(docs: DataFrame, width: int, groups: int) -> DataFrame:
             s = Suffixes(rank[doc], doc, place, mask, before, rows).take(sort)
             hashes = hashes[sort]
             at, o = later_windows(s, prefix_lengths(s.rows), width)
-            out = [(d % groups, 1, None, np.array([ids[d], keys[d]]).tobytes(), _spans(p), None, None, None, None)
+            out = [(d % groups, KNOWN, None, np.array([ids[d], keys[d]]).tobytes(), _spans(p), None, None, None, None)
                    for d, p in _by_document(s.doc[at], s.place[at] - o)]
             gone = np.zeros(len(s.mask), np.int64)
             np.bitwise_or.at(gone, at, np.int64(1) << o)
             s.mask = s.mask & ~gone
             rest = np.flatnonzero(s.mask)
+            wide = np.isin(hashes[rest], hot)
+            spread, rest = s.take(rest[wide]), rest[~wide]
+            row, o, one, two = window_prints(np.hstack([spread.before, spread.rows]), spread.mask, width)
+            target = (one % np.uint64(groups)).astype(np.int64)
+            order = np.lexsort((one, target))
+            cut = run_starts(target[order])
+            for a, b in zip(cut, np.append(cut[1:], len(order))):
+                own = order[a:b]
+                docs_, at_doc = np.unique(spread.doc[row[own]], return_inverse=True)
+                out.append((
+                    int(target[own[0]]), PRINTS, squeeze(np.stack([ids[docs_], keys[docs_]], 1).ravel()), None,
+                    squeeze(at_doc.astype(np.uint32)), squeeze(spread.place[row[own]] - o[own]), squeeze(two[own]),
+                    None, pack_sorted(one[own]),
+                ))
             target = (hashes[rest] % np.uint64(groups)).astype(np.int64)
             order = np.argsort(target, kind="stable")
             cut = run_starts(target[order])
@@ -284,7 +357,7 @@ def _runs(docs: DataFrame, width: int, groups: int) -> DataFrame:
                 common = prefix_lengths(run.rows)
                 docs_, at_doc = np.unique(run.doc, return_inverse=True)
                 out.append((
-                    int(target[order[a]]), 0, squeeze(np.stack([ids[docs_], keys[docs_]], 1).ravel()), None,
+                    int(target[order[a]]), SORTED, squeeze(np.stack([ids[docs_], keys[docs_]], 1).ravel()), None,
                     squeeze(at_doc.astype(np.uint32)), squeeze(run.place), squeeze(run.mask),
                     squeeze(common.astype(np.uint16)), squeeze(np.frombuffer(front_code(run.rows, common) + run.before.tobytes(), np.uint8)),
                 ))
@@ -296,9 +369,18 @@ def _runs(docs: DataFrame, width: int, groups: int) -> DataFrame:
 
 def _merged(group: pd.DataFrame, width: int, groups: int) -> pd.DataFrame:
     half = width // 2
-    known = group[group["kind"] == 1]
+    known = group[group["kind"] == KNOWN]
     found = [(*np.frombuffer(a, np.int64).tolist(), p) for a, p in zip(known["of"], known["at"])]
-    sent = group[group["kind"] == 0]
+    sent = group[group["kind"] == PRINTS]
+    if len(sent):
+        pairs = np.concatenate([
+            unsqueeze(docs, np.int64).reshape(-1, 2)[unsqueeze(at, np.uint32)] for docs, at in zip(sent["docs"], sent["at"])])
+        starts = np.concatenate([unsqueeze(x, np.int64) for x in sent["place"]])
+        later = later_prints(pairs[:, 0], starts, np.concatenate([unpack_sorted(x) for x in sent["bytes"]]),
+                             np.concatenate([unsqueeze(x, np.uint64) for x in sent["mask"]]))
+        both, doc = np.unique(pairs[later], axis=0, return_inverse=True)
+        found += [(*both[d].tolist(), _spans(p)) for d, p in _by_document(doc.ravel(), starts[later])]
+    sent = group[group["kind"] == SORTED]
     if len(sent):
         runs, commons, ids, keys, place, mask, before = [], [], [], [], [], [], []
         for docs, at, where, bits, common, data in zip(*(sent[c] for c in ("docs", "at", "place", "mask", "common", "bytes"))):
@@ -339,21 +421,21 @@ def cut_repeated_bytes(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_
     their places. A missing text is empty, a row without an id stands after all
     others. 50-byte strings are told apart by 48 bits of a hash when the points
     are chosen, and bytes themselves are compared behind a point, 64-bit
-    fingerprints before it. Further columns are ignored. ``width`` is even and at
+    fingerprints before it; at frequent points 128-bit fingerprints of whole windows
+    are. Further columns are ignored. ``width`` is even and at
     most 124.
     """
     if width % 2 or not 2 <= width <= 124:
         raise ValueError("width must be even and at most 124")
-    groups = max(
-        int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-        ceil((docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))))).first()[0] or 0) / (width / 4) / GROUP_POINTS),
-    )
+    size = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))))).first()[0] or 0
+    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(size / (width / 4) / GROUP_POINTS))
     known_id = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
     keyed = docs.select(known_id.alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     key = ["doc_id", "text_key"]
+    hot = hot_points(keyed, width, groups, min(max(1, size // SAMPLE_BYTES), SAMPLE_PARTS))
     points = repeated_points(keyed, width, groups)
     ahead = keyed.join(points, key).select(*key, "text", "hashes")
-    removed = _runs(ahead, width, groups).groupBy("grp").applyInPandas(lambda g: _merged(g, width, groups), BUNDLE)
+    removed = _runs(ahead, width, groups, hot).groupBy("grp").applyInPandas(lambda g: _merged(g, width, groups), BUNDLE)
     joined = keyed.join(_answers(removed, "starts"), key, "left").select("doc_id", "text", "starts")
 
     def cut(batches):

@@ -30,13 +30,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _powers_of(size: int, base: int) -> np.ndarray:
     powers = np.full(size, base, np.uint64)
     powers[0] = 1
     return np.cumprod(powers, dtype=np.uint64)
 
 
+def powers_of(n: int, base: int) -> np.ndarray:
+    """The first ``n`` (at most 65,536) powers of a base modulo 2^64."""
+    return _powers_of(1 << 16, base)[:n]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first powers of the base and of its inverse modulo 2^64, ``n`` at least."""
     size = max(1 << 16, 1 << int(max(1, n - 1)).bit_length())
