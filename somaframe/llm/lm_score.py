@@ -91,13 +91,18 @@ def _lookup(words: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> tuple[
     return counts[at], words[at] == wanted
 
 
+def _group_of(chunk: int, groups: int) -> int:
+    """Group of a chunk's rows; its number alone is the same in every partition."""
+    return int(mix(np.array([chunk], np.uint64))[0] % np.uint64(groups))
+
+
 def _sent(docs: DataFrame, groups: int, hot: np.ndarray) -> DataFrame:
     def send(batches):
         task = TaskContext.get().partitionId() << 24
         for number, part in enumerate(chunks(batches, 1, CHUNK_BYTES)):
             chunk, n_docs = task + number, part.num_rows
             words, owner = _words(part.column(1))
-            rows = [(chunk % groups, DOCUMENTS, chunk, squeeze(part.column(0).to_numpy()),
+            rows = [(_group_of(chunk, groups), DOCUMENTS, chunk, squeeze(part.column(0).to_numpy()),
                      squeeze(np.bincount(owner, minlength=n_docs).astype(np.int64)), *[None] * 4)]
             value, n = np.unique(words, return_counts=True)
             target = (value % np.uint64(groups)).astype(np.int64)
@@ -138,7 +143,7 @@ def _sum_rows(chunk: np.ndarray, doc: np.ndarray, logs: np.ndarray, missed: np.n
     for a, b in zip(cut, np.append(cut[1:], len(order))):
         own = order[a:b]
         c = int(chunk[own[0]])
-        rows.append((c % groups, SUMS, c, squeeze(np.bincount(doc[own], logs[own])),
+        rows.append((_group_of(c, groups), SUMS, c, squeeze(np.bincount(doc[own], logs[own])),
                      squeeze(np.bincount(doc[own], missed[own]).astype(np.int64)), *[None] * 4))
     return rows
 
