@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..sources.writers import staged
@@ -94,6 +95,24 @@ class Chunk:
         return first, h
 
 
+class Bitmap:
+    """A bitmap sent to the tasks compressed, opened once in each."""
+
+    def __init__(self, spark: SparkSession, bits: np.ndarray):
+        self._sent, self._open = spark.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(bits.tobytes())), None
+
+    def __getstate__(self):
+        return {"_sent": self._sent, "_open": None}
+
+    def bits(self) -> np.ndarray:
+        if self._open is None:
+            self._open = np.frombuffer(zstandard.ZstdDecompressor().decompress(self._sent.value), np.uint8)
+        return self._open
+
+    def drop(self) -> None:
+        self._sent.destroy()
+
+
 def _bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = h & np.uint64(8 * len(bits) - 1)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -195,8 +214,8 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, rate: float = RAT
     pair = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def sent(array: np.ndarray):
-        return spark.sparkContext.broadcast(array)  # of fixed size
+    def maps_of(phrases: DataFrame) -> list[Bitmap]:
+        return [Bitmap(spark, _bitmap(phrases.filter(F.col("size") == k), bits)) for k in (1, 2)]
 
     def pairs_of(maps: list) -> Taken:
         def taken(chunk: Chunk, size: int):
@@ -208,7 +227,7 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, rate: float = RAT
             part = chunk.hashes if size == 2 else _spread(chunk)
             fresh = np.zeros(len(first), bool)
             for number, maps_ in enumerate(maps):
-                held = _bit(maps_[size - 2].value, part)
+                held = _bit(maps_[size - 2].bits(), part)
                 both = held[first] & held[first + 1]
                 fresh = both if number == 0 else both & ~seen
                 seen = both if number == 0 else seen | both
@@ -218,17 +237,20 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, rate: float = RAT
     with text_batches(spark):
         drawn = pair.filter(F.pmod(F.xxhash64("lang", "text"), F.lit(1_000_000)) < int(rate * 1_000_000))
         sample = staged(_counts(drawn, (1, 2), lambda chunk, size: chunk.phrases(size)).filter(F.col("n") >= proposed), "sample")
-        maps = [[sent(_bitmap(sample.filter(F.col("size") == k), bits)) for k in (1, 2)]]
+        maps = [maps_of(sample)]
         found = staged(_counts(pair, (1, 2, 3), pairs_of(maps)).filter((F.col("n") >= threshold) | (F.col("size") == 0)), "counts")
         passes = 1
         while True:
             # words are known after the first pass, pairs after the second
-            maps.append([sent(_bitmap(found.filter(F.col("size") == k), bits)) for k in (1, 2)])
+            maps.append(maps_of(found))
             sizes = (2, 3) if passes == 1 else (3,)
             more = staged(_counts(pair, sizes, pairs_of(maps)).filter(F.col("n") >= threshold), "counts")
             found, passes = found.unionByName(more), passes + 1
             if more.filter("size = 2").isEmpty():
-                return found.drop("hash"), passes
+                break
+        for bitmap in sum(maps, []):
+            bitmap.drop()  # all counts are staged
+        return found.drop("hash"), passes
 
 
 def _spread(chunk: Chunk) -> np.ndarray:
