@@ -23,17 +23,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.writers import staged
 from .common import released, table, text_batches
 from .exchange import chunks, run_starts
+from .merkle_manifest import placed
 from .words import lower_ascii, mix, span_hashes, running, slices, text_buffer, word_bounds
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 5 << 20
 BITS = 27  # of a bitmap, 16 MB; more bits mean fewer needless counts
 RATE = 0.1  # of the documents in the sample
-PROPOSED = 2  # occurrences in the sample, below THRESHOLD * RATE times a margin
+PROPOSED = 2  # occurrences in the sample; rarer frequent phrases are left to the further passes
 THRESHOLD = 10
 TOP = 2_000
 _GAP = np.zeros(256, bool)
@@ -44,8 +45,6 @@ _GAP |= _CUT
 _STEP = np.uint64(0xD1342543DE82EF95)
 _BLOCK = 19  # bits of a place within a block of a bitmap
 
-Phrases = tuple[np.ndarray, np.ndarray, np.ndarray]
-
 
 class Chunk:
     """Words of some documents: lower-case bytes with one space after each word,
@@ -118,14 +117,14 @@ def _bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _summed(chunk: Chunk, size: int, first: np.ndarray, h: np.ndarray) -> Phrases:
-    """Distinct phrases: first word, hash, occurrences. Equal are those of equal
+def _summed(chunk: Chunk, size: int, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct phrases: first word and occurrences. Equal are those of equal
     hash and equal hash of the last word under another mixing."""
     other = mix(chunk.hashes[first + size - 1] ^ (h >> np.uint64(7)))
     order = np.argsort(h, kind="stable")
     a, b = h[order], other[order]
     begin = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
-    return first[order[begin]], a[begin], np.diff(np.append(begin, len(order)))
+    return first[order[begin]], np.diff(np.append(begin, len(order)))
 
 
 def _texts(chunk: Chunk, size: int, first: np.ndarray) -> pa.Array:
@@ -137,48 +136,50 @@ def _texts(chunk: Chunk, size: int, first: np.ndarray) -> pa.Array:
 
 
 Taken = Callable[[Chunk, int], tuple[np.ndarray, np.ndarray]]
-_COUNTS = "lang string, size int, phrase string, hash long, n long"
+
+
+def _langs(column: pa.Array) -> tuple[np.ndarray, dict[int, str]]:
+    """Hash of each row's language, and the languages by hash."""
+    names = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).dictionary_encode()
+    data, offsets = text_buffer(names.dictionary)
+    hashes = mix(span_hashes(running(data), offsets[:-1], offsets[1:])).view(np.int64)
+    return hashes[names.indices.to_numpy(zero_copy_only=False)], dict(zip(hashes.tolist(), names.dictionary.to_pylist()))
 
 
 def _counts(docs: DataFrame, sizes: tuple[int, ...], taken: Taken) -> DataFrame:
-    """lang, size, phrase, hash, n of the phrases ``taken`` picks, over all
-    ``docs`` (lang, text). With words (size 1), size 0 counts all of them."""
+    """lang, phrase, n of the phrases ``taken`` picks, over all ``docs`` (lang,
+    text). With words (size 1), the empty phrase counts all of them."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, 1, CHUNK_BYTES):
-            names = part.column(0).combine_chunks().dictionary_encode()
-            langs = mix(_lang_hashes(names.dictionary))[names.indices.to_numpy(zero_copy_only=False)]
-            chunk = Chunk(part.column(1), langs.view(np.int64))
-            name_of = dict(zip(langs.view(np.int64).tolist(), part.column(0).to_pylist()))
+            langs, name_of = _langs(part.column(0))
+            chunk = Chunk(part.column(1), langs)
             if 1 in sizes and len(chunk.lang):
                 own, n = np.unique(chunk.lang, return_counts=True)
-                yield _rows(pa.array([name_of[x] for x in own.tolist()]), 0, pa.array([""] * len(own)), np.zeros(len(own), np.uint64), n)
+                yield _rows(pa.array([name_of[x] for x in own.tolist()]), pa.array([""] * len(own)), n)
             for size in sizes:
-                first, h, n = _summed(chunk, size, *taken(chunk, size))
+                first, n = _summed(chunk, size, *taken(chunk, size))
                 for at in range(0, len(first), 1 << 17):
                     to = at + (1 << 17)
                     own, back = np.unique(chunk.lang[first[at:to]], return_inverse=True)
                     lang = pa.array([name_of[x] for x in own.tolist()], pa.string()).take(pa.array(back))
-                    yield _rows(lang, size, _texts(chunk, size, first[at:to]), h[at:to], n[at:to])
+                    yield _rows(lang, _texts(chunk, size, first[at:to]), n[at:to])
 
     def freed(batches):
         return released(count(batches))
 
-    return docs.mapInArrow(freed, _COUNTS).groupBy("lang", "size", "phrase").agg(F.first("hash").alias("hash"), F.sum("n").alias("n"))
-
-
-def _lang_hashes(names: pa.Array) -> np.ndarray:
-    data, offsets = text_buffer(names)
-    return span_hashes(running(data), offsets[:-1], offsets[1:])
+    # a task has added up already: its rows are shuffled as they are, and grouped after
+    sent = docs.mapInArrow(freed, "lang string, phrase string, n long").repartition("lang", "phrase")
+    spaces = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))
+    return sent.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).select(
+        "lang", F.when(F.col("phrase") == "", 0).otherwise(spaces + 1).alias("size"), "phrase", "n")
 
 
-def _rows(lang: pa.Array, size: int, phrase: pa.Array, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([
-        lang, pa.array(np.full(len(n), size, np.int32)), phrase.cast(pa.string()), pa.array(h.view(np.int64)),
-        pa.array(n.astype(np.int64))], ["lang", "size", "phrase", "hash", "n"])
+def _rows(lang: pa.Array, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, phrase.cast(pa.string()), pa.array(n.astype(np.int64))], ["lang", "phrase", "n"])
 
 
-def _bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
-    """Bits of all hashes: put together in blocks of 64 KB, 2^bits / 8 bytes for
+def _bitmap(phrases: DataFrame, size: int, bits: int) -> np.ndarray:
+    """Bits of the hashes of all phrases of ``size`` words: put together in blocks of 64 KB, 2^bits / 8 bytes for
     any number of phrases."""
     def block(group: pd.DataFrame) -> pd.DataFrame:
         held = np.zeros(1 << _BLOCK, np.uint8)
@@ -188,7 +189,8 @@ def _bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
 
     def split(batches):
         for batch in batches:
-            at = np.unique(batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1))
+            _, h = Chunk(batch.column(1), _langs(batch.column(0))[0]).phrases(size)
+            at = np.unique(h & np.uint64((1 << bits) - 1))
             number = (at >> np.uint64(_BLOCK)).astype(np.int64)
             cut = run_starts(number)
             low = (at & np.uint64((1 << _BLOCK) - 1)).astype(np.uint32)
@@ -196,7 +198,7 @@ def _bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
                 pa.array(number[cut]), pa.array([low[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(low)))], pa.binary()),
             ], ["block", "places"])
 
-    sent = phrases.select("hash").mapInArrow(split, "block long, places binary")
+    sent = phrases.filter(F.col("size") == size).select("lang", "phrase").mapInArrow(split, "block long, places binary")
     out = np.zeros((1 << bits) // 8, np.uint8)
     size = (1 << _BLOCK) // 8
     for row in sent.groupBy("block").applyInPandas(block, "block long, bits binary").collect():  # 2^bits / 8 bytes
@@ -215,7 +217,7 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, rate: float = RAT
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def maps_of(phrases: DataFrame) -> list[Bitmap]:
-        return [Bitmap(spark, _bitmap(phrases.filter(F.col("size") == k), bits)) for k in (1, 2)]
+        return [Bitmap(spark, _bitmap(phrases, k, bits)) for k in (1, 2)]
 
     def pairs_of(maps: list) -> Taken:
         def taken(chunk: Chunk, size: int):
@@ -250,7 +252,7 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, rate: float = RAT
                 break
         for bitmap in sum(maps, []):
             bitmap.drop()  # all counts are staged
-        return found.drop("hash"), passes
+        return found, passes
 
 
 def _spread(chunk: Chunk) -> np.ndarray:
@@ -298,12 +300,9 @@ def collocations(docs: DataFrame, top: int = TOP, threshold: int = THRESHOLD, **
     kept = scored.join(inner, ["lang", "phrase"], "left").filter(
         (F.col("size") == 3) | F.col("longer").isNull() | (100 * F.col("longer") < 50 * F.col("a")))
     flat = kept.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
-    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    # each of some parts of a language gives its first ones, of which the first are taken
-    parts = F.pmod(F.xxhash64("phrase"), F.lit(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    best = flat.withColumn("_part", parts).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).filter(F.col("_rank") <= top)
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
+    # ranges of each language's order, no language in one task
+    ranked = placed(flat.withColumns({"_score": -F.col("score"), "_a": -F.col("a")}), "lang", ["_score", "_a", "phrase"])
+    ranked = ranked.drop("n").withColumn("rank", F.col("place") + 1)
     return ranked.filter(F.col("rank") <= top).join(total, "lang").select(
         "lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
 
