@@ -29,6 +29,7 @@ BACKOFF = 0.4
 UNSEEN = 0.5  # count of a word that no other document has
 CHUNK_BYTES = 8 << 20
 GROUP_PAIRS = 3_000_000
+SLICE_PAIRS = 1 << 18  # worked through at once within a group
 BEGIN = np.uint64(1)  # stands before the first word
 _PLACE = np.uint64(0xD1342543DE82EF95)
 
@@ -137,12 +138,23 @@ def _sent(docs: DataFrame, groups: int, hot: np.ndarray) -> DataFrame:
     return docs.mapInArrow(send, _ROW)
 
 
-def _sum_rows(chunk: np.ndarray, doc: np.ndarray, logs: np.ndarray, missed: np.ndarray, groups: int) -> list[tuple]:
+def _whole_runs(begin: np.ndarray, n: int, size: int):
+    """Ranges of about ``size`` places that end where a run begins."""
+    lo = 0
+    while lo < n:
+        after = int(np.searchsorted(begin, lo + size))
+        hi = int(begin[after]) if after < len(begin) else n
+        yield lo, hi
+        lo = hi
+
+
+def _sum_rows(names: np.ndarray, chunk: np.ndarray, doc: np.ndarray, logs: np.ndarray, missed: np.ndarray, groups: int) -> list[tuple]:
+    """A row of sums by document for each chunk, given by its place in ``names``."""
     rows, order = [], np.argsort(chunk, kind="stable")
     cut = run_starts(chunk[order])
     for a, b in zip(cut, np.append(cut[1:], len(order))):
         own = order[a:b]
-        c = int(chunk[own[0]])
+        c = int(names[chunk[own[0]]])
         rows.append((_group_of(c, groups), SUMS, c, squeeze(np.bincount(doc[own], logs[own])),
                      squeeze(np.bincount(doc[own], missed[own]).astype(np.int64)), *[None] * 4))
     return rows
@@ -176,34 +188,42 @@ def _meet_pairs(group: pd.DataFrame, groups: int, hot: np.ndarray, hot_n: np.nda
     if len(sent):
         h = np.concatenate([unpack_sorted(x) for x in sent["a"]])
         w = np.concatenate([np.cumsum(unsqueeze(x, np.uint64), dtype=np.uint64) for x in sent["b"]])
-        doc, times, own_h, own_w = (np.concatenate([unsqueeze(x, np.uint32) for x in sent[c]]).astype(np.int64) for c in "cdef")
-        chunk = np.repeat(sent["chunk"].to_numpy(), [len(unsqueeze(x, np.uint32)) for x in sent["c"]])
+        doc, times, own_h, own_w = (np.concatenate([unsqueeze(x, np.uint32) for x in sent[c]]) for c in "cdef")
+        names, of_row = np.unique(sent["chunk"].to_numpy(), return_inverse=True)
+        chunk = np.repeat(of_row.astype(np.int32), [len(unsqueeze(x, np.uint32)) for x in sent["c"]])
         key = mix(w ^ mix(h))
         order = np.argsort(key, kind="stable")
         begin = run_starts(key[order])
-        total = np.add.reduceat(times[order], begin)
-        others = np.empty(len(key), np.int64)
-        others[order] = np.repeat(total, np.diff(np.append(begin, len(order))))
-        others -= times
-        near, _ = _lookup(words, counts, h)
-        far, is_hot = _lookup(hot, hot_n, h)
-        of_h = np.where(is_hot, far, near) - own_h
-        hit = others > 0
-        logs = np.zeros(len(key))
-        logs[hit] = times[hit] * np.log(others[hit] / of_h[hit])
-        n_w, known = _lookup(hot, hot_n, w)
-        here = ~hit & known
-        logs[here] = times[here] * np.log(np.maximum(n_w[here] - own_w[here], UNSEEN))
-        rows += _sum_rows(chunk, doc, logs, np.where(hit, 0, times), groups)
-        on = np.flatnonzero(~hit & ~known)
+        del key, sent
+        logs, on = np.zeros(len(order)), []
+        missed = np.zeros(len(order), np.uint32)
+        for lo, hi in _whole_runs(begin, len(order), SLICE_PAIRS):  # all of a pair are in one slice
+            own, at = order[lo:hi], begin[np.searchsorted(begin, lo): np.searchsorted(begin, hi)] - lo
+            n = times[own].astype(np.int64)
+            others = np.repeat(np.add.reduceat(n, at), np.diff(np.append(at, hi - lo))) - n
+            near, _ = _lookup(words, counts, h[own])
+            far, is_hot = _lookup(hot, hot_n, h[own])
+            hit = others > 0
+            of_h = np.where(is_hot, far, near) - own_h[own]
+            part = np.zeros(hi - lo)
+            part[hit] = n[hit] * np.log(others[hit] / of_h[hit])
+            n_w, known = _lookup(hot, hot_n, w[own])
+            here = ~hit & known
+            part[here] = n[here] * np.log(np.maximum(n_w[here] - own_w[own[here]].astype(np.int64), UNSEEN))
+            logs[own], missed[own] = part, np.where(hit, 0, n)
+            on.append(own[~hit & ~known])
+        del h, own_h, order, begin
+        rows += _sum_rows(names, chunk, doc, logs, missed, groups)
+        del logs, missed
+        on = np.concatenate(on) if on else np.zeros(0, np.int64)
         target = (w[on] % np.uint64(groups)).astype(np.int64)
         order = np.lexsort((w[on], target))
         on, target = on[order], target[order]
         cut = run_starts(target)
         for a, b in zip(cut, np.append(cut[1:], len(on))):
             own = on[a:b]
-            names, at = np.unique(chunk[own], return_inverse=True)
-            rows.append((int(target[a]), PAIRS, -1, pack_sorted(w[own]), squeeze(names), squeeze(at.astype(np.uint32)),
+            held, at = np.unique(chunk[own], return_inverse=True)
+            rows.append((int(target[a]), PAIRS, -1, pack_sorted(w[own]), squeeze(names[held]), squeeze(at.astype(np.uint32)),
                          squeeze(doc[own].astype(np.uint32)), squeeze(times[own].astype(np.uint32)), squeeze(own_w[own].astype(np.uint32))))
     return _frame(rows)
 
@@ -215,10 +235,17 @@ def _back_off(group: pd.DataFrame, groups: int) -> pd.DataFrame:
     if len(sent):
         w = np.concatenate([unpack_sorted(x) for x in sent["a"]])
         chunk = np.concatenate([unsqueeze(n, np.int64)[unsqueeze(a, np.uint32)] for n, a in zip(sent["b"], sent["c"])])
-        doc, times, own_w = (np.concatenate([unsqueeze(x, np.uint32) for x in sent[c]]).astype(np.int64) for c in "def")
-        n_w, _ = _lookup(words, counts, w)
-        logs = times * np.log(np.maximum(n_w - own_w, UNSEEN))
-        rows += _sum_rows(chunk, doc, logs, np.zeros(len(w), np.int64), groups)
+        names, chunk = np.unique(chunk, return_inverse=True)
+        chunk = chunk.astype(np.int32)
+        doc, times, own_w = (np.concatenate([unsqueeze(x, np.uint32) for x in sent[c]]) for c in "def")
+        del sent
+        logs = np.zeros(len(w))
+        for lo in range(0, len(w), SLICE_PAIRS):
+            part = slice(lo, lo + SLICE_PAIRS)
+            n_w, _ = _lookup(words, counts, w[part])
+            logs[part] = times[part] * np.log(np.maximum(n_w - own_w[part].astype(np.int64), UNSEEN))
+        del w
+        rows += _sum_rows(names, chunk, doc, logs, np.zeros(len(doc), np.uint32), groups)
     return _frame(rows)
 
 
