@@ -37,7 +37,7 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "term"]
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-_BLOCK = 256  # running sums are taken in blocks, as each step copies what is there
+_BLOCK = 48  # running sums are taken in blocks, as each step copies what is there
 SPAN = "struct<start:int,rank:int,end:int,value:string>"
 
 
@@ -129,8 +129,8 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, co
     total = docs.count()
     # PMI >= IC / alpha, without logarithms: n_both N / (n_entity n_term) >= (N / n_entity) ^ (1 / alpha)
     most = F.floor(F.col("n_both") * total / F.col("n_entity") / F.pow(total / F.col("n_entity"), F.lit(1 / alpha)))
-    # a term stands in more documents than it stands near any one entity in
-    at_least = both.groupBy("term").agg(F.max("n_both").alias("least"))
+    # a term stands in all the documents in which it is near any entity, and more
+    at_least = near.groupBy("term").agg(F.count_distinct("key").alias("least"))
     open_ = staged(pairs.withColumn("most", most).join(at_least, "term").filter(F.col("least") <= F.col("most"))
                    .select("entity", "term", "n_both", "most"), "open")
     wanted = small_side(open_.select("term").distinct())
@@ -142,12 +142,13 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, co
 def _term_spans(text: Column, base: Column, terms: Column, rank: int) -> Column:
     """Occurrences of the listed terms that touch no base span."""
     lowered = _lowered(text)
-    words = F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))
-    starts = _starts(words, F.split(lowered, TERM, -1))
+    listed = F.concat(F.lit("(?<!\\p{L})(?:"), F.array_join(F.array_sort(terms), "|"), F.lit(")(?!\\p{L})"))  # letters only
+    words = F.regexp_extract_all(lowered, listed, F.lit(0))
+    starts = _starts(words, F.split(lowered, listed, -1))
     spans = F.transform(F.arrays_zip(words.alias("m"), starts.alias("at")), lambda z: F.struct(
         z["at"].alias("start"), F.lit(rank).alias("rank"), (z["at"] + F.length(z["m"])).alias("end"), z["m"].alias("value")))
-    of_terms = F.filter(spans, lambda s: F.array_contains(terms, s["value"]))
-    return F.filter(of_terms, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    spans = F.when(F.size(words) > 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
 
 def _listed(spans: Column) -> Column:
