@@ -147,3 +147,99 @@ def clinical_sheet(spark, sf):
 QUERIES["clinical_sheet"] = clinical_sheet
 SQL["clinical_sheet"] = """
 SELECT 'P' || c_custkey AS sample, c_mktsegment AS site FROM customer WHERE c_mktsegment <> 'MACHINERY'"""
+
+
+# -- types found by reading, headers by file, matrices of any width
+
+def detected_types(spark, sf):
+    """Lines of orders in one directory per status, written without types. A code is
+    a number everywhere but in a few finished lines, and so is text in all files."""
+    late = (F.col("l_linestatus") == "F") & (F.col("l_orderkey") % 1000 == 7)
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", F.nullif("l_linenumber", F.lit(2)).alias("line"), F.col("l_discount").alias("rate"),
+        F.when(F.col("l_quantity") > 25, "TRUE").otherwise("false").alias("large"),
+        F.when(late, F.concat(F.lit("late, "), "l_partkey")).otherwise(F.col("l_partkey").cast("string")).alias("code"),
+        (F.col("l_partkey") * 10_000_000_000).alias("big"), F.lit(None).cast("string").alias("nothing"), "l_linestatus",
+    )
+    path = w.scratch_path(spark, "untyped")
+    w.write_tsv(lines, path, by="l_linestatus")
+    found = r.read_detected(spark, path, glob="*.csv", sample_pattern="l_linestatus=([^/]+)/", sample_col="status")
+    kinds = F.concat_ws(",", *[F.typeof(c) for c in ("line", "rate", "large", "code", "big", "nothing")])
+    return found.select(F.col("l_orderkey").cast("bigint").alias("l_orderkey"), "line", "rate", "large", "code", "big",
+                        "nothing", "status", kinds.alias("kinds"))
+
+
+QUERIES["detected_types"] = detected_types
+SQL["detected_types"] = """
+SELECT l_orderkey, nullif(l_linenumber, 2) AS line, l_discount AS rate, l_quantity > 25 AS large,
+  CASE WHEN l_linestatus = 'F' AND l_orderkey % 1000 = 7 THEN 'late, ' ELSE '' END || l_partkey AS code,
+  l_partkey * 10000000000 AS big, CAST(NULL AS VARCHAR) AS nothing, l_linestatus AS status,
+  'int,double,boolean,string,bigint,string' AS kinds FROM lineitem"""
+
+
+def files_by_header(spark, sf):
+    """Each market segment in files of its own header: other columns, another order."""
+    customers = table(spark, sf, "customer").select(
+        "c_custkey", F.concat(F.lit('a "name", '), "c_name").alias("c name"), "c_nationkey", "c_acctbal", "c_mktsegment")
+    layouts = {
+        "BUILDING": ["c_custkey", "c name", "c_acctbal"], "MACHINERY": ["c_acctbal", "c_nationkey", "c_custkey"],
+        "FURNITURE": ["c name", "c_custkey"],
+    }
+    paths = {}
+    for segment, columns in layouts.items():
+        paths[segment] = w.scratch_path(spark, "headers")
+        of_segment = customers.filter(F.col("c_mktsegment") == segment).select(*columns)
+        of_segment.write.option("header", "true").option("escape", '"').option("nullValue", "NA").csv(paths[segment])
+    types = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double"}
+    return r.read_tagged(spark, paths, types, tag_col="segment", sep=",", glob="*.csv")
+
+
+QUERIES["files_by_header"] = files_by_header
+SQL["files_by_header"] = """
+SELECT c_custkey, CASE WHEN c_mktsegment <> 'MACHINERY' THEN 'a "name", ' || c_name END AS c_name,
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN c_nationkey END AS c_nationkey,
+  CASE WHEN c_mktsegment <> 'FURNITURE' THEN c_acctbal END AS c_acctbal, c_mktsegment AS segment
+FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE')"""
+
+
+def skipped_lines(spark, sf):
+    """Sheets of the nations' customers below four lines that nothing marks."""
+    nations = table(spark, sf, "nation").select("n_nationkey", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("place"), F.lit(text).alias("value")) for i, text in enumerate(
+            ["Patient\tSite", "identifier\tof the tumour", "STRING\tSTRING", "1\t1", "PATIENT_ID\tPRIMARY_SITE_PATIENT"])
+    ])).alias("line")).select("n_nationkey", "line.*")
+    customers = table(spark, sf, "customer").select(
+        F.col("c_nationkey").alias("n_nationkey"), F.lit(5).alias("place"),
+        F.concat_ws("\t", F.concat(F.lit("#"), "c_custkey"), "c_mktsegment").alias("value"))
+    lines = nations.unionByName(customers).repartition("n_nationkey").sortWithinPartitions("n_nationkey", "place")
+    path = w.scratch_path(spark, "sheets")
+    lines.select("n_nationkey", "value").write.partitionBy("n_nationkey").text(path)
+    return read_clinical(spark, path, skip=4, glob="*.txt", sample_pattern="n_nationkey=([0-9]+)/", sample_col="nation") \
+        .withColumn("nation", F.col("nation").cast("int"))
+
+
+QUERIES["skipped_lines"] = skipped_lines
+SQL["skipped_lines"] = "SELECT '#' || c_custkey AS sample, c_mktsegment AS site, c_nationkey AS nation FROM customer"
+
+
+def wide_file_by_supplier(spark, sf):
+    """A matrix with a column for every supplier, a file for each line number."""
+    lines = table(spark, sf, "lineitem").withColumn("supplier", F.concat(F.lit("S-"), "l_suppkey"))
+    counted = lines.groupBy("l_linenumber", "supplier").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.groupBy("l_linenumber").agg(F.map_from_entries(F.collect_list(F.struct("supplier", "n"))).alias("n"))
+    head = table(spark, sf, "supplier").agg(
+        F.array_sort(F.collect_list(F.concat(F.lit("S-"), "s_suppkey"))).alias("head")).withColumn("all", F.lit(1))
+    full = rows.withColumn("all", F.lit(1)).join(head, "all")
+    cells = F.transform("head", lambda s: F.coalesce(F.element_at("n", s).cast("string"), F.lit("NA")))
+    text = F.concat_ws("\n", F.concat_ws("\t", F.lit("line"), F.lit("note"), "head"), F.concat_ws(
+        "\t", F.col("l_linenumber").cast("string"), F.lit("x"), cells))
+    path = w.scratch_path(spark, "suppliers")
+    full.select("l_linenumber", text.alias("value")).write.partitionBy("l_linenumber").text(path)
+    found = read_wide(spark, path, ["line"], "supplier", "n", drop=("note",), kind="bigint")
+    return found.withColumn("line", F.col("line").cast("int"))
+
+
+QUERIES["wide_file_by_supplier"] = wide_file_by_supplier
+SQL["wide_file_by_supplier"] = """
+SELECT l.line, 'S-' || s_suppkey AS supplier, n FROM (SELECT DISTINCT l_linenumber AS line FROM lineitem) l CROSS JOIN supplier
+LEFT JOIN (SELECT l_linenumber AS line, l_suppkey AS s_suppkey, count(*) AS n FROM lineitem GROUP BY ALL) c USING (line, s_suppkey)"""

@@ -71,6 +71,18 @@ QUERIES["complete_samples"] = _complete
 SQL["complete_samples"] = f"WITH {_SQL_COMPLETE} SELECT * FROM complete"
 
 
+def sample_universe(spark, sf):
+    """Dense matrix over all suppliers with copy numbers; those without a mutation
+    are complete, as all suppliers were examined."""
+    li = table(spark, sf, "lineitem")
+    examined = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("sample"))
+    complete = m.complete_samples(snv_calls(li), cn_calls(li), sample_universe=examined)
+    return m.alteration_matrix(m.alteration_events(cn_calls(li), snv_calls(li), PANEL), PANEL, complete, restrict_to_complete=True)
+
+
+QUERIES["sample_universe"] = sample_universe
+
+
 def semi_complete(spark, sf):
     """Customers against shifted keys of the orders, so that some have no partner."""
     orders = table(spark, sf, "orders").select((F.col("o_custkey") * 2).alias("c_custkey"))
@@ -638,3 +650,11 @@ QUERIES["present_flags"] = present_flags
 SQL["present_flags"] = """
 SELECT l_orderkey, l_linenumber, CAST(l_returnflag <> 'A' AS INTEGER) + CAST(l_linestatus <> 'F' AS INTEGER) AS n_flags
 FROM lineitem"""
+
+
+SQL["sample_universe"] = f"""
+WITH {_SQL_EVENTS}, panel AS (SELECT CAST(unnest(range(50)) AS VARCHAR) AS gene),
+examined AS (SELECT CAST(s_suppkey AS VARCHAR) AS sample FROM supplier
+  INTERSECT SELECT DISTINCT CAST(l_suppkey AS VARCHAR) FROM lineitem WHERE NOT {SQL_MUTATED})
+SELECT g.gene, x.sample, coalesce(e.alterations, '') AS alterations
+FROM panel g CROSS JOIN examined x LEFT JOIN events_ e ON e.gene = g.gene AND e.sample = x.sample"""

@@ -11,6 +11,9 @@ from somaframe.operators.groups import contingency
 from somaframe.operators.joins import natural_join
 from somaframe.operators.reshape import explode_tokens, split_columns
 from somaframe.plans import variants as v
+from somaframe.sources import writers as w
+from somaframe.sources.callfiles import read_catalogue
+from somaframe.sources.readers import read_vcf
 
 from . import fixed
 from .common import sql_list, sql_recode, table
@@ -343,6 +346,61 @@ SELECT l_orderkey, l_partkey AS "POS", 'PASS' AS "FILTER", '0/1' AS "fmt_GT", CA
   csq[1] AS "csq_Allele", csq[2] AS "csq_Consequence", csq[3] AS "csq_IMPACT" FROM a"""
 
 
+def vcf_text(spark, sf):
+    """The same records as text behind ``##`` lines and a header, read back."""
+    records = _vcf(spark, sf).select(F.concat_ws(
+        "\t", F.lit("chr1"), "POS", F.col("l_orderkey").cast("string"), F.lit("A"), F.lit("G"), F.lit("."), "FILTER", "INFO", "FORMAT", "STATS",
+    ).alias("value"), F.lit(2).alias("place"))
+    names = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1"
+    parts = spark.range(0, 4, 1, 4).select(F.explode(F.array(*[
+        F.struct(F.lit(t).alias("value"), F.lit(i).alias("place")) for i, t in enumerate(["##fileformat=VCFv4.2", names])])).alias("line"))
+    lines = parts.select("line.*").unionByName(records)
+    path = w.scratch_path(spark, "vcf")
+    lines.select("value").write.option("compression", "gzip").text(path)
+    read = read_vcf(spark, path, glob="*.gz").withColumn("l_orderkey", F.col("ID").cast("bigint"))
+    return v.flatten_vcf(read.select("l_orderkey", "POS", "FILTER", "INFO", "FORMAT", "STATS"), _FIELDS)
+
+
+QUERIES["vcf_text"] = vcf_text
+SQL["vcf_text"] = SQL["flatten_vcf"]
+
+
+def catalogue_text(spark, sf):
+    """Catalogue files of two samples, parsed and matched with the variants of lines;
+    transcript-named genes and silent changes go, and positions come out of text."""
+    orders = table(spark, sf, "orders").filter(F.col("o_orderstatus").isin("F", "O"))
+    gene = (F.col("o_custkey") % 50).cast("string")
+    text = orders.select(
+        F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("ENST00000"), F.lpad(gene, 6, "0"))).otherwise(gene).alias("Gene"),
+        F.when(F.col("o_orderkey") % 5 == 0, "Substitution - coding silent").otherwise("Substitution - Missense").alias("Type"),
+        F.lit("No").alias("Census_Tier_1"), F.concat(F.lit("c."), "o_orderkey").alias("CDS_Mutation"), F.lit("Verified").alias("Validated"),
+        F.concat(F.lit("1:"), "o_orderkey", F.lit("-"), "o_orderkey").alias("Position"), "o_orderstatus",
+    )
+    paths = {}
+    for status in ("F", "O"):
+        paths[status] = w.scratch_path(spark, "catalogue")
+        w.write_tsv(text.filter(F.col("o_orderstatus") == status).drop("o_orderstatus"), paths[status])
+    catalogue = v.parse_catalogue(read_catalogue(spark, paths)).select(
+        F.col("Gene").alias("gene"), "sample", "position_start", "CDS_Mutation")
+    found = table(spark, sf, "lineitem").select(
+        (F.col("l_partkey") % 50).cast("string").alias("gene"), F.col("l_linestatus").alias("sample"),
+        (F.col("l_orderkey") + F.col("l_linenumber")).cast("double").alias("start"), "l_linenumber")
+    return v.match_catalogue(found, catalogue)
+
+
+QUERIES["catalogue_text"] = catalogue_text
+SQL["catalogue_text"] = """
+WITH c AS (
+  SELECT CAST(o_custkey % 50 AS VARCHAR) AS gene, o_orderstatus AS sample, CAST(o_orderkey AS DOUBLE) AS position_start,
+    'c.' || o_orderkey AS "CDS_Mutation", round_even(o_orderkey / 10, 0) * 10 AS approx_start
+  FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0),
+l AS (
+  SELECT CAST(l_partkey % 50 AS VARCHAR) AS gene, l_linestatus AS sample, CAST(l_orderkey + l_linenumber AS DOUBLE) AS start,
+    l_linenumber, round_even((l_orderkey + l_linenumber) / 10, 0) * 10 AS approx_start
+  FROM lineitem WHERE l_linestatus IN (SELECT sample FROM c))
+SELECT gene, sample, approx_start, position_start, "CDS_Mutation", start, l_linenumber FROM c FULL JOIN l USING (gene, sample, approx_start)"""
+
+
 # -- VEP filters
 
 def _vep(spark, sf):

@@ -109,8 +109,10 @@ def cell_line_matrix_job(
     calls,
     driver_panel: Sequence[str] = dim.SHORT_DRIVER_PANEL,
     complex_panel: Sequence[str] = dim.SHORT_COMPLEX_PANEL,
+    sample_universe: DataFrame | None = None,
 ) -> Tables:
-    """Alteration matrix of the cell lines, from the text of the two builds."""
+    """Alteration matrix of the cell lines, from the text of the two builds. Cell
+    lines of ``sample_universe`` (sample) are complete without a mutation too."""
     snv = read_delimited(
         spark, variants, blank="null", null_token=None,
         types={"Sample": "string", "Gene_refGene": "string", "ExonicFunc_simplified": "string"},
@@ -120,7 +122,7 @@ def cell_line_matrix_job(
     ).toDF("sample", "gene", "cna")
     panel = [*complex_panel, *driver_panel]
     events = m.alteration_events(cna, snv, panel)
-    matrix = m.alteration_matrix(events, panel, m.complete_samples(snv, cna))
+    matrix = m.alteration_matrix(events, panel, m.complete_samples(snv, cna, sample_universe=sample_universe))
     return {"events": events.withColumn("group", m.panel_label("gene", complex_panel)), **_results(matrix)}
 
 
@@ -133,8 +135,10 @@ def cohort_matrix_job(
     driver_panel: Sequence[str] = dim.SHORT_DRIVER_PANEL,
     complex_panel: Sequence[str] = dim.SHORT_COMPLEX_PANEL,
     all_genes: bool = False,
+    sample_universe: DataFrame | None = None,
 ) -> Tables:
-    """Alteration matrix of the cohort over complete, virus-free patients."""
+    """Alteration matrix of the cohort over complete, virus-free patients; those of
+    ``sample_universe`` (sample) are complete without a mutation too."""
     panel = [*complex_panel, *driver_panel]
     mutations = v.dedupe_maf(cf.read_maf(spark, maf)).select(
         col("Hugo_Symbol").alias("gene"), col("Tumor_Sample_Barcode").alias("sample"),
@@ -147,7 +151,7 @@ def cohort_matrix_job(
     excluded = m.positive_patients(status)
     if excluded_out is not None:
         write_id_list(excluded, "patient", excluded_out)
-    kept = m.without_patients(m.complete_samples(mutations, with_cn), excluded)
+    kept = m.without_patients(m.complete_samples(mutations, with_cn, sample_universe=sample_universe), excluded)
     events = m.alteration_events(cna, mutations, panel, samples=kept, complex_panel=complex_panel)
     matrix = m.alteration_matrix(events, panel, kept, all_genes=all_genes)
     return {"patients": kept, "viral_status": status, "events": events, **_results(matrix)}

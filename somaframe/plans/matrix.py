@@ -32,10 +32,17 @@ def top_priority_mutation(
     return top_class(kept, [sample, gene], class_col, priority)
 
 
-def complete_samples(a: DataFrame, b: DataFrame, sample: str = "sample") -> DataFrame:
+def complete_samples(
+    a: DataFrame, b: DataFrame, sample: str = "sample", sample_universe: DataFrame | None = None
+) -> DataFrame:
     """Samples present in both sources. Take them from the unfiltered tables: a
-    sample without panel events is still complete."""
-    return a.select(sample).intersect(b.select(sample))
+    sample without panel events is still complete.
+
+    A sample of which ``a`` has no row at all, such as one without any mutation, is
+    not in it. ``sample_universe``, the samples that were examined for ``a``, takes
+    the place of ``a``'s own, so that event-free ones count as complete too."""
+    examined = a if sample_universe is None else sample_universe
+    return examined.select(sample).intersect(b.select(sample))
 
 
 def panel_label(gene: str, complex_panel: Sequence[str],

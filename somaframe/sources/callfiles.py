@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.nulls import col
-from ..operators.reshape import unpivot_values
 from . import readers as r
+from .lines import fields, read_by_name, read_long
 
 # Columns of each file kind.
 SEGMENT_TYPES = {
@@ -115,17 +114,21 @@ def read_viral(spark: SparkSession, path, **options) -> DataFrame:
     return r.read_delimited(spark, path, types=VIRAL_TYPES, blank="null", **options)
 
 
-def read_clinical(spark: SparkSession, path, **options) -> DataFrame:
-    """Patient sheet whose leading metadata lines start with ``#``."""
-    return r.read_delimited(
-        spark, path, comment="#", **options,
-        types={"PATIENT_ID": "string", "PRIMARY_SITE_PATIENT": "string"},
-    ).withColumnsRenamed({"PATIENT_ID": "sample", "PRIMARY_SITE_PATIENT": "site"})
+def read_clinical(spark: SparkSession, path, skip: int | None = None, **options) -> DataFrame:
+    """Patient sheet whose leading metadata lines start with ``#``, or with ``skip``
+    are that many lines of any form."""
+    types = {"PATIENT_ID": "string", "PRIMARY_SITE_PATIENT": "string"}
+    if skip is None:
+        sheet = r.read_delimited(spark, path, comment="#", types=types, **options)
+    else:
+        sheet = read_by_name(spark, path, types, skip=skip, **options)
+    return sheet.withColumnsRenamed({"PATIENT_ID": "sample", "PRIMARY_SITE_PATIENT": "site"})
 
 
 def header_names(spark: SparkSession, path, sep: str = "\t") -> list[str]:
     """Column names of a delimited file, from its first line."""
-    return spark.read.option("sep", sep).option("header", "true").option("maxColumns", r.WIDE_MAX_COLUMNS).csv(path).columns
+    first = spark.read.text(path).limit(1).select(fields(F.col("value"), sep).alias("names")).first()
+    return first["names"]
 
 
 def read_wide(
@@ -141,15 +144,8 @@ def read_wide(
     null_token: str | None = "NA",
 ) -> DataFrame:
     """Matrix file with leading id columns and one column per gene or sample,
-    turned long: one row per cell, missing cells included."""
-    wide = (
-        spark.read.option("sep", sep).option("escape", '"').option("header", "true")
-        .option("enforceSchema", "false").option("nullValue", r.NO_TOKEN)
-        .option("maxColumns", r.WIDE_MAX_COLUMNS).option("maxCharsPerColumn", -1).csv(path)
-    ).drop(*drop)
-    cell = col(value).try_cast(kind) if kind != "string" else r._text_cell(col(value), null_token, blank)
-    named = [r._text_cell(col(c), null_token, blank).alias(c) for c in ids]
-    return unpivot_values(wide, ids, key, value).select(*named, key, cell.alias(value))
+    turned long: one row per cell, missing cells included. Any number of columns."""
+    return read_long(spark, path, ids, key, value, sep, drop, kind, blank, null_token)
 
 
 def read_old_segments(spark: SparkSession, path, **options) -> DataFrame:

@@ -1,20 +1,20 @@
 """Readers for delimited call files.
 
 All files of a kind are read by one scan; what a file stands for is taken from
-its path. Types are stated, never inferred: a sample-dependent type would differ
-between the files of one scan.
+its path. Types are stated, or found over all rows of all files before the read; a
+type found in a sample would differ between the files of one scan.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F
 
 from ..functions.nulls import col
 from ..functions.text import first_match
+from .lines import detect_separator, detect_types, read_by_name
 
 WIDE_MAX_COLUMNS = 100_000
 NO_TOKEN = "\u0001"  # never in a file, so that only blank fields come back as NULL
@@ -135,15 +135,45 @@ def read_delimited(
     return df if spread is None else df.repartition(spread)
 
 
+def read_detected(
+    spark: SparkSession, path: str | list[str], sep: str | None = None, null_token: str | None = "NA",
+    glob: str | None = None, recursive: bool = True, **options,
+) -> DataFrame:
+    """``read_delimited`` with the types, and without ``sep`` the separator, found
+    in all lines of all files first: a text value anywhere makes its column text in
+    every file. Reads the files twice, or three times without ``sep``."""
+    sep = detect_separator(spark, path, glob, recursive) if sep is None else sep
+    places = {"glob": glob, "recursive": recursive, "sep": sep, "null_token": null_token}
+    text = read_delimited(spark, path, **places, **{k: v for k, v in options.items() if k in ("columns", "comment")})
+    return read_delimited(spark, path, types=detect_types(text, null_token), **places, **options)
+
+
+def _files_of(spark: SparkSession, path: str) -> list[str]:
+    """Files at or below a path or pattern, as scans name them."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.globStatus(root) or []:
+        below = fs.listFiles(status.getPath(), True)
+        while below.hasNext():
+            found.append(re.sub("^file:/+", "file:/", below.next().getPath().toUri().toString()))
+    return found
+
+
 def read_tagged(
-    spark: SparkSession, paths: Mapping[str, str], tag_col: str = "sample", **options
+    spark: SparkSession, paths: Mapping[str, str], types: Mapping[str, str], tag_col: str = "sample", **options
 ) -> DataFrame:
-    """Union of a few named files, each tagged with its name."""
-    parts = [
-        read_delimited(spark, path, **options).withColumn(tag_col, F.lit(tag))
-        for tag, path in paths.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Union of named files or directories, each row tagged with the name, in one
+    scan: the tag is looked up by the file of the row. Columns are taken by name
+    from each file's own header (options of ``read_by_name``)."""
+    tags = [(file, tag) for tag, path in paths.items() for file in _files_of(spark, path)]
+    if len({file for file, _ in tags}) < len(tags):
+        raise ValueError("a file lies under two of the paths")
+    rows = read_by_name(spark, list(paths.values()), types, file_col="_path", **options)
+    # one row per file, which the scan's own listing holds too
+    named = spark.createDataFrame(tags, f"_path string, `{tag_col}` string")
+    rows = rows.withColumn("_path", F.regexp_replace("_path", "^file:/+", "file:/"))
+    return rows.join(F.broadcast(named), "_path").select(*types, tag_col)
 
 
 def _one_header(count: str) -> Column:

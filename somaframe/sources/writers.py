@@ -6,6 +6,7 @@ sink writes a directory of part files, one per partition, with a header in each.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
@@ -60,11 +61,13 @@ def write_stage(df: DataFrame, path: str, by: str | None = None, mode: str = "er
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder named by ``spark.checkpoint.dir``, or
-    below the session's warehouse, which its executors share, if that is unset.
-    """
+    """A new path below the shared folder named by ``spark.checkpoint.dir``. Where
+    that is unset, below the warehouse if the session runs on one machine; on a
+    cluster it is an error, as the warehouse may be a folder of the driver only."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stages"
     path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _PATHS.append(path)
