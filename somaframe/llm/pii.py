@@ -41,8 +41,10 @@ _BLOCK = 48  # running sums are taken in blocks, as each step copies what is the
 SPAN = "struct<start:int,rank:int,end:int,value:string>"
 
 
-def _digits(match: Column) -> Column:
-    return F.regexp_replace(match, "[^0-9]", "")
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: an expression within a lambda is
+    computed for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def _luhn(digits: Column) -> Column:
@@ -60,10 +62,10 @@ def _valid(kind: str, match: Column) -> Column:
         return F.lit(True)
     if kind == "ip":
         return match.rlike(f"^{_PART}\\.{_PART}\\.{_PART}\\.{_PART}$")
-    digits = _digits(match)
+    digits = F.regexp_replace(match, "[^0-9]", "")
     if kind == "phone":
         return F.length(digits).between(10, 15)
-    return F.when(F.length(digits).between(14, 19), _luhn(digits)).otherwise(False)
+    return _let(digits, lambda d: F.when(F.length(d).between(14, 19), _luhn(d)).otherwise(False))
 
 
 def _sums(lengths: Column) -> Column:
@@ -71,29 +73,43 @@ def _sums(lengths: Column) -> Column:
     return F.aggregate(lengths, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
 
 
-def _starts(matches: Column, gaps: Column) -> Column:
-    """Place of each match; ``gaps`` has the text before each and after the last."""
-    steps = F.transform(matches, lambda m, i: F.length(F.get(gaps, i)) + F.when(i > 0, F.length(F.get(matches, i - 1))).otherwise(0))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / _BLOCK).cast("int")),
-                         lambda b: _sums(F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK))))
-    before = _sums(F.transform(blocks, lambda sums: F.element_at(sums, -1)))
-    return F.flatten(F.transform(
-        F.arrays_zip(blocks.alias("sums"), F.slice(before, F.lit(1), F.size(blocks)).alias("shift")),
-        lambda b: F.transform(F.slice(b["sums"], F.lit(2), F.size(b["sums"]) - 1), lambda s: s + b["shift"])))
+def _before(lengths: Column) -> Column:
+    """Sum of all entries before each entry, in blocks; of a non-empty array."""
+    def within(n: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(n) - 1) / _BLOCK).cast("int"))
+        return F.transform(numbers, lambda b: _sums(F.slice(n, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+    def shifted(blocks: Column) -> Column:
+        return _let(_sums(F.transform(blocks, lambda s: F.element_at(s, -1))), lambda start: F.flatten(F.transform(
+            blocks, lambda s, i: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda x: x + F.get(start, i)))))
+    return _let(lengths, lambda n: _let(within(n), shifted))
+
+
+def _matched(text: Column, pattern: Column | str, rank: int, kept) -> Column:
+    """Spans of the matches that pass ``kept``, in order. Their places are sums of
+    the lengths of matches and of the gaps between them."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def spans(matches: Column) -> Column:
+        pairs = F.slice(F.arrays_zip(matches.alias("m"), F.split(text, pattern, -1).alias("gap")), F.lit(1), F.size(matches))
+
+        def placed(z: Column) -> Column:
+            before = _before(F.transform(z, lambda x: F.length(x["m"]) + F.length(x["gap"])))
+            return F.zip_with(z, before, lambda x, at: F.struct(
+                (at + F.length(x["gap"])).alias("start"), F.lit(rank).alias("rank"),
+                (at + F.length(x["gap"]) + F.length(x["m"])).alias("end"), x["m"].alias("value")))
+        return F.when(F.exists(matches, kept), F.filter(_let(pairs, placed), lambda s: kept(s["value"]))).otherwise(none)
+    return _let(F.regexp_extract_all(text, pattern, F.lit(0)), spans)
 
 
 def kind_spans(text: Column, kind: str) -> Column:
     """Spans of a kind in order: start, rank of the kind, end, value."""
-    matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    starts = _starts(matches, F.split(text, PATTERNS[kind], -1))
-    spans = F.transform(F.arrays_zip(matches.alias("m"), starts.alias("at")), lambda z: F.struct(
-        z["at"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (z["at"] + F.length(z["m"])).alias("end"), z["m"].alias("value")))
-    some = F.exists(matches, lambda m: _valid(kind, m))
-    if kind == "email":
-        some = F.contains(text, F.lit("@")) & some
-    if kind == "phone":
-        some = F.contains(text, F.lit("+")) & some
-    return F.when(some, F.filter(spans, lambda s: _valid(kind, s["value"]))).otherwise(F.array().cast(f"array<{SPAN}>"))
+    spans = _matched(text, PATTERNS[kind], KINDS.index(kind), lambda m: _valid(kind, m))
+    needed = {"email": "@", "phone": "+"}.get(kind)
+    if needed is None:
+        return spans
+    return F.when(F.contains(text, F.lit(needed)), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def base_spans(text: Column) -> Column:
@@ -141,14 +157,9 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, co
 
 def _term_spans(text: Column, base: Column, terms: Column, rank: int) -> Column:
     """Occurrences of the listed terms that touch no base span."""
-    lowered = _lowered(text)
     listed = F.concat(F.lit("(?<!\\p{L})(?:"), F.array_join(F.array_sort(terms), "|"), F.lit(")(?!\\p{L})"))  # letters only
-    words = F.regexp_extract_all(lowered, listed, F.lit(0))
-    starts = _starts(words, F.split(lowered, listed, -1))
-    spans = F.transform(F.arrays_zip(words.alias("m"), starts.alias("at")), lambda z: F.struct(
-        z["at"].alias("start"), F.lit(rank).alias("rank"), (z["at"] + F.length(z["m"])).alias("end"), z["m"].alias("value")))
-    spans = F.when(F.size(words) > 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
-    return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    spans = _matched(_lowered(text), listed, rank, lambda m: F.length(m) > 0)
+    return _let(base, lambda held: F.filter(spans, lambda s: ~F.exists(held, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
 
 
 def _listed(spans: Column) -> Column:
