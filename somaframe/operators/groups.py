@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.classes import level_of, ordinal
 from ..functions.nulls import col, null_safe_all
+from ..sources.writers import staged
+from .ranks import running_totals
 
 
 def group_count(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
@@ -136,6 +138,22 @@ def collapse_except(df: DataFrame, column: str, **aggregates: Column) -> DataFra
 
 
 def median_value(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
-    """Exact median per group, from counts per distinct value."""
+    """Exact median per group, the mean of the two middle values of an even number.
+
+    Values are counted first and then placed by ranges of (group, value), so a
+    group that holds all rows, each with a value of its own, is spread over all
+    ranges; at most two rows a group reach the last step.
+    """
+    key = F.struct(*[col(k).alias(k) for k in keys])  # a missing key is a key, and no NULL itself
     counted = group_count(df.filter(col(value).isNotNull()), [*keys, value], "_n")
-    return counted.groupBy(*keys).agg(F.percentile(value, 0.5, F.col("_n")).alias(name))
+    counted = staged(counted.select(key.alias("_key"), col(value).alias("_value"), "_n"), "counted")
+    totals = counted.groupBy("_key").agg(F.sum("_n").alias("_all"))
+    placed = running_totals(counted, ["_key"], "_value", "_n", "_before").join(totals, "_key")
+
+    def holds(place: Column) -> Column:
+        return (F.col("_before") <= place) & (place < F.col("_before") + F.col("_n"))
+
+    middle = placed.filter(holds(F.floor((F.col("_all") - 1) / 2)) | holds(F.floor(F.col("_all") / 2)))
+    low, high = F.min("_value").cast("double"), F.max("_value").cast("double")
+    return middle.groupBy("_key").agg((low + (high - low) / 2).alias(name)).select(*[
+        F.col("_key").getField(k).alias(k) for k in keys], name)

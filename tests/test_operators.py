@@ -116,6 +116,14 @@ def test_median_from_counts(spark, rows):
     assert rows(g.median_value(spark.createDataFrame(data, "g string, v double"), ["g"], "v")) == [("A", 2.0), ("B", 5.5)]
 
 
+def test_median_of_one_hot_group_and_a_missing_key(spark, rows):
+    hot = spark.range(20_001).select(F.lit("A").alias("g"), F.lit(None).cast("string").alias("h"), (F.col("id") * 7919 % 20_001).cast("double").alias("v"))
+    rest = spark.createDataFrame([(None, None, 4.0), (None, None, 9.0), ("B", "x", None), ("C", "x", 1.0)], "g string, h string, v double")
+    got = g.median_value(hot.unionByName(rest), ["g", "h"], "v")
+    assert rows(got) == [("A", None, 10_000.0), ("C", "x", 1.0), (None, None, 6.5)]
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 # -- reshapes
 
 def test_unpivot_keeps_nulls_and_pivot_reverses_it(spark, rows):
