@@ -22,7 +22,6 @@ from .words import slices, text_buffer, word_bounds, word_hashes
 
 SAMPLE_DOCUMENTS = 3000
 SAMPLE_LINES = 200_000
-LINES_OF_ONE = 500  # of one sampled document
 STEPS = 250
 RATE = 0.05
 PENALTY = 1e-3
@@ -190,11 +189,11 @@ def fit_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sample_documents: int = SAMPLE_DOCUMENTS, sample_lines: int = SAMPLE_LINES,
 ) -> QualityModel | None:
-    """Model from a sample of ``labels`` (doc_id, quality): the first documents in
-    the order of a hash of their id, as many as both limits allow, the first
-    ``LINES_OF_ONE`` lines of each. Scoring takes all lines. Labels without
-    a document, and documents without lines, teach nothing; without any example
-    there is no model."""
+    """Model from a sample of ``labels`` (doc_id, quality): of the first
+    ``sample_documents`` in the order of a hash of their id, each whole document
+    that the rest of ``sample_lines`` has room for; a longer one is passed over.
+    Scoring takes all lines. Labels without a document, and documents without
+    lines, teach nothing; without any example there is no model."""
     chosen = (
         labels.filter(F.col("quality").isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("doc_id")).agg(F.max("quality").alias("quality"))
@@ -208,8 +207,8 @@ def fit_quality(
             rows_of, counts_of = [], []
             for _, _, rows, _, lines_of in line_features(batch.column(2)):
                 cut = np.append(0, np.cumsum(lines_of))
-                rows_of += [rows[a: min(b, a + LINES_OF_ONE)].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-                counts_of += np.minimum(lines_of, LINES_OF_ONE).tolist()
+                rows_of += [rows[a:b].tobytes() if b - a <= sample_lines else b"" for a, b in zip(cut[:-1], cut[1:])]
+                counts_of += lines_of.tolist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1).cast(pa.int64()), pa.array(counts_of, pa.int64()), pa.array(rows_of, pa.binary())],
                 ["doc_id", "quality", "n", "rows"])
@@ -218,7 +217,7 @@ def fit_quality(
     found, lines = [], 0
     for r in shaped.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").toLocalIterator():
         if lines + r["n"] > sample_lines:
-            break
+            continue
         lines += r["n"]
         if r["n"]:
             found.append(r)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from somaframe.llm import collocations as co
 from somaframe.llm import merkle_manifest as mm
 from somaframe.llm import pii
+from somaframe.llm import quality_crf as qc
 
 SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, node string, place long, n long, key string, base string, terms string"
 
@@ -205,3 +206,16 @@ def test_terms_that_disclose_an_entity(spark):
     assert "Boss" not in got[0].sanitised and "[TERM]" in got[0].sanitised and "[EMAIL]" in got[0].sanitised
     text = dict(texts)[0]
     assert all(text[s.start:s.end].lower() == s.value for s in got[0].spans if s.rank == 4)
+
+
+# -- quality: whole documents in training
+
+def test_quality_learns_from_whole_long_documents(spark, monkeypatch):
+    taught = []
+    monkeypatch.setattr(qc, "train", lambda rows, lines_of, labels: taught.append((len(rows), lines_of.tolist(), labels.tolist())))
+    texts = [(1, "\n".join(f"line {i}" for i in range(900))), (2, "one\ntwo"), (3, "\n".join("z" for _ in range(3_000)))]
+    docs, labels = docs_with(spark, texts), spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality long")
+    qc.fit_quality(docs, labels, sample_lines=1_000)
+    qc.fit_quality(docs, labels, sample_lines=5_000)
+    (total, lines, _), (whole, all_lines, _) = taught
+    assert total == 902 and sorted(lines) == [2, 900] and whole == 3_902 and sorted(all_lines) == [2, 900, 3_000]
