@@ -22,6 +22,7 @@ from .words import slices, text_buffer, word_bounds, word_hashes
 
 SAMPLE_DOCUMENTS = 3000
 SAMPLE_LINES = 200_000
+LONGEST = 2_000  # lines of a sampled document; each step of the fit walks along the longest
 STEPS = 250
 RATE = 0.05
 PENALTY = 1e-3
@@ -187,11 +188,12 @@ def score_lines(model: QualityModel, rows: np.ndarray, lines_of: np.ndarray) ->
 
 def fit_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    sample_documents: int = SAMPLE_DOCUMENTS, sample_lines: int = SAMPLE_LINES,
+    sample_documents: int = SAMPLE_DOCUMENTS, sample_lines: int = SAMPLE_LINES, longest: int = LONGEST,
 ) -> QualityModel | None:
     """Model from a sample of ``labels`` (doc_id, quality): of the first
-    ``sample_documents`` in the order of a hash of their id, each whole document
-    that the rest of ``sample_lines`` has room for; a longer one is passed over.
+    ``sample_documents`` in the order of a hash of their id, each whole document of
+    at most ``longest`` lines that the rest of ``sample_lines`` has room for; others
+    are passed over.
     Scoring takes all lines. Labels without a document, and documents without
     lines, teach nothing; without any example there is no model."""
     chosen = (
@@ -207,7 +209,7 @@ def fit_quality(
             rows_of, counts_of = [], []
             for _, _, rows, _, lines_of in line_features(batch.column(2)):
                 cut = np.append(0, np.cumsum(lines_of))
-                rows_of += [rows[a:b].tobytes() if b - a <= sample_lines else b"" for a, b in zip(cut[:-1], cut[1:])]
+                rows_of += [rows[a:b].tobytes() if b - a <= longest else b"" for a, b in zip(cut[:-1], cut[1:])]
                 counts_of += lines_of.tolist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1).cast(pa.int64()), pa.array(counts_of, pa.int64()), pa.array(rows_of, pa.binary())],
@@ -216,7 +218,7 @@ def fit_quality(
     shaped = sample.mapInArrow(extract, "doc_id long, quality long, n long, rows binary")
     found, lines = [], 0
     for r in shaped.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").toLocalIterator():
-        if lines + r["n"] > sample_lines:
+        if r["n"] > longest or lines + r["n"] > sample_lines:
             continue
         lines += r["n"]
         if r["n"]:

@@ -215,7 +215,7 @@ def test_quality_learns_from_whole_long_documents(spark, monkeypatch):
     monkeypatch.setattr(qc, "train", lambda rows, lines_of, labels: taught.append((len(rows), lines_of.tolist(), labels.tolist())))
     texts = [(1, "\n".join(f"line {i}" for i in range(900))), (2, "one\ntwo"), (3, "\n".join("z" for _ in range(3_000)))]
     docs, labels = docs_with(spark, texts), spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality long")
-    qc.fit_quality(docs, labels, sample_lines=1_000)
-    qc.fit_quality(docs, labels, sample_lines=5_000)
+    qc.fit_quality(docs, labels)
+    qc.fit_quality(docs, labels, longest=5_000)
     (total, lines, _), (whole, all_lines, _) = taught
     assert total == 902 and sorted(lines) == [2, 900] and whole == 3_902 and sorted(all_lines) == [2, 900, 3_000]
