@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..sources.writers import staged
-from .common import released, small_side, table, text_batches
+from .common import released, small_side, table, text_batches, text_key
 from .words import slices, text_buffer
 
 DIMENSIONS = 1 << 12
@@ -83,6 +83,31 @@ def _document_frequencies(learning: DataFrame) -> tuple[np.ndarray, int]:
     return seen[:-1], int(seen[-1])
 
 
+def least_rows(rows: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` distinct (order, text_key) of each lang. A task hands on no
+    more than that, once before and once after rows are dealt by ``order``, so the
+    window at the end sorts no language's whole rows."""
+    def least(batches):
+        best: dict[str, np.ndarray] = {}
+        for batch in batches:
+            lang = batch.column(0).dictionary_encode()
+            code = lang.indices.to_numpy()
+            pair = np.empty(batch.num_rows, [("order", np.int64), ("text_key", np.int64)])
+            pair["order"], pair["text_key"] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for k, name in enumerate(lang.dictionary.to_pylist()):
+                known = best.get(name, pair[:0])
+                best[name] = np.unique(np.concatenate([known, pair[code == k]]))[:most]
+        for name, pair in best.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(pair), pa.string()), pa.array(pair["order"]), pa.array(pair["text_key"])],
+                ["lang", "order", "text_key"])
+
+    schema = "lang string, order long, text_key long"
+    dealt = rows.mapInArrow(least, schema).repartition("order").mapInArrow(least, schema)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text_key"))
+    return dealt.withColumn("_n", place).filter(F.col("_n") <= most).drop("_n")
+
+
 def _cluster(group: pd.DataFrame, centroids: int) -> pd.DataFrame:
     group = group.sort_values(["order", "vector"])
     points = np.stack([np.frombuffer(v, np.float32) for v in group["vector"]])
@@ -109,27 +134,28 @@ def fit_languages(
     sample_per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS,
 ) -> LanguageModel:
     """Model from the rows of ``docs`` for which ``learn`` holds and text and
-    language are there. Without such rows it knows no language."""
+    language are there. Without such rows it knows no language. The sample of a
+    language is its rows of the least hashes of the id, then of the text (rows
+    without an id, or with the same one); repeated rows count once."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     with text_batches(docs.sparkSession):
         seen, n = _document_frequencies(rows)
     weights = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
-    order = F.xxhash64("doc_id", F.lit(7)).alias("order")
-    first = Window.partitionBy("lang").orderBy("order")  # limited before the shuffle
-    ids = staged(
-        rows.select("doc_id", "lang", order).withColumn("_n", F.row_number().over(first))
-        .filter(F.col("_n") <= sample_per_language).select("doc_id", "order"), "language-sample")
-    sample = rows.join(small_side(ids.distinct()), "doc_id").select("lang", "order", "text")
+    keyed = rows.select(
+        "lang", F.xxhash64("doc_id", F.lit(7)).alias("order"), text_key(F.col("text")).alias("text_key"), "text")
+    keys = staged(least_rows(keyed.drop("text"), sample_per_language), "language-sample")
+    sample = keyed.join(small_side(keys), ["lang", "order", "text_key"])
 
     def vectorise(batches):
         for batch in released(batches):
-            out = [v.tobytes() for _, _, c in gram_counts(batch.column(2)) for v in vectors(c, weights)]
+            out = [v.tobytes() for _, _, c in gram_counts(batch.column(3)) for v in vectors(c, weights)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["lang", "order", "vector"])
+                [*batch.columns[:3], pa.array(out, pa.binary())], ["lang", "order", "text_key", "vector"])
 
     clusters = (
-        sample.mapInArrow(vectorise, "lang string, order long, vector binary")
+        sample.mapInArrow(vectorise, "lang string, order long, text_key long, vector binary")
+        .dropDuplicates(["lang", "order", "text_key"])  # repeated rows count once, so a group stays bounded
         .groupBy("lang").applyInPandas(lambda g: _cluster(g, centroids), "lang string, vector binary, least double")
     )
     with text_batches(docs.sparkSession):
