@@ -84,9 +84,10 @@ def _document_frequencies(learning: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def least_rows(rows: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` distinct (order, text_key) of each lang. A task hands on no
-    more than that, once before and once after rows are dealt by ``order``, so the
-    window at the end sorts no language's whole rows."""
+    """The first ``most`` distinct (order, text_key) of each lang, ``order`` being a
+    hash. A task hands on no more than that, once before and once after rows are
+    dealt by ``order``. Counts of 256 ranges then tell which ranges the first
+    ``most`` lie in, and the window at the end sorts those alone. Runs jobs."""
     def least(batches):
         best: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -103,9 +104,17 @@ def least_rows(rows: DataFrame, most: int) -> DataFrame:
                 ["lang", "order", "text_key"])
 
     schema = "lang string, order long, text_key long"
-    dealt = rows.mapInArrow(least, schema).repartition("order").mapInArrow(least, schema)
+    dealt = staged(rows.mapInArrow(least, schema).repartition("order").mapInArrow(least, schema)
+                   .withColumn("range", F.shiftright("order", 56)), "language-hashes")
+    before = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (
+        dealt.groupBy("lang", "range").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .filter(F.col("before") < most).select("lang", "range")
+    )
     place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text_key"))
-    return dealt.withColumn("_n", place).filter(F.col("_n") <= most).drop("_n")
+    near = dealt.join(small_side(ranges), ["lang", "range"], "left_semi").drop("range")
+    return near.withColumn("_n", place).filter(F.col("_n") <= most).drop("_n")
 
 
 def _cluster(group: pd.DataFrame, centroids: int) -> pd.DataFrame:
