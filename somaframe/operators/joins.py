@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.nulls import null_safe_all
 
 
+HOT_ROWS = 100_000  # rows of a key on one side from which it is split
+MOST_HOT = 10_000  # keys that are split; sent to every executor
+
+
 def _side(name: str, column: str) -> Column:
     return F.col(f"{name}.`{column}`")
 
@@ -91,6 +95,63 @@ def full_join(
     )
 
 
+def hot_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """The MOST_HOT most frequent keys that have ``hot_rows`` rows or more on a side,
+    with n_left and n_right; None if there is none. A key that is not among them has
+    less than ``hot_rows`` rows or less than a MOST_HOT-th of all. Runs one job; rows
+    are counted before the shuffle, and at most MOST_HOT rows reach the driver."""
+    keys = list(keys)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = left.select(*keys, one.alias("n_left"), none.alias("n_right")).unionAll(
+        right.select(*keys, none.alias("n_left"), one.alias("n_right")))
+    counted = both.groupBy(*keys).agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
+    most = F.greatest("n_left", "n_right")
+    found = counted.filter(most >= hot_rows).orderBy(most.desc()).limit(MOST_HOT).collect()
+    return left.sparkSession.createDataFrame(found, counted.schema) if found else None
+
+
+def split_full_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool = True, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The rows of ``full_join`` by one join, hot keys being cut into a grid.
+
+    A first pass counts the rows by key. Of a key with n_left and n_right rows, the
+    left rows are dealt by a hash of their content to n_left / ``hot_rows`` parts and
+    the right ones to n_right / ``hot_rows``; each goes to all parts of the other
+    side, so every pair meets in exactly one cell. All rows of a key that both sides
+    have find a partner, hence its rows without one are cells left over and go.
+    Identical rows stay in one part. Every input is shuffled once for the join.
+    """
+    keys = list(keys)
+    hot = hot_keys(left, right, keys, hot_rows)
+    if hot is None:
+        return full_join(left, right, keys, null_safe, grouped=True)
+    there = F.lit(True) if null_safe else F.expr(" and ".join(f"h.`{k}` is not null" for k in keys))
+    hot = hot.alias("h").select(
+        *[F.col(f"h.`{k}`") for k in keys],
+        F.greatest(F.ceil(F.col("n_left") / hot_rows), F.lit(1)).cast("int").alias("_rows"),
+        F.greatest(F.ceil(F.col("n_right") / hot_rows), F.lit(1)).cast("int").alias("_columns"),
+        ((F.col("n_left") > 0) & (F.col("n_right") > 0) & there).alias("_shared"),
+    )
+
+    def dealt(df: DataFrame, own: str, other: str, shared: str) -> DataFrame:
+        match = null_safe_all([(_side("d", k), _side("h", k)) for k in keys])
+        plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+        part = F.pmod(F.xxhash64(*[_side("d", c) for c in plain]), F.coalesce(F.col(own), F.lit(1)))
+        copies = F.when(F.col("_shared"), F.col(other)).otherwise(1)  # not hot: NULL, so 1
+        return df.alias("d").join(F.broadcast(hot).alias("h"), match, "left").select(  # MOST_HOT rows
+            *[_side("d", c) for c in df.columns], part.cast("int").alias(own),
+            F.coalesce("_shared", F.lit(False)).alias(shared),
+            F.explode(F.sequence(F.lit(0), copies - 1)).alias(other))
+
+    one = dealt(left, "_rows", "_columns", "_shared_left")
+    two = dealt(right, "_columns", "_rows", "_shared_right")
+    joined = full_join(one, two, [*keys, "_rows", "_columns"], null_safe, grouped=True)
+    left_over = F.coalesce(F.col("_shared_left") & F.col("_shared_right").isNull(), F.lit(False)) | F.coalesce(
+        F.col("_shared_right") & F.col("_shared_left").isNull(), F.lit(False))
+    return joined.filter(~left_over).drop("_rows", "_columns", "_shared_left", "_shared_right")
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with the number of rows."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")

@@ -11,7 +11,7 @@ from ..functions import classes as k
 from ..functions.nulls import blank_to_null, col, if_else, in_set
 from ..functions.text import join_non_null, remove_first
 from ..operators.groups import joined_classes
-from ..operators.joins import full_join, natural_join
+from ..operators.joins import natural_join, split_full_join
 from ..operators.reshape import pivot_sets, unpivot_values
 from .matrix import panel_label, without_class
 
@@ -75,7 +75,7 @@ def merge_events(
 ) -> DataFrame:
     """Row-wise outer merge of both event kinds; repeated copy-number rows of a
     key stay separate rows."""
-    merged = full_join(cna, snv, keys, null_safe)
+    merged = split_full_join(cna, snv, keys, null_safe)
     return merged.withColumn(name, join_non_null(";", cna_col, snv_col))
 
 

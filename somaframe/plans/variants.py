@@ -12,7 +12,7 @@ from ..functions.text import (
     all_matches, field_by_key, first_match, info_fields, sum_of_matches,
 )
 from ..operators.groups import collapse_except, group_count, joined_set
-from ..operators.joins import full_join, natural_join, semi_join
+from ..operators.joins import natural_join, semi_join, split_full_join
 from ..operators.reshape import explode_tokens
 
 # Patterns, keys and lists of the annotation formats.
@@ -133,7 +133,7 @@ def match_catalogue(
     binned_catalogue = catalogue.withColumn(name, round_to(catalogue_position, bin))
     known = semi_join(df, catalogue, [sample], null_safe)
     binned = known.withColumn(name, round_to(position, bin))
-    return full_join(binned_catalogue, binned, [gene, sample, name], null_safe)
+    return split_full_join(binned_catalogue, binned, [gene, sample, name], null_safe)
 
 
 def filter_vep(

@@ -73,6 +73,51 @@ def test_full_join_is_split_on_either_side(spark, hot, local, turned):
     assert df.filter("v is null").count() == 0 and df.filter("l_orderkey is null").count() == len(absent)
 
 
+def joined_rows(left, right, keys, null_safe):
+    """Full outer join by loops."""
+    out, met = [], set()
+    for a in left:
+        hits = [i for i, b in enumerate(right) if a[:keys] == b[:keys] and (null_safe or None not in a[:keys])]
+        met.update(hits)
+        out += [(*a, *right[i][keys:]) for i in hits] or [(*a, None)]
+    return Counter(out + [(*b[:keys], None, *b[keys:]) for i, b in enumerate(right) if i not in met])
+
+
+@pytest.mark.parametrize("null_safe", [True, False])
+@pytest.mark.parametrize("hot_rows", [1, 7, 10**6])
+def test_split_full_join_equals_loops(spark, null_safe, hot_rows):
+    left = [("a", i % 2, i) for i in range(40)] + [("b", 1, i // 2) for i in range(30)] + [(None, 1, i) for i in range(20)]
+    left += [("d", None, None), ("d", None, None), ("l", 0, 1)] + [("only left", 0, i) for i in range(25)]
+    right = [("a", i % 3, i) for i in range(33)] + [("b", 1, 5)] + [(None, 1, i) for i in range(15)]
+    right += [("d", None, 3), ("r", 0, None)] + [("only right", 0, i % 3) for i in range(25)]
+    one = spark.createDataFrame(left, "k string, h int, x int").repartition(3)
+    two = spark.createDataFrame(right, "k string, h int, y int").repartition(4)
+    got = j.split_full_join(one, two, ["k", "h"], null_safe, hot_rows)
+    assert got.columns == ["k", "h", "x", "y"]
+    assert Counter(tuple(r) for r in got.collect()) == joined_rows(left, right, 2, null_safe)
+    empty = j.split_full_join(one.limit(0), two, ["k", "h"], null_safe, hot_rows)
+    assert Counter(tuple(r) for r in empty.collect()) == joined_rows([], right, 2, null_safe)
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_split_full_join_shuffles_once_and_spreads_the_key(spark, hot, local, turned):
+    many = hot.select("k", "l_orderkey", "l_linenumber")
+    one = spark.range(HOT, 3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    pair = (one, many) if turned else (many, one)
+    df = j.split_full_join(*pair, ["k"], hot_rows=500)
+    absent = set(range(HOT, 3000)) - set(local.k)
+    assert df.count() == len(local) + len(absent)
+    assert df.filter("v is null").count() == 0 and df.filter("l_orderkey is null").count() == len(absent)
+    _, text = final_plan(df)
+    assert text.count("FullOuter") == 1 and text.count("Exchange hashpartitioning(coalesce(k") <= 2
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = [r["count"] for r in df.filter(F.col("k") == HOT).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spread) == 8 and max(spread) <= (local.k == HOT).sum() / 3
+
+
 def test_semi_and_anti(spark, hot, local):
     listed = hot.filter(F.col("k") == HOT).select("k")
     assert j.semi_join(hot, listed, ["k"]).count() == (local.k == HOT).sum()
