@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 
 _PATHS: list[str] = []
+_INNER: ContextVar[list[str] | None] = ContextVar("inner stages", default=None)
 NO_COMMENT = "\u0002"  # else values starting with "#" would be quoted
 
 
@@ -71,6 +74,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stages"
     path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _PATHS.append(path)
+    if (inner := _INNER.get()) is not None:
+        inner.append(path)
     return path
 
 
@@ -86,11 +91,34 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_whole(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that ``make()`` returns, staged. What is staged on the way is not
+    read any more by then and is removed; after an error it is left to
+    ``remove_staged``."""
+    outer, inner = _INNER.get(), []
+    mark = _INNER.set(inner)
+    try:
+        whole = staged(make(), name)
+    finally:
+        _INNER.reset(mark)
+    path = inner.pop()
+    for done in inner:
+        _remove(spark, done)
+        _PATHS.remove(done)
+    if outer is not None:
+        outer.append(path)
+    return whole
+
+
+def _remove(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove_staged(spark: SparkSession) -> int:
     """Remove what this process has staged so far; for the owner of a job, once
     its results are written. Returns the number of folders removed."""
     removed = 0
     while _PATHS:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
-        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed += _remove(spark, _PATHS.pop())
     return removed

@@ -1,6 +1,7 @@
 """Readers and sinks on files written by the tests."""
 
 import gzip
+import re
 
 import pytest
 
@@ -203,3 +204,20 @@ def test_stages(spark, small, tmp_path, rows):
 
 def test_display_order_covers_the_panel():
     assert sorted(DRIVER_ORDER) == sorted(DRIVER_PANEL)
+
+
+def test_inner_stages_go_when_the_whole_is_written(spark):
+    made = {}
+
+    def make():
+        made["inner"] = w.staged(spark.range(5), "inner")
+        made["nested"] = w.staged_whole(spark, lambda: w.staged(made["inner"], "nested-inner").filter("id > 1"), "nested")
+        return made["nested"].selectExpr("id * 2 as id")
+
+    whole = w.staged_whole(spark, make, "whole")
+    assert sorted(r["id"] for r in whole.collect()) == [4, 6, 8]
+    left = [p for p in w._PATHS if re.search(r"/(inner|nested-inner|nested|whole)-", p)]
+    assert len(left) == 1 and "/whole-" in left[0]
+    with pytest.raises(ZeroDivisionError):
+        w.staged_whole(spark, lambda: [w.staged(spark.range(1), "inner"), 1 / 0], "whole")
+    assert any("/inner-" in p for p in w._PATHS) and w._INNER.get() is None
