@@ -12,6 +12,7 @@ import pytest
 
 import corpus_pipeline
 from somaframe.llm import registry
+from somaframe.sources.writers import staged
 
 SF = "/root/testdata/sf0.001"
 SMALL = "/root/testdata/sf0.01"
@@ -157,7 +158,7 @@ def test_pipeline_brute_force(spark):
     columns, kept = docs.columns, texts()
     found = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.staged(stage(spark, docs, SF), f"test-{name}")
+        docs = staged(stage(spark, docs, SF), f"test-{name}")
         assert docs.columns == columns
         found[name] = {r.doc_id: r.text for r in docs.collect()}
     assert len(found["language"]) >= 0.99 * len(kept)
@@ -186,4 +187,6 @@ def test_pipeline_brute_force(spark):
         windows |= {tuple(w[i:i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
     dirty = {d for d, t in found["near"].items() for w in [words(t)] if any(tuple(w[i:i + 10]) in windows for i in range(len(w)))}
     assert set(found["benchmark"]) == set(found["near"]) - dirty
-    check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect(), found["benchmark"])
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    check_packing(pieces, found["benchmark"])
+    assert all(len(p.ids) == 4 * p.length and zlib.crc32(p.ids) == p.ids_crc32 for p in pieces)

@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from somaframe.llm import decontaminate, exact_dedup, near_dedup
+from somaframe.sources.writers import staged
 from test_edges import SCHEMA, TEXTS
 
 ITEM = " ".join(f"question{i} of{i % 7}" for i in range(20))
@@ -55,7 +56,7 @@ def test_all_stages(spark, benchmark_dir):
     docs = made(spark, TEXTS + CHAIN)
     after = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.staged(stage(spark, docs, benchmark_dir), f"edges-{name}")
+        docs = staged(stage(spark, docs, benchmark_dir), f"edges-{name}")
         after[name] = left(docs)
     for pair in [(None, CLEAN), (22, OTHER), (25, FOURTH), (21, BASE)]:
         assert pair in after["language"] and pair in after["benchmark"]
