@@ -216,7 +216,7 @@ def _compared(spark, sf):
         F.col("l_partkey").alias("gene"), F.col("l_suppkey").cast("string").alias("sample")
     ).agg(F.max(F.col("l_quantity") % 7).alias("cn"))
     merged = _merged(spark, sf).withColumn("sample", F.col("sample").cast("string"))
-    return cn.compare_cn(cn.scale_reference(panel, _TRIPLOID), merged)
+    return cn.compare_cn(cn.scale_reference(panel, _TRIPLOID), merged, null_safe=False)  # no key of the panel is NULL
 
 
 _SQL_COMPARED = f"""{_SQL_MERGED},
