@@ -8,8 +8,8 @@ from somaframe.llm import lm_score
 
 @pytest.mark.parametrize("groups", [64, 200, 256, 2048])
 def test_partial_sums_are_dealt_out(groups):
-    chunks = np.array([(task << 24) + number for task in range(groups) for number in range(16)])
-    one = np.ones(len(chunks))
-    rows = lm_score._sum_rows(chunks, np.zeros(len(chunks), np.int64), one, one, groups)
+    names = np.array([(task << 24) + number for task in range(groups) for number in range(16)])
+    one = np.ones(len(names))
+    rows = lm_score._sum_rows(names, np.arange(len(names)), np.zeros(len(names), np.int64), one, one, groups)
     sizes = np.bincount([r[0] for r in rows], minlength=groups)
     assert sizes.sum() == 16 * groups and sizes.max() <= 4 * 16
