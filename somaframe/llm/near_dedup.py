@@ -10,8 +10,10 @@ no shared table and are dropped first.
 Texts with equal sets are one. In each table group all texts are compared with its
 smallest and its largest id. Texts of groups that are not one component then meet
 again by their half key, in blocks of bounded size that hold the full sets: there
-pairs of alike signatures across components are compared, and links that join
-components returned. Every link is confirmed on the full sets.
+pairs across components that share one of their rarest shingles and have alike
+signatures are compared, and links that join components returned. Texts of one
+template with text of their own share no rare shingle and are no pairs. Every link
+is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ SHINGLE = 5
 PERCENT = 80
 DEPTH = 3  # min-hashes in a half key
 MISSED = 5e-4
-BLOCK = 4096  # texts in one block, at most about twice as many between two
+BLOCK = 2_000_000  # shingles in one block of many texts, about twice as many between two
 
 
 def halves_for(percent: int) -> int:
@@ -146,34 +148,61 @@ def _tables(texts: DataFrame, n_halves: int) -> DataFrame:
         "node", "f", F.explode("second").alias("s")).select("node", "f", F.xxhash64("f", "s").alias("key"))
 
 
+def _prefixes(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For sets in order of size: the rare shingles of which each shares one with any
+    later set alike enough. Two sets that have ``a`` shingles in common share one of
+    the first ``n - a + 1`` of each, in whatever order; ``a`` is at least 2 p / (100 + p)
+    of the smaller set and p / 100 of the larger one. With the rarest of the block
+    first, what all texts of a template have in common is in no prefix.
+
+    Ascending places of shingles, the set of each entry, and for each set the
+    places to look up, of as many shingles as its role as the larger one needs."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    ranks, end = rank[place], np.cumsum(sizes)
+    as_small = sizes + 2 * percent * sizes // -(100 + percent) + 1
+    as_large = sizes + percent * sizes // -100 + 1
+    rare = [np.sort(ranks[e - n: e])[:k] for e, n, k in zip(end, sizes, np.maximum(as_small, as_large))]
+    of = np.repeat(np.arange(len(sets)), as_small)
+    entries = np.concatenate([r[:k] for r, k in zip(rare, as_small)])
+    order = np.argsort(entries, kind="stable")
+    return entries[order], of[order], as_large, rare
+
+
 def _joined(block: pd.DataFrame, percent: int, least: int) -> pd.DataFrame:
-    """Links that join components of one block, or of two: pairs with ``least``
-    equal min-hashes are compared unless they are joined already."""
-    block = block.sort_values("node")
+    """Links that join components of one block, or of two: pairs that share a rare
+    shingle and ``least`` equal min-hashes are compared unless they are joined already."""
+    block = block.sort_values(["n", "node"])
     sign = np.stack([np.frombuffer(b, np.uint16) for b in block["brief"]])
     sets = [np.sort(x) for x in block["shingles"]]
-    node, part, n, own = (block[c].to_numpy() for c in ("node", "component", "n", "own"))
-    alone = block["low"].iloc[0] == block["high"].iloc[0]
-    above = {int(p): int(p) for p in np.unique(part)}
-
-    def root(p: int) -> int:
-        while above[p] != p:
-            above[p] = p = above[above[p]]
-        return p
+    node, n, own = (block[c].to_numpy() for c in ("node", "n", "own"))
+    part = np.unique(block["component"].to_numpy(), return_inverse=True)[1]
+    alone, parts = block["low"].iloc[0] == block["high"].iloc[0], len(np.unique(part))
+    entries, of, as_large, rare = _prefixes(sets, percent)
 
     links = []
-    for i in range(len(block) - 1):
-        j = np.flatnonzero((part[i + 1:] != part[i]) & (alone | (own[i + 1:] != own[i]))) + i + 1
-        j = j[(100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-        for k in j[(sign[j] == sign[i]).sum(1) >= least].tolist():
-            a, b = root(int(part[i])), root(int(part[k]))
-            if a == b:
+    for k in range(1, len(block)):
+        if parts == 1:
+            break
+        wanted = rare[k][: as_large[k]]
+        lo, hi = np.searchsorted(entries, wanted), np.searchsorted(entries, wanted, "right")
+        length = hi - lo
+        j = of[np.repeat(lo - np.cumsum(length) + length, length) + np.arange(length.sum())]
+        j = j[(j < k) & (part[j] != part[k])]
+        j = np.unique(j[100 * n[j] >= percent * n[k]])
+        if not alone:
+            j = j[own[j] != own[k]]
+        for i in j[(sign[j] == sign[k]).sum(1) >= least].tolist():
+            if part[i] == part[k]:
                 continue
-            at = np.minimum(np.searchsorted(sets[i], sets[k]), len(sets[i]) - 1)
-            shared = int((sets[i][at] == sets[k]).sum())
+            at = np.minimum(np.searchsorted(sets[k], sets[i]), len(sets[k]) - 1)
+            shared = int((sets[k][at] == sets[i]).sum())
             if 100 * shared >= percent * (len(sets[i]) + len(sets[k]) - shared):
-                above[max(a, b)] = min(a, b)
-                links.append((int(node[i]), int(node[k])))
+                part[part == part[i]] = part[k]
+                parts -= 1
+                links.append((int(min(node[i], node[k])), int(max(node[i], node[k]))))
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
@@ -251,13 +280,15 @@ def _across(members: DataFrame, texts: DataFrame, sets: DataFrame, found: DataFr
     groups = placed.groupBy("key").agg(
         F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n"),
     ).filter("c1 < c2 AND n > 2").select("key")  # of two, both have been compared
-    open_ = staged(placed.join(groups, "key", "left_semi").select("f", "node", "component").distinct(), "open")
+    open_ = placed.join(groups, "key", "left_semi").select("f", "node", "component").distinct()
+    open_ = staged(open_.join(texts.select("node", "n"), "node"), "open")
     # halves with the same texts need one search
     sizes = open_.groupBy("f").agg(
-        F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")
-    ).groupBy("who", "size").agg(F.min("f").alias("f")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")
+    ).groupBy("who", "size", "shingles").agg(F.min("f").alias("f"))
+    sizes = sizes.select("f", F.ceil(F.col("shingles") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = open_.join(sizes, "f").withColumn("own", own).join(texts.select("node", "sid", "n", "brief"), "node").join(sets, "sid")
+    rows = open_.join(sizes, "f").withColumn("own", own).join(texts.select("node", "sid", "brief"), "node").join(sets, "sid")
     spread = rows.select(
         "f", "node", "component", "n", "brief", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
