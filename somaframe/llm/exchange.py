@@ -63,6 +63,19 @@ def run_starts(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
 
 
+def used_places(places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct of some places below ``size``, ascending, and where each entry is
+    among them. A row to a group carries what belongs to these places only, so its
+    size goes with its entries, however many groups a chunk has rows for."""
+    if 4 * len(places) < size:
+        used, at = np.unique(places, return_inverse=True)
+    else:
+        held = np.zeros(size, bool)
+        held[places] = True
+        used, at = np.flatnonzero(held), (np.cumsum(held) - 1)[places]
+    return used, at.astype(np.uint32)
+
+
 BUNDLE = "bucket long, keys binary, sizes binary, data binary"
 
 

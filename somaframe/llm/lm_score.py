@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
-from .exchange import chunks, pack_sorted, run_starts, squeeze, unpack_sorted, unsqueeze
+from .exchange import chunks, pack_sorted, run_starts, squeeze, unpack_sorted, unsqueeze, used_places
 from .words import hashed_documents, mix
 
 BACKOFF = 0.4
@@ -149,14 +149,16 @@ def _whole_runs(begin: np.ndarray, n: int, size: int):
 
 
 def _sum_rows(names: np.ndarray, chunk: np.ndarray, doc: np.ndarray, logs: np.ndarray, missed: np.ndarray, groups: int) -> list[tuple]:
-    """A row of sums by document for each chunk, given by its place in ``names``."""
+    """A row of sums for each chunk, given by its place in ``names``: of the documents
+    that have pairs here, with their places."""
     rows, order = [], np.argsort(chunk, kind="stable")
     cut = run_starts(chunk[order])
     for a, b in zip(cut, np.append(cut[1:], len(order))):
         own = order[a:b]
         c = int(names[chunk[own[0]]])
-        rows.append((_group_of(c, groups), SUMS, c, squeeze(np.bincount(doc[own], logs[own])),
-                     squeeze(np.bincount(doc[own], missed[own]).astype(np.int64)), *[None] * 4))
+        used, at = used_places(doc[own], int(doc[own].max()) + 1)
+        rows.append((_group_of(c, groups), SUMS, c, squeeze(np.bincount(at, logs[own])),
+                     squeeze(np.bincount(at, missed[own]).astype(np.uint32)), squeeze(used.astype(np.uint32)), *[None] * 3))
     return rows
 
 
@@ -253,11 +255,11 @@ def _by_document(group: pd.DataFrame, total: int, backoff: float) -> pd.DataFram
     head = group[group["kind"] == DOCUMENTS].iloc[0]
     ids, n = unsqueeze(head["a"], np.int64), unsqueeze(head["b"], np.int64)
     logs, missed = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-    sums = group[group["kind"] == SUMS].sort_values(["a", "b"])  # the same order of additions in every run
-    for a, b in zip(sums["a"], sums["b"]):
-        part, out = unsqueeze(a, np.float64), unsqueeze(b, np.int64)
-        logs[: len(part)] += part
-        missed[: len(out)] += out
+    sums = group[group["kind"] == SUMS].sort_values(["a", "b", "c"])  # the same order of additions in every run
+    for a, b, c in zip(sums["a"], sums["b"], sums["c"]):
+        at = unsqueeze(c, np.uint32)  # each place once
+        logs[at] += unsqueeze(a, np.float64)
+        missed[at] += unsqueeze(b, np.uint32)
     logs += missed * (np.log(backoff) - np.log(np.maximum(total - n, 1)))
     return pd.DataFrame({"doc_id": ids, "n_words": n, "n_backoff": missed, "log_score": logs, "mean_log_score": logs / np.maximum(n, 1)})
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
-from .exchange import BUNDLE, bundles, chunks, opened, pack_sorted, run_starts, squeeze, unpack_sorted, unsqueeze
+from .exchange import BUNDLE, bundles, chunks, opened, pack_sorted, run_starts, squeeze, unpack_sorted, unsqueeze, used_places
 from .words import hashed_documents, mix, window_hashes
 
 WINDOW = 13
@@ -113,8 +113,9 @@ def _own_trees(docs: DataFrame, width: int, groups: int, heavy: np.ndarray) -> D
             cut = run_starts(target[by_group])
             for a, b in zip(cut, np.append(cut[1:], len(by_group))):
                 own = by_group[a:b]
-                rows.append((int(target[own[0]]), 0, pack_sorted(ids.astype(np.uint64)),
-                             squeeze(doc[first[own]].astype(np.uint32)), pack_sorted(ordered[begin[own]])))
+                used, at = used_places(doc[first[own]], len(ids))
+                rows.append((int(target[own[0]]), 0, pack_sorted(ids[used].astype(np.uint64)),
+                             squeeze(at), pack_sorted(ordered[begin[own]])))
             for i in range(0, len(rows), 2000):
                 columns = list(zip(*rows[i: i + 2000]))
                 yield pa.RecordBatch.from_arrays(

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.writers import staged
 from .common import table, text_key
-from .exchange import BUNDLE, bundles, chunks, opened, pack_sorted, run_starts, squeeze, unpack_sorted, unsqueeze
+from .exchange import BUNDLE, bundles, chunks, opened, pack_sorted, run_starts, squeeze, unpack_sorted, unsqueeze, used_places
 from .suffix_merge import front_code, front_decode, merge_runs, prefix_lengths
 from .words import BASE, STEP, mix, powers, powers_of, running, slices, text_buffer
 
@@ -173,11 +173,11 @@ def repeated_points(docs: DataFrame, width: int, groups: int) -> DataFrame:
             target = (values % np.uint64(groups)).astype(np.int64)
             order = np.argsort(target.astype(np.uint16 if groups < 1 << 16 else np.int64), kind="stable")
             cut = run_starts(target[order])
-            at_ids, at_keys = squeeze(ids), squeeze(keys)
             for a, b in zip(cut, np.append(cut[1:], len(order))):
                 of = order[a:b]
-                rows.append((int(target[of[0]]), 0, at_ids, at_keys,
-                             squeeze((doc[first[of]].astype(np.uint32) << np.uint32(1)) | seen[of]), pack_sorted(values[of])))
+                used, at = used_places(doc[first[of]], len(ids))
+                rows.append((int(target[of[0]]), 0, squeeze(ids[used]), squeeze(keys[used]),
+                             squeeze((at << np.uint32(1)) | seen[of]), pack_sorted(values[of])))
             yield from _send(rows, [pa.int64(), pa.int32(), *[pa.binary()] * 4], ["grp", "kind", "ids", "keys", "at", "hashes"])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
