@@ -30,16 +30,21 @@ def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; after each, what Arrow and the C library hold without need goes
-    back to the system. Workers outlive their tasks and share a machine's memory."""
+def release() -> None:
+    """What Arrow and the C library hold without need goes back to the system.
+    Workers outlive their tasks and share a machine's memory."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with a release after each."""
     for batch in batches:
         yield batch
         del batch
-        pa.default_memory_pool().release_unused()
-        if trim is not None:
-            trim(0)
+        release()
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import release, table
 from .exchange import chunks, pack_sorted, run_starts, squeeze, unpack_sorted, unsqueeze, used_places
 from .words import hashed_documents, mix
 
 BACKOFF = 0.4
 UNSEEN = 0.5  # count of a word that no other document has
 CHUNK_BYTES = 8 << 20
-GROUP_PAIRS = 3_000_000
+GROUP_PAIRS = 1_500_000
 SLICE_PAIRS = 1 << 18  # worked through at once within a group
 BEGIN = np.uint64(1)  # stands before the first word
 _PLACE = np.uint64(0xD1342543DE82EF95)
@@ -101,6 +101,7 @@ def _sent(docs: DataFrame, groups: int, hot: np.ndarray) -> DataFrame:
     def send(batches):
         task = TaskContext.get().partitionId() << 24
         for number, part in enumerate(chunks(batches, 1, CHUNK_BYTES)):
+            release()
             chunk, n_docs = task + number, part.num_rows
             words, owner = _words(part.column(1))
             rows = [(_group_of(chunk, groups), DOCUMENTS, chunk, squeeze(part.column(0).to_numpy()),
@@ -217,6 +218,7 @@ def _meet_pairs(group: pd.DataFrame, groups: int, hot: np.ndarray, hot_n: np.nda
         del h, own_h, order, begin
         rows += _sum_rows(names, chunk, doc, logs, missed, groups)
         del logs, missed
+        release()
         on = np.concatenate(on) if on else np.zeros(0, np.int64)
         target = (w[on] % np.uint64(groups)).astype(np.int64)
         order = np.lexsort((w[on], target))
@@ -247,6 +249,7 @@ def _back_off(group: pd.DataFrame, groups: int) -> pd.DataFrame:
             n_w, _ = _lookup(words, counts, w[part])
             logs[part] = times[part] * np.log(np.maximum(n_w - own_w[part].astype(np.int64), UNSEEN))
         del w
+        release()
         rows += _sum_rows(names, chunk, doc, logs, np.zeros(len(doc), np.uint32), groups)
     return _frame(rows)
 
