@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import release, released, table
 from .exchange import BUNDLE, bundles, chunks, opened, pack_sorted, run_starts, squeeze, unpack_sorted, unsqueeze, used_places
 from .words import hashed_documents, mix, window_hashes
 
@@ -47,8 +47,10 @@ def _chunk_windows(texts: pa.ChunkedArray, width: int):
     return words, owner, starts[fits]
 
 
-def _prefixes(words: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    return [mix(window_hashes(words, k)[starts] + np.uint64(k)) for k in range(1, LEVELS + 1)]
+def _prefixes(words: np.ndarray, starts: np.ndarray, levels=range(1, LEVELS + 1)):
+    """Hashes of the prefixes of each suffix, one length after another."""
+    for k in levels:
+        yield mix(window_hashes(words, k)[starts] + np.uint64(k))
 
 
 def prefix_weights(docs: DataFrame, width: int, share: float) -> DataFrame:
@@ -56,6 +58,7 @@ def prefix_weights(docs: DataFrame, width: int, share: float) -> DataFrame:
     the number of all suffixes. Only the balance of the groups depends on this."""
     def count(batches):
         for part in chunks(batches, 1, CHUNK_BYTES):
+            release()
             words, _, starts = _chunk_windows(part.column(1), width)
             found, sizes = [np.zeros(1, np.uint64)], [np.array([len(starts)])]
             for prefix in _prefixes(words, starts):
@@ -91,6 +94,7 @@ def _own_trees(docs: DataFrame, width: int, groups: int, heavy: np.ndarray) -> D
     documents as places in ``ids``); kind 1, repeats already known."""
     def build(batches):
         for part in chunks(batches, 1, CHUNK_BYTES):
+            release()
             ids = part.column(0).to_numpy()
             order = np.argsort(ids, kind="stable")  # so the first of equal paths has the smallest id
             if (order[1:] < order[:-1]).any():
@@ -101,21 +105,22 @@ def _own_trees(docs: DataFrame, width: int, groups: int, heavy: np.ndarray) -> D
             ordered = paths[sort]
             begin = run_starts(ordered)
             first = sort[begin]
-            first_of = np.repeat(doc[first], np.diff(np.append(begin, len(sort))))
-            later = ids[doc[sort]] > ids[first_of]
+            later = ids[doc[sort]] > np.repeat(ids[doc[first]], np.diff(np.append(begin, len(sort))))
             rows = [(d % groups, 1, None, np.array([d]).tobytes(), p)
-                    for d, p in _by_document(doc[sort][later], ordered[later], ids)]
-            levels = _prefixes(words, starts[first])
-            target = (paths[first] % np.uint64(groups)).astype(np.int64)
-            for prefix in reversed(levels):
+                    for d, p in _by_document(doc[sort[later]], ordered[later], ids)]
+            nodes, least, starts = ordered[begin], doc[first], starts[first]
+            del paths, doc, sort, ordered, begin, first, later, owner
+            target = (nodes % np.uint64(groups)).astype(np.int64)
+            for prefix in _prefixes(words, starts, range(LEVELS, 0, -1)):
                 target = np.where(np.isin(prefix, heavy), target, (prefix % np.uint64(groups)).astype(np.int64))
+            del words, starts
             by_group = np.argsort(target.astype(np.uint16 if groups < 1 << 16 else np.int64), kind="stable")
             cut = run_starts(target[by_group])
             for a, b in zip(cut, np.append(cut[1:], len(by_group))):
                 own = by_group[a:b]
-                used, at = used_places(doc[first[own]], len(ids))
+                used, at = used_places(least[own], len(ids))
                 rows.append((int(target[own[0]]), 0, pack_sorted(ids[used].astype(np.uint64)),
-                             squeeze(at), pack_sorted(ordered[begin[own]])))
+                             squeeze(at), pack_sorted(nodes[own])))
             for i in range(0, len(rows), 2000):
                 columns = list(zip(*rows[i: i + 2000]))
                 yield pa.RecordBatch.from_arrays(
@@ -128,6 +133,7 @@ def _own_trees(docs: DataFrame, width: int, groups: int, heavy: np.ndarray) -> D
 def _merged_tree(group: pd.DataFrame, groups: int) -> pd.DataFrame:
     """Documents and paths of a group whose node has a smaller document, one row for
     each bucket of documents."""
+    release()
     known = group[group["kind"] == 1]
     found = [(int(np.frombuffer(a, np.int64)[0]), p) for a, p in zip(known["at"], known["paths"])]
     nodes = group[group["kind"] == 0]
@@ -179,7 +185,7 @@ def cut_repeats(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", te
     joined = pair.join(repeated_paths(pair.filter(F.length("text") >= 2 * width - 1), width), "doc_id", "left")
 
     def cut(batches):
-        for batch in batches:
+        for batch in released(batches):
             texts, lists = batch.column(1), batch.column(2)
             n_words, n_removed, kept = [], [], []
             for lo, hi, words, firsts, (data, starts, ends) in hashed_documents(texts):
