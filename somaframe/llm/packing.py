@@ -11,24 +11,27 @@ totals of the partitions before it, one number per partition.
 from __future__ import annotations
 
 import os
-from array import array
+import re
+import string
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..sources.writers import staged
 from .common import released, small_side, table, text_batches
-from .words import hashed_documents
+from .words import hashed_documents, slices, text_buffer
 
 SEQUENCE = 4096
 DIMENSIONS = 4
 BITS = 12  # of the curve, per dimension
 END = 2  # id after each document
 CACHED_WORDS = 400_000
+SLICE_BYTES = 4 << 20  # of texts encoded together
 
 
 # The tokenizer's own split of lower-case text, and its characters for bytes: printable
@@ -36,12 +39,30 @@ CACHED_WORDS = 400_000
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-PLAIN = regex.compile("[!-~\u00a1-\u00ac\u00ae-\u024f]+")
+PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u024f]+")
+MARKS = "".join(sorted(set(string.punctuation) - {"'"}))  # letters and then marks are two pieces
+
+
+def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of the texts, ASCII letters lowered; each place's word as its
+    number among them; and each text's first place (one more than texts)."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    coded = words.flatten().dictionary_encode()
+    first = words.offsets.to_numpy()
+    return coded.dictionary, coded.indices.to_numpy(), first - first[0]
+
+
+def _gathered(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ``at``-th stretches of ``values``, which holds stretches of these sizes."""
+    own = sizes[at]
+    begin = (np.cumsum(sizes) - sizes)[at] - (np.cumsum(own) - own)
+    return values[np.repeat(begin, own) + np.arange(own.sum())]
 
 
 class WordEncoder:
     """Token ids of texts for a tokenizer that drops white space and lower-cases:
-    a text's ids are those of its words, which are remembered.
+    a text's ids are those of its words, which are remembered as Arrow strings and
+    one array of ids: some 30 bytes a word, as workers keep them between stages.
 
     Only ASCII letters are lowered before the look-up. Words of Latin letters and
     marks go straight to the tokenizer's merges, all others through the whole
@@ -54,42 +75,73 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARS)
-        ids = self.pieces[piece] = array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
-        return ids
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if not PLAIN.fullmatch(text):
-            return self._whole(text)
-        found = self.pieces
-        return b"".join([found.get(p) or self._piece(p) for p in PIECE.findall(text.lower())])
+        self.words, self.ids, self.sizes = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int32)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        tokenize, pieces = self.merges.tokenize, {}
+        ids, sizes = [], []
+        for word in words:
+            before = len(ids)
+            core = word.rstrip(MARKS)
+            if core.isalpha() and len(core.encode("latin-1", "ignore")) == len(core):
+                parts = (core.lower(), word[len(core):]) if len(core) < len(word) else (core.lower(),)
+            elif word and not PLAIN.fullmatch(word):
+                ids += self._whole(word)
+                parts = ()
+            else:
+                parts = PIECE.findall(word.lower())
+            for p in parts:
+                found = pieces.get(p)
+                if found is None:
+                    shown = p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS)
+                    found = pieces[p] = [t.id for t in tokenize(shown)]
+                ids += found
+            sizes.append(len(ids) - before)
+        return np.array(ids, "<u4"), np.array(sizes, np.int32)
+
+    def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one word after the other, and how many each has.
+        Where more words than may be remembered came up, only these are kept."""
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().copy()
+        new = np.flatnonzero(at < 0)
+        if len(self.words) + len(new) > CACHED_WORDS:
+            old = np.flatnonzero(at >= 0)
+            self.words, self.ids = self.words.take(pa.array(at[old])), _gathered(self.ids, self.sizes, at[old])
+            self.sizes = self.sizes[at[old]]
+            at[old] = np.arange(len(old))
+        if len(new):
+            fresh = words.take(pa.array(new))
+            ids, sizes = self._new(fresh.to_pylist())
+            at[new] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, fresh])
+            self.ids, self.sizes = np.append(self.ids, ids), np.append(self.sizes, sizes)
+        return _gathered(self.ids, self.sizes, at), self.sizes[at]
+
+    def encode_words(self, texts: pa.Array, split: tuple, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts with ``end`` after each, one text after the other, and how
+        many each has; ``split`` holds the distinct words of the texts."""
+        words, at, first = split
+        ids, sizes = self.word_ids(words)
+        ids, sizes = np.append(ids, np.array(end, "<u4")), np.append(sizes, np.int32(len(end)))
+        at = np.insert(at, first[1:], len(words))
+        total = np.append(0, np.cumsum(sizes[at], dtype=np.int64))
+        ids, n = _gathered(ids, sizes, at), np.diff(total[first + np.arange(len(first))])
+        marked = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        if len(marked):
+            parts = np.split(ids, np.cumsum(n)[:-1])
+            for i in marked:
+                parts[i] = np.array(self._whole(texts[i].as_py()) + end, "<u4")
+            ids, n = np.concatenate(parts), np.array([len(x) for x in parts])
+        return ids, n
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-            self.pieces.clear()
-        known, out = self.known, []
-        for text in texts:
-            if "<|" in text:
-                out.append(self._whole(text))
-                continue
-            words = text.encode().lower().split()
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:
-                for w in set(words).difference(known):
-                    known[w] = self._word(w)
-                out.append(b"".join([known[w] for w in words]))
-        return out
+        column = pa.array(texts, pa.string())
+        ids, n = self.encode_words(column, distinct_words(column), [])
+        return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] if texts else []
 
 
 @lru_cache(maxsize=2)
@@ -102,15 +154,15 @@ def _projection(dimensions: int) -> np.ndarray:
     return np.random.default_rng(11).standard_normal((1 << 12, dimensions))
 
 
-def directions(texts: pa.Array, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Each document's projected word vector, scaled to length 1; 0 without words."""
-    out = np.zeros((len(texts), dimensions))
-    rows = _projection(dimensions)
-    for lo, hi, hashes, firsts, _ in hashed_documents(texts, lower=True):
-        owner = np.repeat(np.arange(hi - lo), np.diff(firsts))
-        place = (hashes >> np.uint64(52)).astype(np.int64)
-        for d in range(dimensions):
-            out[lo:hi, d] = np.bincount(owner, rows[place, d], hi - lo)
+def directions(split: tuple, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Projected word vector of each text, scaled to length 1; 0 without words.
+    ``split`` holds the distinct words of the texts."""
+    words, at, first = split
+    rows = np.zeros((len(words), dimensions))  # the empty word stays 0
+    for lo, _, hashes, firsts, _ in hashed_documents(words):
+        rows[lo + np.flatnonzero(np.diff(firsts))] = _projection(dimensions)[(hashes >> np.uint64(52)).astype(np.int64)]
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    out = np.stack([np.bincount(owner, rows[at, d], len(first) - 1) for d in range(dimensions)], 1)
     norm = np.linalg.norm(out, axis=1)
     return out / np.maximum(norm, 1e-12)[:, None]
 
@@ -140,23 +192,22 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    end = np.array([end_id], "<u4").tobytes()
-
     def encode(batches):
         task, row = TaskContext.get().partitionId(), 0
         for batch in released(batches):
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for lo, hi in slices(text_buffer(batch.column(1))[1], SLICE_BYTES):
+                part = batch.slice(lo, hi - lo)
                 texts = part.column(1).fill_null("")
-                ids = [x + end for x in word_encoder(tokenizer).encode(texts.to_pylist())]
-                keys = hilbert_keys(directions(texts))
-                n = [len(x) // 4 for x in ids]
-                short = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if small else x
-                         for x, small in ((x, np.frombuffer(x, "<u4").max() < 1 << 16) for x in ids)]
-                uid = (task << 40) + row + np.arange(len(ids))
-                row += len(ids)
+                split = distinct_words(texts)
+                ids, n = word_encoder(tokenizer).encode_words(texts, split, [end_id])
+                keys = hilbert_keys(directions(split))
+                short = ids.astype("<u2") if ids.max() < 1 << 16 else ids
+                ends = np.append(0, np.cumsum(n)) * short.itemsize
+                uid = (task << 40) + row + np.arange(len(n))
+                row += len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid), part.column(0), pa.array(keys), pa.array(n, pa.int64()), pa.array(short, pa.binary())],
+                    [pa.array(uid), part.column(0), pa.array(keys), pa.array(n, pa.int64()),
+                     pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(short)]).cast(pa.binary())],
                     ["uid", "doc_id", "key", "n", "ids"])
 
     pair = docs.select("doc_id", "text")
