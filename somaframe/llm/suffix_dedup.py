@@ -123,6 +123,16 @@ def _spans(starts: np.ndarray) -> bytes:
     return np.stack([starts[begin], np.diff(np.append(begin, len(starts)))], 1).astype("<i8").tobytes()
 
 
+def distinct_pairs(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of numbers, ascending, and each entry's place among them."""
+    order = np.lexsort((two, one))
+    pairs = np.stack([one[order], two[order]], 1)
+    new = np.append(True, (pairs[1:] != pairs[:-1]).any(1))[: len(order)]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return pairs[new], place
+
+
 def _by_document(doc: np.ndarray, values: np.ndarray):
     order = np.argsort(doc, kind="stable")
     doc, values = doc[order], values[order]
@@ -195,8 +205,8 @@ def repeated_points(docs: DataFrame, width: int, groups: int) -> DataFrame:
             size = np.diff(np.append(begin, len(sort)))
             hit = sort[np.repeat(size > 1, size)]
             hit = hit[asks[hit]]
-            both, place = np.unique(np.stack([ids[hit], keys[hit]], 1), axis=0, return_inverse=True)
-            found += [(*both[d].tolist(), _brief(p)) for d, p in _by_document(place.ravel(), hashes[hit])]
+            both, place = distinct_pairs(ids[hit], keys[hit])
+            found += [(*both[d].tolist(), _brief(p)) for d, p in _by_document(place, hashes[hit])]
         return _bundled(found, groups)
 
     sent = docs.mapInArrow(own, "grp long, kind int, ids binary, keys binary, at binary, hashes binary")
@@ -378,8 +388,8 @@ def _merged(group: pd.DataFrame, width: int, groups: int) -> pd.DataFrame:
         starts = np.concatenate([unsqueeze(x, np.int64) for x in sent["place"]])
         later = later_prints(pairs[:, 0], starts, np.concatenate([unpack_sorted(x) for x in sent["bytes"]]),
                              np.concatenate([unsqueeze(x, np.uint64) for x in sent["mask"]]))
-        both, doc = np.unique(pairs[later], axis=0, return_inverse=True)
-        found += [(*both[d].tolist(), _spans(p)) for d, p in _by_document(doc.ravel(), starts[later])]
+        both, doc = distinct_pairs(*pairs[later].T)
+        found += [(*both[d].tolist(), _spans(p)) for d, p in _by_document(doc, starts[later])]
     sent = group[group["kind"] == SORTED]
     if len(sent):
         runs, commons, ids, keys, place, mask, before = [], [], [], [], [], [], []
@@ -406,8 +416,8 @@ def _merged(group: pd.DataFrame, width: int, groups: int) -> pd.DataFrame:
         _, rank = np.unique(ids, return_inverse=True)
         s = Suffixes(rank, None, np.concatenate(place), np.concatenate(mask), np.concatenate(before), None).take(at)
         hit, o = later_windows(s, np.array(lengths), width)
-        both, doc = np.unique(np.stack([ids[at[hit]], keys[at[hit]]], 1), axis=0, return_inverse=True)
-        found += [(*both[d].tolist(), _spans(p)) for d, p in _by_document(doc.ravel(), s.place[hit] - o)]
+        both, doc = distinct_pairs(ids, keys)  # of the suffixes, of which there are fewer than windows
+        found += [(*both[d].tolist(), _spans(p)) for d, p in _by_document(doc[at[hit]], s.place[hit] - o)]
     return _bundled(found, groups)
 
 

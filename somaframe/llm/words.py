@@ -15,7 +15,7 @@ import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so powers have inverses
 STEP = np.uint64(0xD1342543DE82EF95)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 

@@ -77,3 +77,39 @@ def test_prints_tell_windows_by_their_bytes():
     assert len(windows) == 50 * 51 and len(set(zip(windows, prints))) == len(set(windows)) == len(set(prints))
     later = suffix_dedup.later_prints(row, -o, one, two)
     assert len(later) == len(windows) - len(set(windows))
+
+
+@pytest.fixture(scope="module")
+def group(spark):
+    """Rows sent to one group by documents that share long passages."""
+    pick = random.Random(9)
+    passage = "".join(pick.choice("abcdefghij klmnop") for _ in range(600))
+    pairs = [(d % 40, f"{d} " * 30 + passage[d: d + 400] + f" {d * d}" * 30) for d in range(80)]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    points = suffix_dedup.repeated_points(keyed, 100, 1)
+    ahead = keyed.join(points, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "hashes")
+    return suffix_dedup._runs(ahead, 100, 1, np.zeros(0, np.uint64)).toPandas()
+
+
+def test_no_window_is_sorted_as_a_record(group, monkeypatch):
+    """A group finds its documents among its suffixes, by two columns of numbers."""
+    sizes, plain = [], np.unique
+
+    def unique(values, *args, axis=None, **kwargs):
+        if axis is not None:
+            sizes.append(len(values))
+        return plain(values, *args, axis=axis, **kwargs) if axis is not None else plain(values, *args, **kwargs)
+
+    monkeypatch.setattr(np, "unique", unique)
+    found = suffix_dedup._merged(group, 100, 1)
+    assert len(found) and not sizes
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_distinct_pairs(n):
+    pick = np.random.default_rng(n)
+    one, two = pick.integers(-9, 9, n), pick.integers(-4, 4, n) * (1 << 60)
+    pairs, place = suffix_dedup.distinct_pairs(one, two)
+    expected, at = np.unique(np.stack([one, two], 1), axis=0, return_inverse=True)
+    assert np.array_equal(pairs, expected) and np.array_equal(place, at.ravel())
