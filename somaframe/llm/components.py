@@ -9,9 +9,13 @@ from ..sources.writers import staged
 ROUNDS = 60
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _contracted(edges: DataFrame) -> bool:
+    """Whether the links (distinct) are stars already: a node has one smaller
+    neighbour at most, and that has none."""
+    ends = edges.select(F.col("high").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("low", F.lit(0), F.lit(1)))
+    open_ = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1")
+    return open_.limit(1).count() == 0
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,11 +23,13 @@ def components(links: DataFrame) -> DataFrame:
     (columns a, b). Alternates two contractions: each node hands its larger
     neighbours, then its smaller ones, to its smallest neighbour. The links become
     stars in a number of rounds that grows with the logarithm of the path length.
-    A round is written out, so a lost executor costs a re-read."""
+    A round is written out, so a lost executor costs a re-read; links that are stars
+    take none."""
     edges = staged(
         links.filter("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct(), "links")
-    mark = _mark(edges)
     for _ in range(ROUNDS):
+        if _contracted(edges):
+            break
         both = edges.select(F.col("high").alias("x"), F.col("low").alias("y")).union(edges.select("low", "high"))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         outward = both.join(least, "x").filter("y > x").select(F.col("y").alias("high"), F.col("m").alias("low")).distinct()
@@ -34,10 +40,6 @@ def components(links: DataFrame) -> DataFrame:
                 F.struct(F.col("low").alias("high"), F.col("m").alias("low")),
             )).alias("e")).select("e.*").filter("high > low").distinct()
         edges = staged(inward, "links")
-        now = _mark(edges)
-        if now == mark:
-            break
-        mark = now
     else:
         raise RuntimeError(f"links not contracted after {ROUNDS} rounds")
     nodes = edges.select(F.col("high").alias("node"), F.col("low").alias("component"))

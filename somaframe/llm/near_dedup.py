@@ -249,8 +249,8 @@ def _grouped(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE,
     wanted = staged(involved.join(texts, "node").select(F.col("id").alias("node")).distinct(), "wanted") if clash else involved
     with text_batches(docs.sparkSession):
         sets = staged(_sets(pair, wanted, width), "sets")
-    links = staged(_confirmed(staged(_sized(tried, known, percent), "pairs"), sets, percent), "confirmed")
-    found = staged(components(links), "components")
+    # neither the pairs nor what is confirmed of them is written: components() stages the links itself
+    found = staged(components(_confirmed(_sized(tried, known, percent), sets, percent)), "components")
     more = staged(_across(members, texts, sets, found, percent, 2 * n_halves * DEPTH), "across")
     if more.limit(1).count():
         stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
