@@ -224,17 +224,17 @@ SQL["skipped_lines"] = "SELECT '#' || c_custkey AS sample, c_mktsegment AS site,
 
 def wide_file_by_supplier(spark, sf):
     """A matrix with a column for every supplier, a file for each line number."""
-    lines = table(spark, sf, "lineitem").withColumn("supplier", F.concat(F.lit("S-"), "l_suppkey"))
-    counted = lines.groupBy("l_linenumber", "supplier").agg(F.count(F.lit(1)).alias("n"))
-    rows = counted.groupBy("l_linenumber").agg(F.map_from_entries(F.collect_list(F.struct("supplier", "n"))).alias("n"))
-    head = table(spark, sf, "supplier").agg(
-        F.array_sort(F.collect_list(F.concat(F.lit("S-"), "s_suppkey"))).alias("head")).withColumn("all", F.lit(1))
-    full = rows.withColumn("all", F.lit(1)).join(head, "all")
-    cells = F.transform("head", lambda s: F.coalesce(F.element_at("n", s).cast("string"), F.lit("NA")))
-    text = F.concat_ws("\n", F.concat_ws("\t", F.lit("line"), F.lit("note"), "head"), F.concat_ws(
-        "\t", F.col("l_linenumber").cast("string"), F.lit("x"), cells))
+    counted = w.staged(table(spark, sf, "lineitem").groupBy("l_linenumber", F.col("l_suppkey").alias("s_suppkey")).agg(
+        F.count(F.lit(1)).alias("n")), "counted")
+    files = F.broadcast(counted.select("l_linenumber").distinct())  # each becomes a file
+    grid = table(spark, sf, "supplier").select("s_suppkey").dropna().crossJoin(files)
+    cell = F.struct(F.concat(F.lit("S-"), "s_suppkey").alias("supplier"), F.coalesce(F.col("n").cast("string"), F.lit("NA")).alias("n"))
+    rows = grid.join(counted, ["l_linenumber", "s_suppkey"], "left").groupBy("l_linenumber").agg(
+        F.sort_array(F.collect_list(cell)).alias("cells"))
+    text = F.concat_ws("\n", F.concat_ws("\t", F.lit("line"), F.lit("note"), "cells.supplier"), F.concat_ws(
+        "\t", F.coalesce(F.col("l_linenumber").cast("string"), F.lit("NA")), F.lit("x"), "cells.n"))
     path = w.scratch_path(spark, "suppliers")
-    full.select("l_linenumber", text.alias("value")).write.partitionBy("l_linenumber").text(path)
+    rows.select("l_linenumber", text.alias("value")).write.partitionBy("l_linenumber").text(path)
     found = read_wide(spark, path, ["line"], "supplier", "n", drop=("note",), kind="bigint")
     return found.withColumn("line", F.col("line").cast("int"))
 

@@ -122,7 +122,8 @@ def read_long(
         F.raise_error(F.lit("a line has more cells than its file's header")).cast("boolean"))
     named = [_cell(F.get("_fields", F.array_position("header", c).cast("int") - 1), "string", null_token, blank).alias(c) for c in ids]
     pairs = F.arrays_zip(F.col("header").alias("name"), F.col("_fields").alias("cell"))
-    cells = lines.filter(wide).select(*named, F.explode(pairs).alias("_pair"))
+    found = lines.filter(wide).select(*named, pairs.alias("_pairs"))  # else each cell's row carries both arrays for the ids
+    cells = found.select(*[col(c) for c in ids], F.explode("_pairs").alias("_pair"))
     return cells.filter(~F.col("_pair.name").isin([*ids, *drop])).select(
         *[col(c) for c in ids], F.col("_pair.name").alias(key), _cell(F.col("_pair.cell"), kind, null_token, blank).alias(value))
 

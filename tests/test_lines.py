@@ -1,7 +1,12 @@
 """Text files by line: skipped lines, own headers, any width, detected types."""
 
+import re
+import time
+
+import duckdb
 import pytest
 
+from driver_queries import files
 from somaframe.sources import lines as ln
 from somaframe.sources import readers as r
 from somaframe.sources import writers as w
@@ -65,6 +70,43 @@ def test_wider_than_any_reader_limit(spark, tmp_path):
         read_wide(spark, str(tmp_path / "c.tsv"), ["id"], "gene", "n").collect()
 
 
+def test_rows_of_cells_carry_the_ids_only(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("id\tg1\tnote\tsite\n7\t1\tx\ts\n")
+    got = read_wide(spark, str(tmp_path), ["id", "site"], "gene", "n", drop=("note",))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Generate explode\(_pairs#\d+\), \[id#\d+, site#\d+\], false", plan)
+    assert [tuple(r) for r in got.collect()] == [("7", "s", "g1", "1")]
+
+
+def _suppliers_and_lines(spark, tmp_path, suppliers, lines):
+    spark.createDataFrame([(k,) for k in suppliers], "s_suppkey bigint").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame(lines, "l_linenumber int, l_suppkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    return files.QUERIES["wide_file_by_supplier"](spark, str(tmp_path))
+
+
+def test_time_of_a_matrix_file_grows_with_its_cells(spark, tmp_path):
+    n = 60_000  # half of them are found in the lines, every third of those twice
+    lines = [(line, 2 * k) for line in (1, 2) for k in range(n // 2) for _ in range(1 + (k % 3 == 0))]
+    begun = time.monotonic()
+    got = _suppliers_and_lines(spark, tmp_path, range(n), lines).toPandas()
+    taken = time.monotonic() - begun
+    expected = {f"S-{k}": None if k % 2 else 1 + (k // 2 % 3 == 0) for k in range(n)}
+    for line in (1, 2):
+        cells = got[got.line == line]
+        assert len(cells) == n
+        assert {s: None if v != v else int(v) for s, v in zip(cells.supplier, cells.n)} == expected
+    assert len(got) == 2 * n and taken < 60  # looking each column up along the line takes several times that
+
+
+def test_matrix_of_missing_and_repeated_keys(spark, tmp_path, rows):
+    got = _suppliers_and_lines(spark, tmp_path, [1, 2, 2, 10], [(1, 2), (1, 2), (1, None), (1, 9), (3, 10), (None, 1), (None, None)])
+    con = duckdb.connect()
+    for name in ("supplier", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    expected = con.execute(files.SQL["wide_file_by_supplier"]).fetchall()
+    assert len(expected) == 12 and sorted(map(str, rows(got, "line", "supplier", "n"))) == sorted(map(str, expected))
+
+
 @pytest.mark.parametrize("cells, kind", [
     (["1", "-2", None, ""], "int"), (["1", "3000000000"], "bigint"), (["1", "99999999999999999999"], "double"),
     (["1", ".5", "1e-3", "NaN"], "double"), (["TRUE", "false", "NA"], "boolean"), (["TRUE", "1"], "string"),
